@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
+from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.urlfilter import judge_urls
@@ -16,6 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -33,10 +40,28 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_column(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "n_clips",
+        F.size("segments").alias("n_segments"),
+        F.octet_length("tensors").cast("long").alias("tensor_bytes"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op7_urlfilter": op7_urlfilter,
+    "op10_audio": op10_audio,
 }
 
 ORACLE_SQL = {}
