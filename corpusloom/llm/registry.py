@@ -10,6 +10,7 @@ from corpusloom.llm.common import table
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.sharding import shard_documents
+from corpusloom.llm.toxicity import score_documents
 from corpusloom.llm.urlfilter import judge_urls
 
 
@@ -40,6 +41,10 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_column(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op7_urlfilter": op7_urlfilter,
+    "op9_toxicity": op9_toxicity,
     "op10_audio": op10_audio,
 }
 
