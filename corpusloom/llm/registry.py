@@ -9,6 +9,7 @@ from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.secrets import secret_report
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.toxicity import score_documents
 from corpusloom.llm.urlfilter import judge_urls
@@ -28,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
     "op7_urlfilter": op7_urlfilter,
     "op9_toxicity": op9_toxicity,
     "op10_audio": op10_audio,
