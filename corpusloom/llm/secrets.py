@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The patterns of known kinds. A match of fewer characters (of the group) is dropped.
+#: Runs of one character class are sought with their least length in the pattern, which finds the
+#: same spans (a run is maximal, so it fails or fits as a whole) without listing every short run.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-KINDS = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+KINDS = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24)]
 
 #: Candidate strings of each character class: (kind, pattern, window, least entropy of a window in bits).
 CLASSES = [
@@ -98,8 +100,7 @@ def max_window_entropy(text: Column, window: int) -> Column:
     return F.log2(width) - least / width
 
 
-def _entropy_spans(text: Column, kind: str, rank: int, pattern: str, window: int, bits: float) -> Column:
-    candidates = _matches(text, kind, rank, pattern, 0, window)
+def _entropy_spans(candidates: Column, window: int, bits: float) -> Column:
     allowed = lambda s: F.regexp_like(F.lower(s["text"]), F.lit("|".join(ALLOWED)))
     return F.filter(candidates, lambda s: ~allowed(s) & (max_window_entropy(s["text"], window) >= bits))
 
@@ -125,13 +126,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text.alias("text"))
     for rank, (kind, pattern, group, least) in enumerate(KINDS):
         found = found.withColumn(f"_{kind}", _matches(F.col("text"), kind, rank, pattern, group, least))
-    for rank, (kind, pattern, window, bits) in enumerate(CLASSES, len(KINDS)):
-        found = found.withColumn(f"_{kind}", _entropy_spans(F.col("text"), kind, rank, pattern, window, bits))
+    for rank, (kind, pattern, window, _) in enumerate(CLASSES, len(KINDS)):
+        found = found.withColumn(f"_{kind}", _matches(F.col("text"), kind, rank, pattern, 0, window))
     base = F.array_sort(F.concat(*[F.col(f"_{kind}") for kind, *_ in KINDS]))
-    extra = F.concat(*[F.col(f"_{kind}") for kind, *_ in CLASSES])
-    with_base = found.select("doc_id", base.alias("base"), extra.alias("extra"))
+    with_base = found.select("doc_id", base.alias("base"), *[f"_{kind}" for kind, *_ in CLASSES])
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    return with_base.select("doc_id", "base", F.array_sort(F.filter("extra", lambda s: ~inside(s))).alias("added"))
+    added = F.concat(*[_entropy_spans(F.filter(f"_{kind}", lambda s: ~inside(s)), window, bits) for kind, _, window, bits in CLASSES])
+    return with_base.select("doc_id", "base", F.array_sort(added).alias("added"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
