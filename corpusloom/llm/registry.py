@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
+from corpusloom.llm.linededup import dedup_lines
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.secrets import secret_report
@@ -46,6 +47,10 @@ def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
     "op7_urlfilter": op7_urlfilter,
+    "op8_linededup": op8_linededup,
     "op9_toxicity": op9_toxicity,
     "op10_audio": op10_audio,
 }
