@@ -11,6 +11,7 @@ from corpusloom.llm.linededup import dedup_lines
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.secrets import secret_report
+from corpusloom.llm.setjoin import shingle_components
 from corpusloom.llm.sharding import shard_documents
 from corpusloom.llm.toxicity import score_documents
 from corpusloom.llm.urlfilter import judge_urls
@@ -34,6 +35,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents"), words=3, similarity=(9, 10))
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
+    "op6_jaccard": op6_jaccard,
     "op7_urlfilter": op7_urlfilter,
     "op8_linededup": op8_linededup,
     "op9_toxicity": op9_toxicity,
