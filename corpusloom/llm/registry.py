@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.ann import nearest_vectors
 from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
 from corpusloom.llm.linededup import dedup_lines
@@ -35,6 +36,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(vectors, vectors.where(F.col("vec_id") % 100 == 0).select("vec_id"), k=10)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), words=3, similarity=(9, 10))
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_secrets": op4_secrets,
+    "op5_ann": op5_ann,
     "op6_jaccard": op6_jaccard,
     "op7_urlfilter": op7_urlfilter,
     "op8_linededup": op8_linededup,
