@@ -79,10 +79,20 @@ def _one_edit_apart(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
+#: Document keys up to this number are sent to the scan as a filter (32 MB or so); beyond it, texts are joined by shuffle.
+MAX_SENT_KEYS = 1 << 20
+
+
+def _shared(keyed: DataFrame, member: str) -> DataFrame:
+    """Distinct ``member`` of rows (key, member) whose key has another member: a sum by key, then a join with the few that have."""
+    several = keyed.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low <> high").select("key")
+    return keyed.join(several, "key", "left_semi").select(member).distinct()
+
+
 def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """Lines to drop: (doc_id, text_key, dropped: array of 0-based line numbers), for ``dedup_lines``."""
     lines = (
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
+        docs.select("doc_id", F.hash("text").alias("text_key"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
         .withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
         .where(F.col("words") >= min_words)
         .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line"), "half": _half(F.col("words")), "less": _half(F.col("words") - 1)})
@@ -93,67 +103,78 @@ def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
         "dedup-lines",
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pos")
-    distinct = written(
-        lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")),
-        "dedup-distinct",
-    )
+    distinct = written(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "dedup-distinct")
     # Only a line that shares a half with another can be one edit from it; the others need no variants.
-    halves = distinct.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
-    near = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    where = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"]).select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("first.pos").alias("pos"))
-    wanted = where.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "h1", "h2", "first")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("wanted", normal_lines(F.col("text")).alias("lines"))
-    candidates = written(
-        found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.first", F.split(F.get("lines", F.col("w.pos")), " ").alias("words")).dropDuplicates(["h1", "h2"]),
-        "dedup-candidates",
-    )
+    near = _shared(lines.select(F.explode("keys").alias("key"), "h1"), "h1")
+    candidates = written(_with_words(docs, distinct.join(near, "h1", "left_semi")), "dedup-candidates")
     near_dropped = _near_earlier(candidates)
     affected = (
-        distinct.select("h1", "h2", "first", "n").join(near_dropped.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+        distinct.join(near_dropped.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
         .where((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
     hit = lines.select("doc_id", "text_key", "pos", "h1", "h2").join(affected, ["h1", "h2"]).where(F.col("near") | (place != F.col("first")))
     return hit.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("dropped"))
 
 
+def _with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h1, h2, ord, words) of distinct ``lines`` (h1, h2, first): their words, from the document they are first in.
+
+    ``ord`` numbers them in the order of first places: ranged, sorted, and numbered within ranges.
+    """
+    wanted = written(
+        lines.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("first.pos").alias("pos")),
+        "dedup-wanted",
+    )
+    texts = docs.select(F.col("doc_id").alias("_id"), F.hash("text").alias("_key"), "text")
+    sent = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    if sent.count() <= MAX_SENT_KEYS:
+        texts = texts.join(F.broadcast(sent), texts["_id"].eqNullSafe(sent["_id"]) & (texts["_key"] == sent["_key"]), "left_semi")
+    by_document = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "h1", "h2", "first")).alias("wanted"))
+    found = by_document.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("wanted", normal_lines(F.col("text")).alias("lines"))
+    words = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.first", F.split(F.get("lines", F.col("w.pos")), " ").alias("words"))
+    ranged = words.dropDuplicates(["h1", "h2"]).repartitionByRange("first").sortWithinPartitions("first")
+    return ranged.select("h1", "h2", F.monotonically_increasing_id().alias("ord"), "words")
+
+
 def _near_earlier(candidates: DataFrame) -> DataFrame:
     """(h1, h2) of lines that are one word edit from an earlier one.
 
     A line emits itself (W), and each single-word deletion both as (length, place, remainder),
-    which two lines share exactly if a substitution at that place makes them equal, and as the
-    shorter line (D). So of each key only the earliest line of each sort is needed, never pairs.
+    which two lines share exactly if a substitution at that place makes them equal (S), and as
+    the shorter line (D). So of each key only the earliest line of each sort is needed, never
+    pairs. Before that, lines without another of a length within one that shares its exact first
+    or last half are put aside.
     """
     words = F.col("words")
     n = F.size(words)
+
+    def halves(t: Column) -> list[Column]:
+        k = (t / 2).cast("int")
+        return [F.xxhash64(F.lit("first"), t, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit("last"), t, F.slice(words, n - k + 1, k))]
+
+    keyed = candidates.select("ord", F.explode(F.array(*halves(n), *halves(n - 1))).alias("key"))
+    closer = written(candidates.join(_shared(keyed, "ord"), "ord", "left_semi"), "dedup-closer")
     variants = F.when(n <= MAX_WORDS, _variants(words)).otherwise(F.array().cast("array<bigint>"))
     # a whole line's hash, in the form in which a line of one word more hashes its variants
     whole = F.when(n < DIRECT_WORDS, F.xxhash64(words)).otherwise(_whole_sums(words))
-    emitted = candidates.select("h1", "h2", "first", "words", variants.alias("v")).select(
-        "h1", "h2", "first",
+    emitted = closer.select("ord", n.alias("n"), whole.alias("whole"), variants.alias("v")).select(
+        "ord",
         F.explode(F.concat(
-            F.array(F.struct(F.lit("W").alias("sort"), whole.alias("key"))),
+            F.array(F.struct(F.lit("W").alias("sort"), F.col("whole").alias("key"))),
             F.transform("v", lambda k: F.struct(F.lit("D").alias("sort"), k.alias("key"))),
-            F.transform("v", lambda k, i: F.struct(F.lit("S").alias("sort"), F.xxhash64(F.size("words"), i, k).alias("key"))),
+            F.transform("v", lambda k, i: F.struct(F.lit("S").alias("sort"), F.xxhash64("n", i, k).alias("key"))),
         )).alias("e"),
-    ).select("h1", "h2", "first", "e.sort", "e.key")
-    member = F.struct("first", "h1", "h2")
+    ).select("ord", "e.sort", "e.key")
     least = emitted.groupBy("key").agg(
-        F.min(F.when(F.col("sort") == "W", member)).alias("w"),
-        F.min(F.when(F.col("sort") == "D", member)).alias("d"),
-        F.min(F.when(F.col("sort") == "S", member)).alias("s"),
-        F.count("*").alias("size"),
-    ).where("size > 1")
-    partner = F.when(F.col("sort") == "W", F.col("d")).when(F.col("sort") == "D", F.col("w")).otherwise(F.col("s"))
-    pairs = (
-        emitted.join(least, "key").select("h1", "h2", "first", partner.alias("p"))
-        .where(F.col("p.first") < F.col("first"))
-        .select("h1", "h2", F.col("p.h1").alias("o1"), F.col("p.h2").alias("o2")).distinct()
-    )
-    mine = candidates.select("h1", "h2", "words")
-    other = candidates.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("other"))
-    return pairs.join(mine, ["h1", "h2"]).join(other, ["o1", "o2"]).where(_one_edit_apart(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
+        F.min(F.when(F.col("sort") == "D", F.col("ord"))).alias("d"),
+        F.min(F.when(F.col("sort") != "D", F.col("ord"))).alias("w"),
+        F.max("ord").alias("last"),
+    ).where(F.least("d", "w") < F.col("last")).select("key", "d", "w")
+    partner = F.when(F.col("sort") == "W", F.col("d")).otherwise(F.col("w"))
+    pairs = emitted.join(least, "key").select("ord", partner.alias("earlier")).where("earlier < ord").distinct()
+    mine = closer.select("ord", "h1", "h2", "words")
+    other = closer.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
+    return pairs.join(mine, "ord").join(other, "earlier").where(_one_edit_apart(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
 
 def _whole_sums(words: Column) -> Column:
@@ -183,7 +204,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     n_dropped are replaced, all others pass.
     """
     drops = dropped_lines(docs, min_words).select(F.col("doc_id").alias("_dl_id"), F.col("text_key").alias("_dl_key"), F.col("dropped").alias("_dl_dropped"))
-    kept = docs.withColumn("_dl_text_key", F.xxhash64("text"))
+    kept = docs.withColumn("_dl_text_key", F.hash("text"))
     joined = kept.join(drops, kept["doc_id"].eqNullSafe(F.col("_dl_id")) & (F.col("_dl_text_key") == F.col("_dl_key")), "left")
     lines = F.split("text", "\n", -1)
     stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dl_dropped", i)), "\n")
