@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm.ann import nearest_vectors
 from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
@@ -93,6 +94,7 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_toxicity": op9_toxicity,
     "op10_audio": op10_audio,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {}
