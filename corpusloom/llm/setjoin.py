@@ -19,8 +19,8 @@ U = np.uint64
 WORDS_HELD, SETS_HELD = 1 << 20, 64
 #: Sets of one partition that emit their keys once only; beyond it they may do so again.
 SEEN_HELD = 1 << 21
-#: Rounds in which each bucket compares all members with one of them, before the rest is compared pair by pair.
-STAR_ROUNDS = 3
+#: Rounds in which each bucket compares all members with one of them, before what is still apart is compared by rare shingles.
+STAR_ROUNDS = 2
 
 
 def mix(z: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -266,8 +266,8 @@ def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
 
     Rows with equal sets are one node, so copies never multiply. Sets emit keys by ``Schemes``;
     equal keys make a bucket. All pairs of a bucket would be quadratic, so a bucket first compares
-    every member with one of them, a few rounds over with other ones; members that are then in
-    one component need no more. Only pairs still apart are compared one by one. Sets are compared
+    every member with one of them, then with its most central one; members that are then in one
+    component need no more. Pairs still apart are found by their rarest shingles, exactly. Sets are compared
     by 64-bit hashes of their shingles; nodes are told apart by 64-bit fingerprints.
 
     Cases: null and texts without words have no set and link with nothing; a text of fewer words
@@ -307,8 +307,8 @@ def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
         if apart.isEmpty():
             break
         last = turn == STAR_ROUNDS
-        pairs = _bucket_pairs(apart) if last else _star_pairs(apart, turn)
-        more = written(plausible(pairs).join(tried, ["a", "b"], "left_anti"), f"setjoin-tried{turn}")
+        pairs = _rare_pairs(apart, texts, words, num, den) if last else _central_pairs(apart)
+        more = written((pairs if last else plausible(pairs)).join(tried, ["a", "b"], "left_anti"), f"setjoin-tried{turn}")
         tried = tried.union(more)
         links = links.union(written(_verified(more, texts, words, num, den), f"setjoin-links{turn}"))
     labels = components(spark, links, "setjoin-result")
@@ -319,21 +319,54 @@ def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
 
 
 def _apart(spark: SparkSession, members: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """(key, node, label) of the buckets whose members are not yet in one component."""
+    """(key, node, label) of the buckets whose members are not yet in one component; of two members, the pair was compared."""
     labels = components(spark, links, f"setjoin-labels{turn}")
     whole = members.select("key", "node").union(members.select("key", F.col("pivot").alias("node")).distinct())
     marked = whole.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     return written(marked.join(open_keys, "key"), f"setjoin-apart{turn}")
 
 
-def _star_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's members with the one that a hash puts first, if they are apart."""
-    pivot = apart.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
+def _central_pairs(apart: DataFrame) -> DataFrame:
+    """Each bucket's members with the one that is in the most buckets, as near the centre of a group of near copies, if they are apart."""
+    degree = apart.groupBy("node").agg(F.count("*").alias("degree"))
+    pivot = apart.join(degree, "node").groupBy("key").agg(F.max_by(F.struct("node", "label"), F.struct("degree", "node")).alias("pivot"))
     return apart.join(pivot, "key").where(F.col("label") != F.col("pivot.label")).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))
 
 
-def _bucket_pairs(apart: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are apart; what the star rounds leave."""
-    other = apart.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    return apart.join(other, "key").where((F.col("label") != F.col("label_y")) & (F.col("node") < F.col("y"))).select(F.col("node").alias("x"), "y")
+def _rare_pairs(apart: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b) of all pairs still apart that can link, found by their rarest shingles.
+
+    Whatever links with a node left here is here too, as they share a bucket. Shingles are put in
+    order, those of the fewest sets first. Two sets that link share one among each one's first
+    n - ceil(n * num / den) + 1; and if the first that they share is at places i and j, they
+    share 1 + min(n - i, m - j) at most, which must be enough. In a group of near copies, the
+    rarest shingles are each copy's own changes, so copies far apart never meet.
+    """
+    nodes = apart.select("node", "label").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("data"), strict=True):
+                s = shingles(data.as_py(), words, hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node, np.int64)), pa.array(np.full(len(s), len(s), np.int64))], names=["token", "node", "n"])
+
+    tokens = written(texts.join(nodes, "node", "left_semi").mapInArrow(run, "token long, node long, n long"), "setjoin-tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    of_node = Window.partitionBy("node")
+    # Shingles of one set alone come first and meet nothing; only their number counts.
+    placed = (
+        tokens.join(common, "token")
+        .withColumn("place", F.row_number().over(of_node.orderBy("sets", "token")) + F.col("n") - F.count("*").over(of_node))
+        .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1)
+    )
+    rare = written(placed.join(nodes, "node").select("token", "node", "n", "place", "label"), "setjoin-rare")
+    mixed = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    rare = rare.join(mixed, "token", "left_semi")
+    x, y = rare.alias("x"), rare.alias("y")
+    needed = (F.col("x.n") + F.col("y.n")) * num / (num + den)
+    share = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    sizes_fit = den * F.least(F.col("x.n"), F.col("y.n")) >= num * F.greatest(F.col("x.n"), F.col("y.n"))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes_fit & (share + 1e-9 >= needed)
+    return x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
