@@ -1,4 +1,7 @@
 """Registered queries: name -> plan, and name -> the same result in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusloom.plans import freshness
+
+FAMILIES = [freshness]
+QUERIES: dict = {name: plan for family in FAMILIES for name, plan in family.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
