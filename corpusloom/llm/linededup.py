@@ -92,7 +92,8 @@ def _shared(keyed: DataFrame, member: str) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """Lines to drop: (doc_id, text_key, dropped: array of 0-based line numbers), for ``dedup_lines``."""
     lines = (
-        docs.select("doc_id", F.hash("text").alias("text_key"), F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
+        docs.select("doc_id", F.hash("text").alias("text_key"), normal_lines(F.col("text")).alias("all"))
+        .select("doc_id", "text_key", F.posexplode("all").alias("pos", "line"))
         .withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
         .where(F.col("words") >= min_words)
         .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line"), "half": _half(F.col("words")), "less": _half(F.col("words") - 1)})
