@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import scope_digest
 from corpusloom.functions.paths import ancestors, basename, parent, suffix_score
+from corpusloom.operators.tables import written
 
 
 def note_status(inventory: DataFrame, notes: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def exact_moves(orphaned: DataFrame, missing: DataFrame, rounds: int = 8) -> Dat
             "rs": F.row_number().over(Window.partitionBy("source").orderBy(*order)),
             "rt": F.row_number().over(Window.partitionBy("target").orderBy(*order)),
         }).where("rs = 1 and rt = 1").select("source", "target")
-        best = best.checkpoint() if pairs.sparkSession.conf.get("spark.checkpoint.dir", None) else best.persist()
+        best = written(best, "moves")
         if best.isEmpty():
             break
         taken = best if taken is None else taken.unionByName(best)

@@ -2,38 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import written
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) of an undirected edge table (src, dst): the least node of each component.
 
     Each round a node takes the least label next to it, then that label's label.
     """
-    both = _written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "graph")
     alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = _written(alone.select("node", F.col("node").alias("component")))
+    labels = written(alone.select("node", F.col("node").alias("component")), "graph")
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
         step = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jump"))
-        new = _written(step.join(jump, "via").select("node", "old", F.least("via", "jump").alias("component")))
+        new = written(step.join(jump, "via").select("node", "old", F.least("via", "jump").alias("component")), "graph")
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
             return labels
@@ -45,13 +33,13 @@ def reachability(edges: DataFrame, starts: DataFrame | None = None, rounds: int
 
     The result has a row for each pair, so starts should be few, or the graph small.
     """
-    edges = _written(edges.select("src", "dst").distinct())
+    edges = written(edges.select("src", "dst").distinct(), "graph")
     base = edges if starts is None else edges.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
-    reached = _written(base.select("src", "dst", F.lit(1).alias("hops")))
+    reached = written(base.select("src", "dst", F.lit(1).alias("hops")), "graph")
     frontier = reached
     for hops in range(2, rounds + 1):
         onward = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = _written(onward.join(reached, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        frontier = written(onward.join(reached, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "graph")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
@@ -67,11 +55,11 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def waves(items: DataFrame, requires: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, wave): 0 without requirements, else one more than the highest wave of what it requires (src requires dst)."""
-    depth = _written(items.select("node").distinct().withColumn("wave", F.lit(0)))
-    needs = _written(requires.select("src", "dst").distinct())
+    depth = written(items.select("node").distinct().withColumn("wave", F.lit(0)), "graph")
+    needs = written(requires.select("src", "dst").distinct(), "graph")
     for _ in range(rounds):
         lifted = needs.join(depth.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("wave") + 1).alias("lifted"))
-        new = _written(depth.join(lifted, "node", "left").select("node", F.col("wave").alias("old"), F.greatest("wave", F.coalesce("lifted", F.lit(0))).alias("wave")))
+        new = written(depth.join(lifted, "node", "left").select("node", F.col("wave").alias("old"), F.greatest("wave", F.coalesce("lifted", F.lit(0))).alias("wave")), "graph")
         depth = new.select("node", "wave")
         if new.where("old <> wave").isEmpty():
             return depth

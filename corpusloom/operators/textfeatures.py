@@ -25,7 +25,8 @@ def token_features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Counts by (document, token) first, so that a document's tokens are never one array twice.
     """
-    of = docs.select(key, F.size(T.filled(T.lines(F.col("text")))).alias("code_lines"), F.explode_outer(T.tokens(F.col("text"))).alias("token"))
+    # Beside a generator, an expression would be computed for each row that it makes: so this goes first.
+    of = docs.select(key, F.size(T.filled(T.lines(F.col("text")))).alias("code_lines"), T.tokens(F.col("text")).alias("t")).select(key, "code_lines", F.explode_outer("t").alias("token"))
     counted = of.groupBy(key, "code_lines", "token").agg(F.count("token").alias("n"))
     sums = counted.groupBy(key, "code_lines").agg(F.sum("n").alias("tokens"), F.count("token").alias("distinct_tokens"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
     entropy = F.when(F.col("tokens") > 0, F.log2("tokens") - F.col("s") / F.col("tokens")).otherwise(0.0)
