@@ -34,8 +34,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, rho): rank correlation; rho is null, not 0, if either side has no variance."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ranked = average_ranks(average_ranks(both, a, "_ra"), b, "_rb")
-    spread = (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return ranked.agg(F.count("*").alias("n"), F.when(spread, F.corr("_ra", "_rb")).alias("rho"))
+    # corr() itself divides by zero without variance
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return ranked.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_ra", "_rb"), spread).alias("rho"))
 
 
 def z_scores(df: DataFrame, metrics: list[str]) -> DataFrame:
