@@ -18,7 +18,8 @@ STEP = 1.25
 def normal_lines(text: Column) -> Column:
     """Lines in lower case, white space within them as single spaces, none at their ends."""
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.transform(F.split(spaced, "\n", -1), F.trim)
+    # Given F.trim itself, transform would pass each line's index as the characters to trim.
+    return F.transform(F.split(spaced, "\n", -1), lambda line: F.trim(line))
 
 
 def _half(words: Column) -> Column:
