@@ -13,6 +13,8 @@ DIRECT_WORDS = 256
 HASH_VALUES, MAX_WORDS = 1 << 22, 1 << 20
 #: Ratio of successive half lengths by which lines are first matched.
 STEP = 1.25
+#: Segments of which the words around are hashed before the words within are varied.
+SEGMENTS = 8
 
 
 def normal_lines(text: Column) -> Column:
@@ -138,34 +140,52 @@ def _with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return ranged.select("h1", "h2", F.monotonically_increasing_id().alias("ord"), "words")
 
 
+def _spans(t: Column, j: Column) -> tuple[Column, Column]:
+    """Words before and after segment ``j`` of ``t`` words."""
+    return (j * t / SEGMENTS).cast("int"), t - ((j + 1) * t / SEGMENTS).cast("int")
+
+
+def _around(words: Column, t: Column) -> Column:
+    """(key, t, j) of each segment j of a line that is taken as ``t`` words long: a hash of all words around it."""
+
+    def around(j: Column) -> Column:
+        before, after = _spans(t, j)
+        rest = (F.slice(words, F.lit(1), before), F.slice(words, F.size(words) - after + 1, after))
+        return F.struct(F.xxhash64(t, j, *rest).alias("key"), t.alias("t"), j.alias("j"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), around)
+
+
 def _near_earlier(candidates: DataFrame) -> DataFrame:
     """(h1, h2) of lines that are one word edit from an earlier one.
 
-    A line emits itself (W), and each single-word deletion both as (length, place, remainder),
-    which two lines share exactly if a substitution at that place makes them equal (S), and as
-    the shorter line (D). So of each key only the earliest line of each sort is needed, never
-    pairs. Before that, lines without another of a length within one that shares its exact first
-    or last half are put aside.
+    Two lines one edit apart agree in all words around one of SEGMENTS segments, cut by the length
+    of the shorter; so a line is cut by its own length and by one less, and of segments with a
+    partner only the words inside are varied. Such an inside emits itself (W), and each
+    single-word deletion: at the line's own length as (place, remainder), which two lines share
+    exactly if a substitution there makes them equal (S); at one less as the shorter line (D).
+    So of each key only the earliest line of each sort is needed, never pairs.
     """
-    words = F.col("words")
-    n = F.size(words)
-
-    def halves(t: Column) -> list[Column]:
-        k = (t / 2).cast("int")
-        return [F.xxhash64(F.lit("first"), t, F.slice(words, F.lit(1), k)), F.xxhash64(F.lit("last"), t, F.slice(words, n - k + 1, k))]
-
-    keyed = candidates.select("ord", F.explode(F.array(*halves(n), *halves(n - 1))).alias("key"))
-    closer = written(candidates.join(_shared(keyed, "ord"), "ord", "left_semi"), "dedup-closer")
-    variants = F.when(n <= MAX_WORDS, _variants(words)).otherwise(F.array().cast("array<bigint>"))
-    # a whole line's hash, in the form in which a line of one word more hashes its variants
-    whole = F.when(n < DIRECT_WORDS, F.xxhash64(words)).otherwise(_whole_sums(words))
-    emitted = closer.select("ord", n.alias("n"), whole.alias("whole"), variants.alias("v")).select(
+    n = F.size("words")
+    keyed = candidates.select("ord", F.explode(F.concat(_around(F.col("words"), n), _around(F.col("words"), n - 1))).alias("s")).select("ord", "s.*")
+    several = keyed.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low <> high").select("key")
+    before, after = _spans(F.col("t"), F.col("j"))
+    closer = written(
+        keyed.join(several, "key", "left_semi").join(candidates.select("ord", "words"), "ord")
+        .select("ord", "key", (n == F.col("t")).alias("own"), F.slice("words", before + 1, n - before - after).alias("inside")),
+        "dedup-closer",
+    )
+    inside = F.col("inside")
+    variants = F.when(F.size(inside) <= MAX_WORDS, _variants(inside)).otherwise(F.array().cast("array<bigint>"))
+    # the whole inside's hash, in the form in which an inside of one word more hashes its variants
+    whole = F.when(F.size(inside) < DIRECT_WORDS, F.xxhash64(inside)).otherwise(_whole_sums(inside))
+    sort = lambda name, key: F.struct(F.lit(name).alias("sort"), key.alias("key"))
+    emitted = closer.select("ord", "key", "own", F.when(F.col("own"), whole).alias("whole"), variants.alias("v")).select(
         "ord",
-        F.explode(F.concat(
-            F.array(F.struct(F.lit("W").alias("sort"), F.col("whole").alias("key"))),
-            F.transform("v", lambda k: F.struct(F.lit("D").alias("sort"), k.alias("key"))),
-            F.transform("v", lambda k, i: F.struct(F.lit("S").alias("sort"), F.xxhash64("n", i, k).alias("key"))),
-        )).alias("e"),
+        F.explode(
+            F.when(F.col("own"), F.concat(F.array(sort("W", F.xxhash64("key", "whole"))), F.transform("v", lambda k, i: sort("S", F.xxhash64("key", i, k)))))
+            .otherwise(F.transform("v", lambda k: sort("D", F.xxhash64("key", k))))
+        ).alias("e"),
     ).select("ord", "e.sort", "e.key")
     least = emitted.groupBy("key").agg(
         F.min(F.when(F.col("sort") == "D", F.col("ord"))).alias("d"),
@@ -174,8 +194,8 @@ def _near_earlier(candidates: DataFrame) -> DataFrame:
     ).where(F.least("d", "w") < F.col("last")).select("key", "d", "w")
     partner = F.when(F.col("sort") == "W", F.col("d")).otherwise(F.col("w"))
     pairs = emitted.join(least, "key").select("ord", partner.alias("earlier")).where("earlier < ord").distinct()
-    mine = closer.select("ord", "h1", "h2", "words")
-    other = closer.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
+    mine = candidates.select("ord", "h1", "h2", "words")
+    other = candidates.select(F.col("ord").alias("earlier"), F.col("words").alias("other"))
     return pairs.join(mine, "ord").join(other, "earlier").where(_one_edit_apart(F.col("words"), F.col("other"))).select("h1", "h2").distinct()
 
 
@@ -195,7 +215,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     white space collapsed. Of equal lines the earliest (by doc_id, null last, then line) stays; a
     line that is one edit from an earlier line, kept or not, goes. Returns all columns, ``text``
     being the lines that stay, with n_lines and n_dropped. Lines that share no half with another
-    are put aside by hashes; the rest emit their deletion variants; see ``_near_earlier``.
+    are put aside by hashes; the rest emit deletion variants where they differ; see ``_near_earlier``.
 
     Hot lines and hot variants are reduced to their earliest place before they are shuffled, and
     joined back, which Spark can split. Text is shuffled only by document.
