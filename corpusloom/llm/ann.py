@@ -44,7 +44,7 @@ def _nearest(edges: DataFrame, keep: int) -> DataFrame:
     return edges.groupBy("a").agg(best.alias("near")).select("a", F.explode("near").alias("e")).select("a", "e.b", "e.d")
 
 
-def _ordered_blocks(points: DataFrame, dim: int, order: int) -> DataFrame:
+def _ordered_blocks(points: DataFrame, dim: int, order: int, parts: int) -> DataFrame:
     """Edges between near rows of one order: sorted by a code of random half-spaces, then one projection.
 
     The order is cut into blocks of BLOCK rows wherever that falls, so no code, however common,
@@ -74,7 +74,7 @@ def _ordered_blocks(points: DataFrame, dim: int, order: int) -> DataFrame:
 
     keyed = points.mapInArrow(coded, "id long, vector array<float>, code long, along double")
     by = ["code", "along", "id"]
-    return keyed.repartitionByRange(shuffle_partitions(points.sparkSession), *by).sortWithinPartitions(*by).select("id", "vector").mapInArrow(compared, "a long, b long, d double")
+    return keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("id", "vector").mapInArrow(compared, "a long, b long, d double")
 
 
 def _block_edges(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -122,9 +122,11 @@ def neighbour_graph(points: DataFrame, dim: int, name: str = "ann") -> DataFrame
     Starts from ORDERS random orders, then joins each node's neighbours with one another until a
     round changes few edges.
     """
-    start = _ordered_blocks(points, dim, 0)
+    # Of a few rows, many ranges would be blocks of one or two, which have no edges.
+    parts = max(1, min(shuffle_partitions(points.sparkSession), points.count() // (4 * BLOCK)))
+    start = _ordered_blocks(points, dim, 0, parts)
     for order in range(1, ORDERS):
-        start = start.union(_ordered_blocks(points, dim, order))
+        start = start.union(_ordered_blocks(points, dim, order, parts))
     graph = written(_nearest(start, DEGREE), f"{name}-graph0")
     for k in range(1, ROUNDS + 1):
         found = _nearest(graph.union(_local_join(graph, points, dim)), DEGREE)
