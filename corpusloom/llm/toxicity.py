@@ -36,7 +36,9 @@ def normalised(text: str) -> bytes:
 
 def windows(data: bytes) -> list[bytes]:
     """Consecutive windows of whole words, each with the space before its first word."""
-    data = b" " + data.strip(b" ") + b" "
+    if not (data := data.strip(b" ")):
+        return []
+    data = b" " + data + b" "
     out, at, last = [], 0, len(data) - 1
     while at < last:
         end = last if at + WINDOW >= last else data.rfind(b" ", at + 1, at + WINDOW)
