@@ -38,3 +38,22 @@ def test_unusable_vectors_and_few_candidates(spark):
     got = nearest_vectors(df, df.where("vec_id % 100 = 0").select("vec_id")).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 2), (100, 2, 0), (100, 3, 1)]
     assert nearest_vectors(df.where(F.lit(False)), df.select("vec_id")).count() == 0
+
+
+def test_all_neighbours_of_vectors_without_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], SCHEMA).repartition(4)
+    got = nearest_vectors(df, df.where("vec_id % 100 = 0").select("vec_id")).collect()
+    for q in range(0, len(x), 100):
+        d = ((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1)
+        d[q] = np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == np.argsort(d, kind="stable")[:10].tolist()
+
+
+def test_more_ties_than_neighbours_and_several_scans(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.llm.ann.SENT", 3)
+    rows = [(k, [float(i == k) for i in range(40)]) for k in range(40)]
+    got = nearest_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(rows[::4], SCHEMA), k=5).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in got} == {(q, i + 1, v) for q in range(0, 40, 4) for i, v in enumerate([v for v in range(7) if v != q][:5])}
