@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -24,13 +25,15 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 @cache
 def encoder(vocabulary: str):
-    """Encoder for a public byte-level BPE file: a ``.tiktoken`` list of ranks."""
+    """Encoder for a public byte-level BPE file: a ``.tiktoken`` list of ranks, and the added tokens of the JSON beside it."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")), encoding="utf-8") as full:
+        added = {token["content"]: token["id"] for token in json.load(full)["added_tokens"]}
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 @cache
@@ -38,7 +41,7 @@ def sentence_enders(vocabulary: str) -> np.ndarray:
     """For each token id, whether its bytes, without closing quotes and spaces, end a sentence or a line."""
     enc = encoder(vocabulary)
     ends = np.zeros(enc.n_vocab + 1, dtype=bool)
-    for i in range(enc.n_vocab):
+    for i in set(range(enc.n_vocab)) - set(map(enc.encode_single_token, enc.special_tokens_set)):
         data = enc.decode_single_token_bytes(i)
         ends[i] = data.endswith(b"\n") or data.rstrip(b" \"')]").endswith((b".", b"!", b"?", "。".encode(), "！".encode(), "？".encode()))
     ends[END_OF_DOCUMENT] = False
@@ -144,7 +147,7 @@ class _Stream:
 def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` tokens, order kept.
 
-    Each document is its tokens, then END_OF_DOCUMENT. The documents of a partition, in their
+    Each document is its tokens, added tokens such as <|endoftext|> found in the text among them, then END_OF_DOCUMENT. The documents of a partition, in their
     order, are one stream; ``window_cuts`` chooses where it is cut, at the ends of documents
     (free) or sentences (a small penalty), so that padding plus penalties is least. Only in a
     stretch of more than MAX_SENTENCE tokens without such an end may a cut lie inside, at a high
@@ -164,7 +167,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_
         stream = _Stream(vocabulary, window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = enc.encode_ordinary(text.as_py() or "")
+                ids = enc.encode(text.as_py() or "", allowed_special="all")
                 ids.append(END_OF_DOCUMENT)
                 stream.add(doc_id, np.array(ids, dtype=np.uint32))
                 if stream.held >= BLOCK_TOKENS and (out := stream.pack(last=False)) is not None:

@@ -79,3 +79,9 @@ def test_nulls_repeats_and_extra_columns(spark):
     pieces = pack_documents(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", start int, ids string")).collect()
     assert sorted((p.doc_id or 0, p.doc_tokens) for p in pieces) == [(0, 2), (0, 2), (1, 1), (1, 1)]
     assert pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext |> x.<|endoftext|>\ny" * 50)]
+    pieces = pack_documents(spark.createDataFrame(rows, SCHEMA), window=64).collect()
+    check_pieces(rows, pieces, 64)
