@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import scope_digest
-from corpusloom.functions.paths import ancestors, basename, parent, suffix_score
+from corpusloom.functions.paths import ancestors, basename, parent
 from corpusloom.operators.tables import written
 
 
@@ -29,38 +29,37 @@ def status_counts(status: DataFrame, by: list[str] = ()) -> DataFrame:
     return status.groupBy(*by).agg(*[of(s) for s in ("fresh", "outdated", "missing", "moved", "ignored")], F.count_if(F.col("status") != "ignored").alias("total"))
 
 
-def exact_moves(orphaned: DataFrame, missing: DataFrame, rounds: int = 8) -> DataFrame:
+def exact_moves(orphaned: DataFrame, missing: DataFrame) -> DataFrame:
     """(source, target): an orphan's note goes to a missing path of the same blob, one to one.
 
     Greedy: among pairs of one blob, the longest common path suffix wins, ties by the smaller
-    paths. In each round every source and every target names its best open pair; pairs that both
-    name are taken, which is the greedy choice, found for all blobs at once. What is left of very
-    large groups of equal blobs after ``rounds`` is paired in path order, which needs one sort.
+    paths. From the longest suffix down to none, what is open with one blob and suffix ties, as no
+    longer one is shared; such ties go by rank of the source and of the target, a group of any
+    size at once. A path with several blobs can win in two groups: its later pair and those after
+    it in that group then wait for the next pass.
     """
-    score = suffix_score(F.col("source"), F.col("target"))
-    sources = orphaned.select(F.col("path").alias("source"), F.col("hash").alias("blob")).where("blob is not null").distinct()
-    targets = missing.select(F.col("path").alias("target"), "blob").distinct()
-    # Names first: pairs that share a basename are the ones whose suffix can be longer than others'.
-    named = sources.withColumn("name", basename(F.col("source"))).join(targets.withColumn("name", basename(F.col("target"))), ["blob", "name"])
-    order = [F.col("score").desc(), "source", "target"]
-    taken = None
-    pairs = named.select("blob", "source", "target", score.alias("score"))
-    for _ in range(rounds):
-        best = pairs.withColumns({
-            "rs": F.row_number().over(Window.partitionBy("source").orderBy(*order)),
-            "rt": F.row_number().over(Window.partitionBy("target").orderBy(*order)),
-        }).where("rs = 1 and rt = 1").select("source", "target")
-        best = written(best, "moves")
-        if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
-        pairs = pairs.join(best.select("source"), "source", "left_anti").join(best.select("target"), "target", "left_anti")
-    rest_s = sources if taken is None else sources.join(taken.select("source"), "source", "left_anti")
-    rest_t = targets if taken is None else targets.join(taken.select("target"), "target", "left_anti")
-    s = rest_s.withColumn("place", F.row_number().over(Window.partitionBy("blob").orderBy("source")))
-    t = rest_t.withColumn("place", F.row_number().over(Window.partitionBy("blob").orderBy("target")))
-    last = s.join(t, ["blob", "place"]).select("source", "target")
-    return last if taken is None else taken.unionByName(last)
+    def parted(df: DataFrame, path: str, blob: str, name: str) -> DataFrame:
+        rows = df.select(F.col(path).alias(name), F.col(blob).alias("blob")).where("blob is not null").distinct()
+        return written(rows.withColumn("parts", F.reverse(F.split(name, "/"))), "moves")
+
+    sources, targets = parted(orphaned, "path", "hash", "source"), parted(missing, "path", "blob", "target")
+    taken = written(sources.join(targets.select("blob", "target"), "blob").select("source", "target").limit(0), "moves")
+    longest = [df.agg(F.max(F.size("parts"))).first()[0] or 0 for df in (sources, targets)]
+    for length in range(min(longest), -1, -1):
+        while True:
+            def ranked(df: DataFrame, name: str, n: int = length) -> DataFrame:
+                rows = df.join(taken.select(name), name, "left_anti").where(F.size("parts") >= n).withColumn("suffix", F.slice("parts", F.lit(1), F.lit(n)))
+                return rows.withColumn("place", F.row_number().over(Window.partitionBy("blob", "suffix").orderBy(name))).drop("parts")
+
+            pairs = written(ranked(sources, "source").join(ranked(targets, "target"), ["blob", "suffix", "place"]), "moves")
+            first = [F.row_number().over(Window.partitionBy(name).orderBy("source", "target", "blob")) == 1 for name in ("source", "target")]
+            judged = pairs.withColumn("wins", first[0] & first[1])
+            lost = judged.where(~F.col("wins")).groupBy("blob", "suffix").agg(F.min("source").alias("until"))
+            best = written(pairs.join(lost, ["blob", "suffix"], "left").where("until is null or source < until").select("source", "target"), "moves")
+            taken = taken.unionByName(best)
+            if best.isEmpty() or lost.isEmpty():
+                break
+    return taken
 
 
 def directory_moves(moves: DataFrame, least: int = 1) -> DataFrame:

@@ -60,6 +60,13 @@ def exact_moves(spark, sf):
     return O.exact_moves(orphaned, missing)
 
 
+def all_moves(spark, sf):
+    """Moves with copies: blobs that several orphans or missing paths hold are paired greedily, which SQL can't say."""
+    inv = inventory(spark, sf)
+    n = notes(inv)
+    return O.exact_moves(O.orphans(inv, n), O.note_status(inv, n).where("status = 'missing'"))
+
+
 def moved_overlay(spark, sf):
     inv = inventory(spark, sf)
     n = notes(inv)
@@ -72,6 +79,10 @@ def directory_moves(spark, sf):
     return O.directory_moves(exact_moves(spark, sf))
 
 
+def all_directory_moves(spark, sf):
+    return O.directory_moves(all_moves(spark, sf))
+
+
 def directory_hashes(spark, sf):
     return O.directory_hashes(inventory(spark, sf).withColumn("path", F.concat_ws("/", "source", "lang", (F.col("doc_id") % 10).cast("string"), F.col("doc_id").cast("string"))), levels=4)
 
@@ -116,7 +127,7 @@ ANCESTORS = "select array_to_string(list_slice(string_split(path, '/'), 1, i::in
 
 QUERIES = {
     "freshness_status": freshness_status, "hsh1_content_hash": content_hash, "agg1_status_counts": status_by_source, "joi2_orphans": orphan_notes,
-    "joi4_exact_moves": exact_moves, "joi7_moved_overlay": moved_overlay, "joi6_directory_moves": directory_moves, "agg3_directory_hashes": directory_hashes,
+    "joi4_exact_moves": exact_moves, "joi4_all_moves": all_moves, "joi6_all_directory_moves": all_directory_moves, "joi7_moved_overlay": moved_overlay, "joi6_directory_moves": directory_moves, "agg3_directory_hashes": directory_hashes,
     "agg4_scope_hashes": scope_hashes, "agg29_tree_rollup": tree_rollup, "joi18_drift": drift, "agg37_trend": trend,
     "txt11_link_edges": link_edges, "txt9_broken_links": broken_links, "arr3_page_tree": page_tree,
 }

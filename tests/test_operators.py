@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import attention, coverage, decisions, freshness, glossary, graph
@@ -25,6 +27,20 @@ def test_moves_prefer_the_longest_suffix(spark):
     assert pairs(freshness.exact_moves(orphaned, missing)) == [("old/g.md", "new/f.md"), ("old/x/f.md", "new/x/f.md")]
 
 
+def test_moves_of_many_copies_against_the_greedy_rule(spark):
+    rng = random.Random(2)
+    path = lambda top: "/".join([top, *rng.choices("xyz", k=rng.randrange(3)), rng.choice(["f.md", "g.md"])])
+    orphaned = sorted({(f"{path(f'old{k}')}", rng.choice("12")) for k in range(40)} | {(f"o/{k:02}/same.md", "3") for k in range(30)} | {("twice/f.md", "1"), ("twice/f.md", "2")})
+    missing = sorted({(f"{path(f'new{k}')}", rng.choice("12")) for k in range(40)} | {(f"n/{k:02}/same.md", "3") for k in range(30)} | {(f"n/00/{k:02}.md", "3") for k in range(5)})
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a.split("/")[::-1], b.split("/")[::-1])) if x != y), min(a.count("/"), b.count("/")) + 1)
+    wanted, used = [], set()
+    for _, s, t in sorted((-shared(s, t), s, t) for s, h in orphaned for t, b in missing if h == b):
+        if ("s", s) not in used and ("t", t) not in used:
+            used |= {("s", s), ("t", t)}
+            wanted.append((s, t))
+    assert pairs(freshness.exact_moves(frame(spark, "path string, hash string", *orphaned), frame(spark, "path string, blob string", *missing))) == sorted(wanted)
+
+
 def test_evidence_precedence(spark):
     req = frame(spark, "domain string, unit string, path string, blob string, deleted boolean", *[("d", u, p, "1", x) for u, p, x in [("u", "ok", False), ("u", "old", False), ("u", "gone", True), ("u", "unread", False), ("twice", "ok", False), ("none", "ok", False)]])
     units = frame(spark, "domain string, unit string, accepted boolean", ("d", "u", True), ("d", "twice", True), ("d", "twice", True))
