@@ -28,29 +28,70 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise ValueError(f"no fixed point after {rounds} rounds")
 
 
-def reachability(edges: DataFrame, starts: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def reachability(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(src, dst, hops): the fewest hops to what each start reaches, only new pairs going into the next round.
 
-    The result has a row for each pair, so starts should be few, or the graph small.
+    Ends when a round finds no new pair. The result has a row for each pair, so starts should be
+    few, or the graph small.
     """
     edges = written(edges.select("src", "dst").distinct(), "graph")
     base = edges if starts is None else edges.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
-    reached = written(base.select("src", "dst", F.lit(1).alias("hops")), "graph")
-    frontier = reached
-    for hops in range(2, rounds + 1):
+    reached = frontier = written(base.select("src", "dst", F.lit(1).alias("hops")), "graph")
+    hops = 1
+    while not frontier.isEmpty():
+        hops += 1
         onward = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
         frontier = written(onward.join(reached, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "graph")
-        if frontier.isEmpty():
-            break
         reached = reached.unionByName(frontier)
+        if hops % 16 == 0:
+            # A union of very many tables would be slow to plan.
+            reached = written(reached, "graph")
     return reached
 
 
+def _spread(edges: DataFrame) -> DataFrame:
+    """(node, label): the least of a node and of all nodes that reach it. Labels also take their label's label, so long ways are soon crossed."""
+    labels = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node")), "graph")
+    while True:
+        heard = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
+        step = labels.join(heard, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
+        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("jump"))
+        new = written(step.join(jump, "via").select("node", "old", F.least("via", "jump").alias("label")), "graph")
+        labels = new.select("node", "label")
+        if new.where("old <> label").isEmpty():
+            return labels
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for nodes on a cycle: the least node each reaches and is reached by."""
-    reach = reachability(edges)
-    mutual = reach.alias("f").join(reach.alias("b"), (F.col("f.src") == F.col("b.dst")) & (F.col("f.dst") == F.col("b.src"))).select(F.col("f.src").alias("node"), F.col("f.dst").alias("other"))
-    return mutual.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"))
+    """(node, component) for nodes on a cycle: the least node each reaches and is reached by.
+
+    Forward-backward: a node's label is the least node that reaches it, and among nodes of a label,
+    those that reach it are its component. These go, and so do edges between labels and nodes
+    without an edge in or out, until no edge is left. Tables are as long as the edges, never as the pairs.
+    """
+    edges = written(edges.select("src", "dst").distinct(), "graph")
+    found = edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+    open_edges = written(edges.where("src <> dst"), "graph")
+    while True:
+        # Nodes without an edge in or without one out are on no cycle.
+        inner = open_edges.select(F.col("src").alias("node")).intersect(open_edges.select("dst"))
+        kept = written(open_edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "graph")
+        trimmed, open_edges = kept.count() < open_edges.count(), kept
+        if open_edges.isEmpty():
+            break
+        if trimmed:
+            continue
+        labels = _spread(open_edges)
+        same = open_edges.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+        same = written(same, "graph")
+        back = _spread(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("label", "back")
+        done = written(labels.join(back, "node").where("label = back").select("node", F.col("label").alias("component")), "graph")
+        found = found.unionByName(done)
+        gone = done.select("node").union(labels.where("node = label").select("node"))
+        open_edges = written(same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "graph")
+    several = found.groupBy("component").agg(F.count_distinct("node").alias("_n")).where("_n > 1").select("component")
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    return found.join(several, "component", "left_semi").select("node", "component").unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
 def waves(items: DataFrame, requires: DataFrame, rounds: int = 200) -> DataFrame:

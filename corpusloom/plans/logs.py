@@ -12,11 +12,11 @@ from corpusloom.operators.links import url_path
 from corpusloom.sources import table
 
 
-def _transitions(spark, sf):
-    """Event type to next event type of the same user, where the value rises: a small graph with cycles."""
+def _transitions(spark, sf, rising=True):
+    """Event type to next event type of the same user, all or where the value rises: a small graph with cycles."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf, "events").select("event_type", "value", F.lead("event_type").over(w).alias("next"), F.lead("value").over(w).alias("next_value"))
-    return e.where("next is not null and next_value > value * 100").select(F.col("event_type").alias("src"), F.col("next").alias("dst")).distinct()
+    return e.where("next is not null and next_value > value * 100" if rising else "next is not null").select(F.col("event_type").alias("src"), F.col("next").alias("dst")).distinct()
 
 
 def strong_components(spark, sf):
@@ -27,6 +27,14 @@ def reachability(spark, sf):
     return G.reachability(_transitions(spark, sf))
 
 
+def all_strong_components(spark, sf):
+    return G.strong_components(_transitions(spark, sf, rising=False))
+
+
+def all_reachability(spark, sf):
+    return G.reachability(_transitions(spark, sf, rising=False))
+
+
 def turn_waves(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn")
     node = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -123,7 +131,7 @@ def running_budget(spark, sf):
 
 
 QUERIES = {
-    "grf1_strong_components": strong_components, "grf7_reachability": reachability, "grf6_waves": turn_waves, "grf8_components": shared_line_components, "grf2_sibling_edges": sibling_edges,
+    "grf1_strong_components": strong_components, "grf7_reachability": reachability, "grf1_all_strong_components": all_strong_components, "grf7_all_reachability": all_reachability, "grf6_waves": turn_waves, "grf8_components": shared_line_components, "grf2_sibling_edges": sibling_edges,
     "win1_ledger_chain": ledger_chain, "win1_broken_links": broken_chain, "win2_latest_decision": latest_decision, "dat2_expiry_state": expiry, "fld7_finding_lifecycle": finding_lifecycle,
     "agg41_identity_registry": identity_registry, "fld8_reviews": reviews, "fld13_attention_reconcile": attention_reconcile, "agg28_attention_revisions": attention_revisions,
     "src19_ingest_props": ingest_props, "joi20_localized": localized, "win12_running_budget": running_budget,

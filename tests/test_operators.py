@@ -62,6 +62,23 @@ def test_cycles_components_and_waves(spark):
     assert pairs(graph.waves(frame(spark, "node string", ("a",), ("b",), ("c",), ("d",)), needs)) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
+def test_long_ways_and_rings_are_followed_to_their_end(spark):
+    chain = spark.range(52).selectExpr("id as src", "id + 1 as dst")
+    assert graph.reachability(chain, frame(spark, "node long", (0,))).agg(F.count("*"), F.max("hops")).first()[:] == (52, 52)
+    ring = spark.range(105).selectExpr("id as src", "(id + 1) % 105 as dst")
+    assert {tuple(r) for r in graph.strong_components(ring).collect()} == {(k, 0) for k in range(105)}
+
+
+def test_strong_components_against_mutual_reach(spark):
+    rng = random.Random(4)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(52)}
+    reach = {n: {b for a, b in edges if a == n} for n in range(40)}
+    for _ in range(40):
+        reach = {n: to | {x for t in to for x in reach[t]} for n, to in reach.items()}
+    wanted = {(n, min(m for m in reach[n] if n in reach[m])) for n in range(40) if n in reach[n]}
+    assert {tuple(r) for r in graph.strong_components(frame(spark, "src int, dst int", *sorted(edges))).collect()} == wanted
+
+
 def test_sibling_edges_part_where_paths_do(spark):
     edges = frame(spark, "src string, dst string", ("p/a/1", "p/b/2"), ("p/a/3", "p/b/2"), ("p/a/1", "p/a/1"))
     assert pairs(graph.sibling_edges(edges)) == [("p", "a", "b", 2)]
