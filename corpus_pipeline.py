@@ -32,13 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least doc_id.
+    """Of each group of near-duplicate rows (five-word shingles, similarity 0.8) the one with the least doc_id, null last.
 
-    Rows without a doc_id can't be told apart and stay; of rows that repeat a doc_id one stays.
+    Rows have keys of their own, in the order of doc_id, so repeated and null ids don't matter.
     """
-    keep = shingle_components(docs, words=5, similarity=(8, 10)).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    rows = written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    components = shingle_components(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, similarity=(8, 10))
+    keep = components.where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
