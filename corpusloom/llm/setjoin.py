@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ U = np.uint64
 WORDS_HELD, SETS_HELD = 1 << 20, 64
 #: Sets of one partition that emit their keys once only; beyond it they may do so again.
 SEEN_HELD = 1 << 21
+#: Shingles of sets whose keys are made together.
+SHINGLES_HELD = 200_000
 #: Rounds in which each bucket compares all members with one of them, before what is still apart is compared by rare shingles.
 STAR_ROUNDS = 2
 
@@ -124,54 +128,49 @@ class Schemes:
         segments = need - doubled
         return Scheme(low, high, differ, segments, doubled, spare, 2 if low / segments >= 6 else 1)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a set under the scheme of its band and of the next, in which a larger partner may be."""
-        band = self.band(len(s))
-        found = [self._keys(s, b) for b in (band, band + 1) if self.scheme(b)]
-        return np.concatenate(found) if found else np.empty(0, U)
-
-    def _keys(self, s: np.ndarray, band: int) -> np.ndarray:
+    def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(key, index of its set) of all ``sets``, under the scheme of each one's band and of the next, in which a larger partner may be."""
+        by_band: dict[int, list[int]] = {}
+        for i, s in enumerate(sets):
+            if len(s):
+                band = self.band(len(s))
+                for b in (band, band + 1):
+                    if self.scheme(b):
+                        by_band.setdefault(b, []).append(i)
+        found = [self._keys([sets[i] for i in which], np.array(which), b) for b, which in by_band.items()]
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.empty(0, U), np.empty(0, np.int64))
+
+    def _keys(self, sets: list[np.ndarray], names: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of sets under one band's scheme; a cell is a set's segment."""
         plan = self.scheme(band)
-        value = mix(s, 7)
-        segment = mix(s, 11 + band) % U(plan.segments)
-        order = np.argsort(segment)
-        segment, value = segment[order].astype(np.int64), value[order]
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        counts = np.diff(np.concatenate((starts, [len(segment)])))
+        every = np.concatenate(sets)
+        cell = (mix(every, 11 + band) % U(plan.segments)).astype(np.int64) + np.repeat(np.arange(len(sets)) * plan.segments, [len(s) for s in sets])
+        order = np.argsort(cell)
+        cell, value = cell[order], mix(every, 7)[order]
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        counts = np.diff(np.concatenate((starts, [len(cell)])))
+        owner, at = np.divmod(cell[starts], plan.segments)
+        twice = at < plan.doubled
+        total = lambda of: np.bincount(owner, of, len(sets)).astype(np.int64)
+        weak = total(np.where(twice, 2 * (counts <= plan.least), counts < plan.least)) + (plan.segments - total(np.ones(len(at)))) + (plan.doubled - total(twice))
+        small = weak > plan.spare
         with np.errstate(over="ignore"):
-            sums, at = np.add.reduceat(value, starts), segment[starts]
-            twice = at < plan.doubled
-            weak = np.where(twice, 2 * (counts <= plan.least), counts < plan.least).sum()
-            absent = np.setdiff1d(np.arange(plan.segments), at) if len(at) < plan.segments else np.empty(0, np.int64)
-            weak += len(absent) + (absent < plan.doubled).sum()
-            small = weak > plan.spare
-            keep = counts >= (0 if small else plan.least)
-            key_sums, key_at = [sums[keep]], [at[keep]]
-            if small and len(absent):
-                key_sums.append(np.zeros(len(absent), U))
-                key_at.append(absent)
+            sums = np.add.reduceat(value, starts)
+            keep = (counts >= plan.least) | small[owner]
+            of, where, parts = [owner[keep]], [at[keep]], [sums[keep]]
+            if small.any():  # their empty segments are keys too
+                rows = np.flatnonzero(small)
+                absent = np.ones((len(rows), plan.segments), dtype=bool)
+                mine = small[owner]
+                absent[np.searchsorted(rows, owner[mine]), at[mine]] = False
+                row, segment = np.nonzero(absent)
+                of, where, parts = [*of, rows[row]], [*where, segment], [*parts, np.zeros(len(row), U)]
             if plan.doubled:
                 which = np.repeat(np.arange(len(at)), counts)
-                out = (segment < plan.doubled) & ((counts[which] - 1 >= plan.least) | small)
-                key_sums.append(sums[which[out]] - value[out])
-                key_at.append(segment[out])
-            return np.unique(mix(np.concatenate(key_sums) + np.concatenate(key_at).astype(U) * U(0x9E3779B97F4A7C15), 1_000 + band))
-
-
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node) of each row; node, the set's fingerprint, is null for the empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sizes, nodes = [], []
-            for data in batch.column("data"):
-                s = shingles(data.as_py(), words, hashes)
-                sizes.append(len(s))
-                nodes.append(fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "text_key", "n_shingles", "node"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long")
+                out = twice[which] & ((counts[which] - 1 >= plan.least) | small[owner[which]])
+                of, where, parts = [*of, owner[which[out]]], [*where, at[which[out]]], [*parts, sums[which[out]] - value[out]]
+            keys = mix(np.concatenate(parts) + np.concatenate(where).astype(U) * U(0x9E3779B97F4A7C15), 1_000 + band)
+        return keys, names[np.concatenate(of)]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -179,34 +178,46 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(key, node) rows of all sets; equal sets within a partition emit theirs once."""
+    """One pass over the texts: (key, node, null) rows of all sets, and a row (_, node, of) of each document.
+
+    ``of`` is (doc_id, text_key, n_shingles); a document's node is its set's fingerprint, null for
+    the empty set, and its key only spreads the rows. Equal sets within a partition emit their
+    keys once.
+    """
+    of_type = pa.struct([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schemes, seen = WordHashes(), Schemes(num, den), set()
+        hashes, schemes, seen, passed = WordHashes(), Schemes(num, den), set(), TaskContext.get().partitionId() << 40
+
+        def emit(sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+            keys, which = schemes.keys(sets)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(nodes, np.int64)[which]), pa.nulls(len(keys), of_type)], names=["key", "node", "of"])
+
         for batch in batches:
-            keys, nodes, held = [], [], 0
+            sets, nodes, held, sizes, of_rows = [], [], 0, [], []
             for data in batch.column("data"):
                 s = shingles(data.as_py(), words, hashes)
                 node = fingerprint(s) if len(s) else None
+                sizes.append(len(s))
+                of_rows.append(node)
                 if node is None or node in seen:
                     continue
                 if len(seen) < SEEN_HELD:
                     seen.add(node)
-                found = schemes.keys(s)
-                keys.append(found)
-                nodes.append(np.full(len(found), node, np.int64))
-                held += len(found)
-                if held >= 200_000:
-                    yield _batch(keys, nodes)
-                    keys, nodes, held = [], [], 0
-            if held:
-                yield _batch(keys, nodes)
-
-    return docs.select(text_bytes("text").alias("data")).mapInArrow(run, "key long, node long")
-
-
-def _batch(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                sets.append(s)
+                nodes.append(node)
+                held += len(s)
+                if held >= SHINGLES_HELD:
+                    yield emit(sets, nodes)
+                    sets, nodes, held = [], [], 0
+            if sets:
+                yield emit(sets, nodes)
+            of = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64())], fields=list(of_type))
+            spread = mix(np.arange(passed, passed + len(sizes), dtype=U), 3).view(np.int64)
+            passed += len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(of_rows, pa.int64()), of], names=["key", "node", "of"])
+
+    return _texts(docs).mapInArrow(run, "key long, node long, of struct<doc_id:bigint,text_key:bigint,n_shingles:bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -246,15 +257,14 @@ def components(spark: SparkSession, links: DataFrame, name: str = "components")
     """
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), f"{name}-0")
-    for k in range(1, 200):
+    for k in count(1):
         heard = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("heard"))
         jump = labels.select(F.col("node").alias("heard"), F.col("label").alias("jump"))
         stepped = written(nearer.join(jump, "heard").select("node", F.col("label").alias("old"), F.least("heard", "jump").alias("label")), f"{name}-{k}")
         labels = stepped.select("node", "label")
         if stepped.where("old <> label").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -262,7 +272,7 @@ def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
 
     Returns each row's doc_id, n_shingles and component_id, the least doc_id that links reach.
     Two rows link if their sets share at least ``similarity`` (a fraction) of their union; exactly:
-    no candidate is left out or capped, and every link counts was verified on whole sets.
+    no candidate is left out or capped, and every link that counts was verified on whole sets.
 
     Rows with equal sets are one node, so copies never multiply. Sets emit keys by ``Schemes``;
     equal keys make a bucket. All pairs of a bucket would be quadratic, so a bucket first compares
@@ -277,11 +287,13 @@ def shingle_components(docs: DataFrame, words: int = 5, similarity: tuple[int, i
     """
     spark = docs.sparkSession
     num, den = similarity
-    sets = written(_sets(docs, words), "setjoin-sets")
-    by_key = Window.partitionBy("key").orderBy("node")
+    by_key = Window.partitionBy("key").orderBy(F.col("of").isNotNull(), "node")
     # Streams over a sorted partition with one value held, so a bucket of any size passes.
-    buckets = _index(docs, words, num, den).withColumn("pivot", F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("node <> pivot")
-    members = written(buckets.dropDuplicates(["key", "node"]), "setjoin-members")
+    pivot = F.first("node").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    passed = _index(docs, words, num, den).withColumns({"pivot": pivot, "before": F.lag("node").over(by_key)})
+    passed = written(passed.where("of is not null or (node <> pivot and node <> before)").drop("before"), "setjoin-passed")
+    sets = passed.where("of is not null").select("of.doc_id", "of.text_key", "of.n_shingles", "node")
+    members = passed.where("of is null").select("key", "node", "pivot")
     nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"))
     nodes = written(nodes, "setjoin-nodes")
     involved = members.select("node").union(members.select("pivot")).distinct()
