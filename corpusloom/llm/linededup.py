@@ -9,8 +9,8 @@ from corpusloom.llm.common import written
 
 #: Lines with more words hash their variants from running sums (linear) rather than one by one.
 DIRECT_WORDS = 256
-#: Two hashes of this many values, times positions up to MAX_WORDS, keep sums within 64 bits.
-HASH_VALUES, MAX_WORDS = 1 << 22, 1 << 20
+#: Running sums are kept modulo this prime, so a term (a hash times a place) stays within 64 bits at any length of line.
+PRIME = (1 << 31) - 1
 #: Ratio of successive half lengths by which lines are first matched.
 STEP = 1.25
 #: Segments of which the words around are hashed before the words within are varied.
@@ -19,7 +19,8 @@ SEGMENTS = 8
 
 def normal_lines(text: Column) -> Column:
     """Lines in lower case, white space within them as single spaces, none at their ends."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
+    # A single space, by far the most common case, is no match.
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", " ")
     # Given F.trim itself, transform would pass each line's index as the characters to trim.
     return F.transform(F.split(spaced, "\n", -1), lambda line: F.trim(line))
 
@@ -36,12 +37,12 @@ def _end_keys(words: Column) -> list[Column]:
 
 
 def _running_sums(values: Column) -> Column:
-    """Inclusive running sums of an array of longs, over blocks so that long arrays stay near linear."""
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+    """Inclusive running sums modulo PRIME of an array of longs, over blocks so that long arrays stay near linear."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.pmod(a + x, F.lit(PRIME)))
 
     def of_blocks(parts: Column) -> Column:
-        before = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda a, part: F.concat(a, F.array(F.element_at(a, -1) + total(part))))
-        return _let(before, lambda starts: F.flatten(F.transform(parts, lambda part, b: F.transform(part, lambda _, i: F.get(starts, b) + total(F.slice(part, F.lit(1), i + 1))))))
+        before = F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda a, part: F.concat(a, F.array(F.pmod(F.element_at(a, -1) + total(part), F.lit(PRIME)))))
+        return _let(before, lambda starts: F.flatten(F.transform(parts, lambda part, b: F.transform(part, lambda _, i: F.pmod(F.get(starts, b) + total(F.slice(part, F.lit(1), i + 1)), F.lit(PRIME))))))
 
     def of_values(v: Column) -> Column:
         return _let(F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / 128).cast("int")), lambda b: F.slice(v, b * 128 + 1, F.lit(128))), of_blocks)
@@ -53,6 +54,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _word_hashes(words: Column, seed: int) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit(seed), w), F.lit(PRIME)))
+
+
+def _placed(hashes: Column) -> Column:
+    """Hashes times their places, from 1."""
+    return F.transform(hashes, lambda h, i: F.pmod(h * (i + 1), F.lit(PRIME)))
+
+
 def _variants(words: Column) -> Column:
     """Hashes of the line without its i-th word, for each i, in order; equal remainders have equal hashes."""
     n = F.size(words)
@@ -60,14 +70,12 @@ def _variants(words: Column) -> Column:
 
     def linear(seed: int) -> Column:
         # sum of hash * place over the words that stay, each after the gap one place further left
-        hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit(seed), w), F.lit(HASH_VALUES)))
-        placed = _running_sums(F.transform(hashes, lambda h, i: h * (i + 1)))
-        plain = _running_sums(hashes)
-        moved = F.zip_with(placed, plain, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        at_gap = lambda s: F.transform(s, lambda x, i: F.struct((F.element_at(s, -1)["p"] - x["p"] + F.when(i > 0, F.get(s, i - 1)["p"]).otherwise(0) - (F.element_at(s, -1)["q"] - x["q"])).alias("p")))
-        return _let(moved, at_gap)
-
-    long = F.zip_with(linear(1), linear(2), lambda a, b: F.xxhash64(F.lit("sums"), n, a["p"], b["p"]))
+        hashes = _word_hashes(words, seed)
+        moved = F.zip_with(_running_sums(_placed(hashes)), _running_sums(hashes), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        before = lambda s, i: F.when(i > 0, F.get(s, i - 1)["p"]).otherwise(0)
+        return _let(moved, lambda s: F.transform(s, lambda x, i: F.pmod(F.element_at(s, -1)["p"] - x["p"] + before(s, i) - (F.element_at(s, -1)["q"] - x["q"]), F.lit(PRIME))))
+
+    long = F.zip_with(linear(1), linear(2), lambda a, b: F.xxhash64(F.lit("sums"), n, a, b))
     return F.when(n <= DIRECT_WORDS, direct).otherwise(long)
 
 
@@ -92,18 +100,19 @@ def _shared(keyed: DataFrame, member: str) -> DataFrame:
     return keyed.join(several, "key", "left_semi").select(member).distinct()
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dropped_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     """Lines to drop: (doc_id, text_key, dropped: array of 0-based line numbers), for ``dedup_lines``."""
     lines = (
-        docs.select("doc_id", F.hash("text").alias("text_key"), normal_lines(F.col("text")).alias("all"))
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), normal_lines(F.col("text")).alias("all"))
         .select("doc_id", "text_key", F.posexplode("all").alias("pos", "line"))
         .withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-        .where(F.col("words") >= min_words)
-        .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line"), "half": _half(F.col("words")), "less": _half(F.col("words") - 1)})
+        .where("line <> ''")
+        .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line"), "half": _half(F.col("words")), "less": _half(F.greatest(F.lit(2), F.col("words") - 1))})
     )
     both, less = F.array(*_end_keys(F.col("half"))), F.array(*_end_keys(F.col("less")))
+    keys = F.when(F.col("words") < near_words, F.array().cast("array<bigint>")).when(F.col("half") == F.col("less"), both).otherwise(F.concat(both, less))
     lines = written(
-        lines.select("doc_id", "text_key", "pos", "h1", "h2", F.when(F.col("half") == F.col("less"), both).otherwise(F.concat(both, less)).alias("keys")),
+        lines.select("doc_id", "text_key", "pos", "h1", "h2", keys.alias("keys")),
         "dedup-lines",
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pos")
@@ -129,7 +138,7 @@ def _with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
         lines.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.col("first.pos").alias("pos")),
         "dedup-wanted",
     )
-    texts = docs.select(F.col("doc_id").alias("_id"), F.hash("text").alias("_key"), "text")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
     sent = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     if sent.count() <= MAX_SENT_KEYS:
         texts = texts.join(F.broadcast(sent), texts["_id"].eqNullSafe(sent["_id"]) & (texts["_key"] == sent["_key"]), "left_semi")
@@ -176,7 +185,7 @@ def _near_earlier(candidates: DataFrame) -> DataFrame:
         "dedup-closer",
     )
     inside = F.col("inside")
-    variants = F.when(F.size(inside) <= MAX_WORDS, _variants(inside)).otherwise(F.array().cast("array<bigint>"))
+    variants = _variants(inside)
     # the whole inside's hash, in the form in which an inside of one word more hashes its variants
     whole = F.when(F.size(inside) < DIRECT_WORDS, F.xxhash64(inside)).otherwise(_whole_sums(inside))
     sort = lambda name, key: F.struct(F.lit(name).alias("sort"), key.alias("key"))
@@ -202,31 +211,32 @@ def _near_earlier(candidates: DataFrame) -> DataFrame:
 def _whole_sums(words: Column) -> Column:
     """A whole long line's hash, as the sums that a line of one word more has without that word."""
     def weighted(seed: int) -> Column:
-        hashes = F.transform(words, lambda w: F.pmod(F.xxhash64(F.lit(seed), w), F.lit(HASH_VALUES)))
-        return F.aggregate(F.transform(hashes, lambda h, i: h * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(_placed(_word_hashes(words, seed)), F.lit(0).cast("long"), lambda a, x: F.pmod(a + x, F.lit(PRIME)))
 
     return F.xxhash64(F.lit("sums"), F.size(words) + 1, weighted(1), weighted(2))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = 8) -> DataFrame:
     """``docs`` without lines that repeat an earlier line, up to one word inserted, deleted or replaced.
 
-    Lines of at least ``min_words`` words are compared over all documents, in lower case and with
-    white space collapsed. Of equal lines the earliest (by doc_id, null last, then line) stays; a
-    line that is one edit from an earlier line, kept or not, goes. Returns all columns, ``text``
-    being the lines that stay, with n_lines and n_dropped. Lines that share no half with another
-    are put aside by hashes; the rest emit deletion variants where they differ; see ``_near_earlier``.
+    Lines are compared over all documents, in lower case and with white space collapsed. Of equal
+    lines, however short, the earliest (by doc_id, null last, then line) stays; blank ones are left
+    alone. A line of at least ``near_words`` words that is one edit from an earlier such line, kept
+    or not, goes too; in shorter lines one word is too large a part of the line to call them near.
+    Returns all columns, ``text`` being the lines that stay, with n_lines and n_dropped. Lines that
+    share no half with another are put aside by hashes; the rest emit deletion variants where they
+    differ; see ``_near_earlier``.
 
     Hot lines and hot variants are reduced to their earliest place before they are shuffled, and
     joined back, which Spark can split. Text is shuffled only by document.
 
     Cases: a null text stays null (0 lines); empty texts have one line; rows that repeat doc_id
-    and text share one fate; null doc_ids are one id, ordered last; long lines are compared whole
-    (over MAX_WORDS words: for equality); an empty table gives no rows; columns named n_lines or
-    n_dropped are replaced, all others pass.
+    and text share one fate (rows are named by doc_id and a 64-bit hash of the text); null doc_ids
+    are one id, ordered last; long lines are compared whole; an empty table gives no rows; columns
+    named n_lines or n_dropped are replaced, all others pass.
     """
-    drops = dropped_lines(docs, min_words).select(F.col("doc_id").alias("_dl_id"), F.col("text_key").alias("_dl_key"), F.col("dropped").alias("_dl_dropped"))
-    kept = docs.withColumn("_dl_text_key", F.hash("text"))
+    drops = dropped_lines(docs, near_words).select(F.col("doc_id").alias("_dl_id"), F.col("text_key").alias("_dl_key"), F.col("dropped").alias("_dl_dropped"))
+    kept = docs.withColumn("_dl_text_key", F.xxhash64("text"))
     joined = kept.join(drops, kept["doc_id"].eqNullSafe(F.col("_dl_id")) & (F.col("_dl_text_key") == F.col("_dl_key")), "left")
     lines = F.split("text", "\n", -1)
     stays = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_dl_dropped", i)), "\n")
