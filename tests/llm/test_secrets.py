@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -56,8 +57,33 @@ def test_window_entropy(spark):
     assert {r.doc_id: r.bits for r in got} == pytest.approx({k: entropy(t, 16) for k, t in rows})
 
 
-def test_entropy_spans_and_allow_list(spark):
-    rows = [(1, "see kZ8qP2vX9mL4tR7wB3nC6yH1 here"), (2, "see exampleZ8qP2vX9mL4tR7wB3nC6 here"), (3, "a long Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1 here"), (None, "x"), (None, "x")]
+def added(spark, rows):
     got = scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id or 0, [(s.kind, s.start, s.end) for s in r.added]) for r in got) == [(0, []), (0, []), (1, [("entropy_token", 4, 28)]), (2, []), (3, [])]
+    return sorted((r.doc_id or 0, [(s.kind, s.start, s.end) for s in r.added]) for r in got)
+
+
+def test_entropy_spans_and_allow_list(spark):
+    rows = [
+        (1, "see kZ8qP2vX9mL4tR7wB3nC6yH1 here"), (2, "see exampleZ8qP2vX9mL4tR7wB3nC6 here"), (3, "a long Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1 here"), (None, "x"), (None, "x"),
+        (4, "x k3v9q0z7m2x8c1w5r4t6y0p2s8d7 y"), (5, "K3V9Q0Z7M2X8C1W5R4T6Y0P2S8D7"), (6, "kZqPvXmLtRwBnCyHfGsJdKuIoE"), (7, "Einungtzheitgeungverlich"),
+        (8, "sampleXkZ8qP2vX9mL4tR7wB3nC6yH1"), (9, "token=kZ8qP2vX9mL4tR7wB3nC6yH1"), (10, "qwzvkxjpmfbgtyhnrldcsoaeiu"),
+    ]
+    assert added(spark, rows) == [
+        (0, []), (0, []), (1, [("entropy_token", 4, 28)]), (2, []), (3, []), (4, [("entropy_lower", 2, 30)]), (5, [("entropy_upper", 0, 28)]),
+        (6, [("entropy_letters", 0, 26)]), (7, []), (8, [("entropy_token", 0, 31)]), (9, []), (10, [("entropy_lower", 0, 26)]),
+    ]
     assert scan_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_candidates_and_many_spans(spark):
+    """A megabyte in one candidate, and thousands of candidates beside thousands of base spans, in seconds."""
+    rng = random.Random(2)
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000))
+    flat = "aB1" * 300_000
+    one = "token=abcdef12 kZ8qP2vX9mL4tR7wB3nC6yH1 "
+    began = time.time()
+    got = {d: spans for d, spans in added(spark, [(1, f"a {blob} b"), (2, flat), (3, one * 4000)])}
+    assert ("entropy_token", 2, 2 + len(blob)) in got[1] and got[2] == []
+    assert got[3] == [("entropy_token", k * len(one) + 15, k * len(one) + 39) for k in range(4000)]
+    print(f"long candidates: {time.time() - began:.1f} s")
+    assert time.time() - began < 120
