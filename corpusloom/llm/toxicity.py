@@ -10,18 +10,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a window at most; windows end between words.
 WINDOW = 56
-#: Bytes of a dictionary: what is common to both, and what marks its own class.
-COMMON_BYTES, OWN_BYTES = 48_000, 16_000
+#: Bytes of the dictionary that is trained on ordinary windows, and of each class's own; windows it is trained on.
+COMMON_BYTES, OWN_BYTES, TRAIN_BYTES = 96_000, 4_000, 3_000_000
+#: Segment and substring lengths by which the classes' own dictionaries are trained: a few words, most of a word.
+SEGMENT, SUBSTRING = 32, 6
 #: Least z-score and documents for a fragment to mark a class; lengths of word beginnings that count as fragments.
 LEAST_Z, LEAST_DOCS, STEMS = 7.0, 3, (4, 5, 6, 7, 8)
-#: Windows that get at least so many bytes shorter are counted.
-MARKS = (3, 5, 7)
-N_FEATURES = 4 + 2 * len(MARKS)
+#: Windows are counted that get shorter by more than these shares of ordinary windows do.
+QUANTILES = (0.9, 0.95, 0.98, 0.99, 0.995)
+N_FEATURES = 4 + 2 * len(QUANTILES)
 LEVEL, MIN_MATCH = 3, 4
 #: Bound of the labelled rows that are used to fit: documents of each class, and bytes of a document.
 MAX_PER_CLASS, MAX_FIT_BYTES = 2_000, 1 << 16
@@ -49,44 +51,76 @@ def windows(data: bytes) -> list[bytes]:
     return out
 
 
+def _words(text: str) -> Iterator[bytes]:
+    for word in normalised(text).split(b" "):
+        if word := word.strip(b".,;:!?|\"'()"):
+            yield word
+
+
+def _fragments_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings, each behind a space."""
+    return [b" " + word + b" ", *(b" " + word[:k] for k in STEMS if len(word) >= k)]
+
+
 def fragments(text: str) -> set[bytes]:
     """Words and word beginnings, once each."""
-    found = set()
-    for word in set(normalised(text).split(b" ")):
-        word = word.strip(b".,;:!?|\"'()")
-        if word:
-            found.add(b" " + word + b" ")
-            found.update(b" " + word[:k] for k in STEMS if len(word) >= k)
-    return found
+    return {f for word in set(_words(text)) for f in _fragments_of(word)}
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Content of the two dictionaries.
-
-    Both begin with the fragments in most documents of either class. Then come those whose share
-    of documents is higher in the one class by LEAST_Z standard errors, the strongest last, as
-    zstandard reaches the end of a dictionary with the shortest offsets.
-    """
+def marking_fragments(toxic: list[str], ordinary: list[str]) -> tuple[set[bytes], set[bytes]]:
+    """Fragments whose share of documents is higher in ordinary, and in toxic texts, by LEAST_Z standard errors."""
     counts = [Counter(), Counter()]
     for counter, texts in zip(counts, (ordinary, toxic), strict=True):
         for text in texts:
             counter.update(fragments(text))
     n0, n1 = max(1, len(ordinary)), max(1, len(toxic))
-    scored = []
+    found: tuple[set[bytes], set[bytes]] = (set(), set())
     for fragment in counts[0].keys() | counts[1].keys():
         a, b = counts[0][fragment], counts[1][fragment]
         if a + b >= LEAST_DOCS:
             share = (a + b + 1) / (n0 + n1 + 2)
-            scored.append(((b / n1 - a / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1)), a / n0 + b / n1, fragment))
-    scored.sort()
-    own = ([f for z, _, f in scored if z <= -LEAST_Z], [f for z, _, f in reversed(scored) if z >= LEAST_Z])
-    common = [f for _, f in sorted(((share, f) for z, share, f in scored if abs(z) < LEAST_Z), reverse=True)]
-    base = b"".join(common)[:COMMON_BYTES]
-    return tuple(base + b"".join(reversed(part))[-OWN_BYTES:] for part in own)
+            z = (b / n1 - a / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+            if abs(z) >= LEAST_Z:
+                found[int(z > 0)].add(fragment)
+    return found
+
+
+def _trained(samples: list[bytes], size: int, **parameters: int) -> bytes:
+    """A dictionary that zstandard trains on ``samples``, of ``size`` bytes or, where these are too few for that, of less."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, **parameters).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The dictionaries of ordinary and of toxic text, trained by zstandard.
+
+    Trained on whole texts, the two hold much the same common words, of which chance decides, and
+    tell little. So both begin with one dictionary trained on windows of ordinary text, and each
+    ends with one trained on its class's occurrences of words that mark the class.
+    """
+    windowed, size = [], 0
+    for text in ordinary:
+        parts = windows(normalised(text))
+        windowed += parts
+        size += sum(map(len, parts))
+        if size >= TRAIN_BYTES:
+            break
+    common = _trained(windowed, COMMON_BYTES)
+    own = []
+    for marks, texts in zip(marking_fragments(toxic, ordinary), (ordinary, toxic), strict=True):
+        # One sample a text: zstandard takes nothing from samples of under eight bytes.
+        found = (b" ".join(w for w in _words(text) if not marks.isdisjoint(_fragments_of(w))) for text in texts) if marks else ()
+        samples = [b" " + words + b" " for words in found if words]
+        own.append(_trained(samples, OWN_BYTES, k=SEGMENT, d=SUBSTRING))
+    return common + own[0], common + own[1]
 
 
 class Meter:
-    """Features of a text from the lengths of its windows under both dictionaries."""
+    """How many bytes shorter the windows of a text get with the toxic than with the ordinary dictionary."""
 
     def __init__(self, contents: tuple[bytes, bytes]):
         self.compressors = []
@@ -97,27 +131,30 @@ class Meter:
             data.precompute_compress(compression_params=parameters)
             self.compressors.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=data))
 
-    def features(self, text: str | None) -> list[float]:
-        parts = windows(normalised(text or ""))
-        if not parts:
-            return [0.0] * N_FEATURES
+    def shorter(self, text: str | None) -> np.ndarray:
         plain, toxic = (c.compress for c in self.compressors)
-        shorter = np.array([len(plain(w)) - len(toxic(w)) for w in parts], dtype=float)
-        top = np.sort(shorter)[::-1][:3]
-        marked = [float((shorter >= m).sum()) for m in MARKS]
-        return [shorter.mean(), top[0], top.sum() / 3, *np.log1p(marked), *(m / len(parts) for m in marked), np.log1p(len(parts))]
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(normalised(text or ""))], dtype=float)
+
+
+def features(shorter: np.ndarray, thresholds: list[float]) -> list[float]:
+    if not len(shorter):
+        return [0.0] * N_FEATURES
+    top = np.sort(shorter)[::-1][:3]
+    marked = [float((shorter > t).sum()) for t in thresholds]
+    return [shorter.mean(), top[0], top.sum() / 3, *np.log1p(marked), *(m / len(shorter) for m in marked), np.log1p(len(shorter))]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     contents: tuple[bytes, bytes]
+    thresholds: list[float]  # by which windows are counted
     mean: list[float]
     scale: list[float]
     weights: list[float]  # the intercept first
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
         meter = Meter(self.contents)
-        x = np.array([meter.features(t) for t in texts], dtype=float).reshape(-1, len(self.mean))
+        x = np.array([features(meter.shorter(t), self.thresholds) for t in texts], dtype=float).reshape(-1, len(self.mean))
         return _sigmoid(self.weights[0] + (x - self.mean) / self.scale @ np.array(self.weights[1:]))
 
 
@@ -135,9 +172,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
 
 
 def calibrate(texts: list[str], toxic: list[int], odds: float = 1.0) -> ToxicityModel:
-    """Dictionaries from all texts; weights from features that dictionaries of the other folds give.
+    """Dictionaries from all texts; thresholds and weights from what dictionaries of the other folds give.
 
-    ``odds`` corrects the odds of the sample to those of all labelled rows.
+    Thresholds are QUANTILES of how much shorter ordinary texts' windows get, each text with the
+    dictionaries of folds without it. ``odds`` corrects the odds of the sample to those of all
+    labelled rows.
     """
     y = np.array(toxic, dtype=float)
     fold = np.zeros(len(y), dtype=int)
@@ -145,16 +184,19 @@ def calibrate(texts: list[str], toxic: list[int], odds: float = 1.0) -> Toxicity
         of = np.flatnonzero(y == label)
         fold[of] = np.arange(len(of)) % FOLDS
     pick = lambda label, keep: [t for t, v, k in zip(texts, y, keep, strict=True) if v == label and k]
-    x = np.zeros((len(y), N_FEATURES))
+    shorter: list[np.ndarray] = [np.empty(0)] * len(y)
     for k in range(FOLDS):
         meter = Meter(dictionaries(pick(1, fold != k), pick(0, fold != k)))
         for i in np.flatnonzero(fold == k):
-            x[i] = meter.features(texts[i])
+            shorter[i] = meter.shorter(texts[i])
+    ordinary = np.concatenate([s for s, v in zip(shorter, y, strict=True) if not v] or [np.empty(0)])
+    thresholds = np.quantile(ordinary, QUANTILES).tolist() if len(ordinary) else [0.0] * len(QUANTILES)
+    x = np.array([features(s, thresholds) for s in shorter])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w = _logistic((x - mean) / scale, y)
     w[0] += np.log(odds)
     every = np.ones(len(y), dtype=bool)
-    return ToxicityModel(dictionaries(pick(1, every), pick(0, every)), mean.tolist(), scale.tolist(), w.tolist())
+    return ToxicityModel(dictionaries(pick(1, every), pick(0, every)), thresholds, mean.tolist(), scale.tolist(), w.tolist())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> ToxicityModel:
@@ -168,8 +210,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marks.withColumn("rank", rank).where(F.col("rank") <= max_per_class).select("doc_id", "toxic")
+    # Each task keeps its first rows only, so no class meets in one task.
+    first = lambda label: marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
+    chosen = first(0).union(first(1))
     found = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= MAX_FIT_BYTES))
         .join(F.broadcast(chosen), "doc_id")
@@ -179,7 +222,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     texts, y = [r["text"] for r in found], [r["toxic"] for r in found]
     if min(y.count(0), y.count(1)) < FOLDS:
         share = totals.get(1, 0) / max(1, sum(totals.values()))
-        return ToxicityModel((b"", b""), [0.0] * N_FEATURES, [1.0] * N_FEATURES, [float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))] + [0.0] * N_FEATURES)
+        return ToxicityModel((b"", b""), [0.0] * len(QUANTILES), [0.0] * N_FEATURES, [1.0] * N_FEATURES, [float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))] + [0.0] * N_FEATURES)
     odds = (totals[1] / y.count(1)) / (totals[0] / y.count(0))
     return calibrate(texts, y, odds)
 

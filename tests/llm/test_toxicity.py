@@ -1,9 +1,11 @@
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from corpusloom.llm.toxicity import score_documents, windows
+from corpusloom.llm.toxicity import QUANTILES, Meter, calibrate, dictionaries, features, normalised, score_documents, windows
 
 SF = "/root/testdata/sf0.1"
 
@@ -28,7 +30,28 @@ def test_held_out_accuracy(spark):
     clean = [r.score for r in held if not r.toxic]
     area = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
     print(f"held out: {len(held)} rows, accuracy {right:.3f}, area under the curve {area:.3f}")
-    assert right > max(len(clean), len(toxic)) / len(held) and area > 0.9
+    assert right > 0.93 and area > 0.92
+
+
+def test_features_against_plain_compression():
+    """The lengths are those of a compressor that is made anew for each window; thresholds are quantiles of the other folds."""
+    texts = [f"{'you awful fool of a clown' if k % 3 == 0 else 'a pleasant day by the sea'} and word{k % 17} again {k}" for k in range(300)]
+    toxic = [int(k % 3 == 0) for k in range(300)]
+    contents = dictionaries([t for t, v in zip(texts, toxic) if v], [t for t, v in zip(texts, toxic) if not v])
+    assert contents[0] != contents[1] and contents[1][: len(contents[0]) // 2] == contents[0][: len(contents[0]) // 2]
+    parameters = zstandard.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+    size = lambda w, c: len(zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(c.rjust(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(w))
+    meter = Meter(contents)
+    for text in (*texts[:20], "", None):
+        shorter = [size(w, contents[0]) - size(w, contents[1]) for w in windows(normalised(text or ""))]
+        assert meter.shorter(text).tolist() == shorter
+        if shorter:
+            got = features(np.array(shorter, dtype=float), [0.0, 1.0, 2.0, 3.0, 4.0])
+            assert got[0] == pytest.approx(sum(shorter) / len(shorter)) and got[1] == max(shorter)
+            assert got[-6:-1] == [sum(x > t for x in shorter) / len(shorter) for t in (0, 1, 2, 3, 4)]
+    model = calibrate(texts, toxic)
+    assert len(model.thresholds) == len(QUANTILES) and model.thresholds == sorted(model.thresholds)
+    assert sum((s >= 0.5) == v for s, v in zip(model.score(texts), toxic)) > 290
 
 
 def test_defined_results(spark):
