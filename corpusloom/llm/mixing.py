@@ -14,6 +14,8 @@ from corpusloom.llm.common import WORD, shuffle_partitions, written
 
 #: Rows that one task of the reduction tree pairs at once: the tree's fan-in.
 FAN_IN = 4096
+#: Repeated rows (same doc_id, source and text) that stay together when they are dealt into groups.
+REPEATS = 256
 EPS = 1e-12
 
 
@@ -120,6 +122,11 @@ def _pivot_by_twos(size: np.ndarray, p: np.ndarray, u: np.ndarray, open_rows: li
     return held
 
 
+def row_key(doc_id: str, source: str, text: str) -> Column:
+    """64-bit hash of what tells rows apart; null and empty or zero differ."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, F.col(source).isNull(), source, F.col(text).isNull(), text)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
     """How often each document is taken, so that each source's words come near its target.
 
@@ -132,15 +139,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     rounded to the nearer side. So a source misses its target by half of one document at most.
 
     Groups hold a share of one source by hash, so a hot source is many groups. Only (ids, size,
-    source) are shuffled. All draws depend on seed, doc_id and text alone, so reruns agree.
+    source) are shuffled. Repeated rows are counted first and dealt in blocks of REPEATS, so they
+    are many groups too. All draws depend on seed, doc_id, source and text alone, so reruns agree.
+    What grows with the number of sources only (one row each) is ordered in one task and broadcast.
 
     Cases: a null text has size 0 and is never taken; a null source is a source, ordered last;
-    null doc_ids count as one id; repeated rows are rounded one by one (which of them is taken
-    makes no difference); an empty table gives no rows; other columns are not read.
+    null doc_ids count as one id; repeated rows have one row_key and are rounded one by one (which
+    of them is taken makes no difference); texts of any length are counted whole; an empty table
+    gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     rows = written(
-        docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("row_key")),
+        docs.select("doc_id", "source", word_count("text").alias("size"), row_key("doc_id", "source", "text").alias("row_key")),
         "mix-rows",
     )
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -154,19 +164,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     levels = max(1, math.ceil(math.log(max(largest, 2), FAN_IN)))
     share = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     copied = facts.withColumnRenamed("source", "of")
+    # Blocks of repeated rows; all but a few are blocks of one row.
+    counted = rows.groupBy("doc_id", "source", "row_key", "size").agg(F.count("*").alias("times"))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
     level = (
-        rows.join(copied, rows["source"].eqNullSafe(copied["of"]))
-        .select("doc_id", "source", "row_key", "size", "source_size", "target", "n", F.floor(share + EPS).cast("int").alias("whole"), F.greatest(F.lit(0.0), share - F.floor(share + EPS)).alias("p"))
+        blocks.join(F.broadcast(copied), blocks["source"].eqNullSafe(copied["of"]))
+        .select("doc_id", "source", "row_key", "size", "times", "block", "source_size", "target", "n", F.floor(share + EPS).cast("int").alias("whole"), F.greatest(F.lit(0.0), share - F.floor(share + EPS)).alias("p"))
         .withColumn("open", F.lit(True))
     )
     settled = []
-    columns = ["doc_id", "source", "row_key", "size", "source_size", "target", "whole", "p"]
+    columns = ["doc_id", "source", "row_key", "draw_key", "size", "source_size", "target", "whole", "p"]
     for k in range(levels):
         final = k == levels - 1
         groups = F.lit(1) if final else F.ceil(F.col("n") / F.lit(float(FAN_IN) ** (k + 1))).cast("long")
-        grouped = level.withColumn("cell", F.pmod(F.xxhash64("row_key", F.lit(seed)), groups))
+        key = ["row_key", "block"] if k == 0 else ["draw_key"]
+        grouped = level.withColumn("cell", F.pmod(F.xxhash64(*key, F.lit(seed)), groups))
         parts = max(1, min(shuffle_partitions(spark), 1 << 15))
-        done = written(_rounded(grouped, parts, seed + k, final), f"mix-level{k}")
+        dealt = grouped.repartition(parts, "source", "cell")
+        if k == 0:  # each row of a block draws by its own key
+            member = F.explode(F.sequence(F.col("block") * REPEATS, F.least(F.col("times"), (F.col("block") + 1) * REPEATS) - 1))
+            dealt = dealt.withColumn("member", member).withColumn("draw_key", F.when(F.col("member") == 0, F.col("row_key")).otherwise(F.xxhash64("row_key", "member")))
+            dealt = dealt.drop("times", "block", "member")
+        done = written(_rounded(dealt, seed + k, final), f"mix-level{k}")
         settled.append(done.where(~F.col("open")).select(*columns))
         level = done.where("open")
     result = settled[0]
@@ -176,10 +195,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     return result.select("doc_id", "source", "row_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def _rounded(grouped: DataFrame, parts: int, seed: int, final: bool) -> DataFrame:
+def _rounded(dealt: DataFrame, seed: int, final: bool) -> DataFrame:
     """One level of the tree: rows sorted by group stream through each task, and each group is rounded as it ends."""
-    order = [F.col("source").isNull(), "source", "cell", "row_key", "doc_id"]
-    schema = grouped.schema
+    order = [F.col("source").isNull(), "source", "cell", "draw_key", "doc_id"]
+    schema = dealt.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -198,7 +217,7 @@ def _rounded(grouped: DataFrame, parts: int, seed: int, final: bool) -> DataFram
         if held and len(rows := pd.concat(held, ignore_index=True)):
             yield _round_groups(rows, _group_numbers(rows), seed, final)
 
-    return grouped.repartition(parts, "source", "cell").sortWithinPartitions(*order).mapInPandas(run, schema)
+    return dealt.sortWithinPartitions(*order).mapInPandas(run, schema)
 
 
 def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
@@ -212,7 +231,7 @@ def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
 
 def _round_groups(rows: pd.DataFrame, groups: np.ndarray, seed: int, final: bool) -> pd.DataFrame:
     p, size = rows["p"].to_numpy(dtype=float, copy=True), rows["size"].to_numpy(dtype=float)
-    u = _uniforms(rows["row_key"].to_numpy(), seed)
+    u = _uniforms(rows["draw_key"].to_numpy(), seed)
     is_open = np.zeros(len(rows), dtype=bool)
     edges = np.flatnonzero(np.diff(np.concatenate(([-1], groups, [groups[-1] + 1]))))
     for a, b in zip(edges[:-1], edges[1:], strict=True):

@@ -147,13 +147,15 @@ class _Stream:
 def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` tokens, order kept.
 
-    Each document is its tokens, added tokens such as <|endoftext|> found in the text among them, then END_OF_DOCUMENT. The documents of a partition, in their
-    order, are one stream; ``window_cuts`` chooses where it is cut, at the ends of documents
+    Each document is its tokens, added tokens such as <|endoftext|> found in the text among them,
+    then END_OF_DOCUMENT. The documents of a partition, in their order, are one stream; ``window_cuts`` chooses where it is cut, at the ends of documents
     (free) or sentences (a small penalty), so that padding plus penalties is least. Only in a
     stretch of more than MAX_SENTENCE tokens without such an end may a cut lie inside, at a high
     penalty. Returned are the pieces: doc_id, start (tokens of the document before it), length,
     ids (little-endian unsigned 32-bit, as binary), doc_tokens, sequence_id and offset in the
-    sequence. A sequence id is the partition's number, then a running number, so a task that
+    sequence. The stream is packed in blocks of about BLOCK_TOKENS tokens, so that a task's memory
+    is bounded: cuts are the cheapest of each block, the window that a block leaves part-filled
+    being taken on by the next. A sequence id is the partition's number, then a running number, so a task that
     runs again gives the same ids. Nothing is shuffled; a partition ends with one part-filled
     sequence.
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from corpusloom.llm import mixing
 from corpusloom.llm.mixing import mix_sources, pivot
 
 SCHEMA = "doc_id long, text string, source string"
@@ -70,3 +71,22 @@ def test_nulls_repeats_and_empty(spark):
     assert len(got) == 4 and all(r.taken == 0 for r in got if r.source == "a")
     assert {r.target for r in got if r.source is None} == {4.0}
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_are_many_groups_and_the_tree_has_levels(spark, monkeypatch):
+    """A third of the rows is one row, again and again; with a small fan-in the tree has several levels."""
+    monkeypatch.setattr(mixing, "FAN_IN", 16)
+    monkeypatch.setattr(mixing, "REPEATS", 8)
+    rng = random.Random(3)
+    rows = [(7, "same words here", "a")] * 700 + [(k, " ".join(["w"] * rng.randrange(1, 30)), rng.choice("abc")) for k in range(100, 1500)]
+    rows += [(5000, "long " * 20_000, "c")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sources(frame.repartition(6)).collect()
+    assert len(got) == len(rows)
+    sizes = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in "abc"}
+    for source, target in expected_targets(sizes).items():
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - target) <= (20_000 if source == "c" else 30)
+    assert len({r.row_key for r in got if r.doc_id == 7}) == 1
+    again = mix_sources(frame.repartition(3)).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
