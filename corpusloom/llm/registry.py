@@ -11,6 +11,7 @@ from corpusloom.llm.audio import audio_column
 from corpusloom.llm.common import table
 from corpusloom.llm.linededup import dedup_lines
 from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.oracle import ORACLE_SQL  # noqa: F401
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.secrets import secret_report
 from corpusloom.llm.setjoin import shingle_components
@@ -96,5 +97,3 @@ QUERIES = {
     "op10_audio": op10_audio,
     "pipeline": corpus_pipeline.run,
 }
-
-ORACLE_SQL = {}

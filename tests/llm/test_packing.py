@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import tokenizers
 
-from corpusloom.llm.packing import END_OF_DOCUMENT, pack_documents, window_cuts
+from corpusloom.llm.packing import END_OF_DOCUMENT, encoder, pack_documents, window_cuts
 
 SCHEMA = "doc_id long, text string"
 
@@ -85,3 +85,16 @@ def test_added_tokens_in_texts(spark):
     rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext |> x.<|endoftext|>\ny" * 50)]
     pieces = pack_documents(spark.createDataFrame(rows, SCHEMA), window=64).collect()
     check_pieces(rows, pieces, 64)
+
+
+def test_ids_are_those_of_the_json_vocabulary():
+    """All texts of sf0.1, encoded by the JSON vocabulary's own library."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()] + ["a <|endoftext|> b"]
+    named, ours = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), encoder("byte_bpe_50k.tiktoken")
+    for start in range(0, len(texts), 1000):
+        part = texts[start : start + 1000]
+        assert [e.ids for e in named.encode_batch(part, add_special_tokens=False)] == ours.encode_batch(part, allowed_special="all")

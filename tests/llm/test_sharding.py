@@ -34,3 +34,16 @@ def test_empty_and_clashing_columns(spark):
     assert shard_documents(empty).count() == 0
     clash = spark.createDataFrame([(1, "a", 5, "b")], SCHEMA + ", size int, shard string")
     assert [(r.size, r.shard, r.slot) for r in shard_documents(clash, 2).collect()] == [(2, 1, 0)]
+
+
+def test_prefix_sums_against_plain_ones(spark):
+    """Each row's shard, recomputed by a running sum in one list; one text is half of all bytes."""
+    rows = [(k, "x" * (k * 37 % 211)) for k in range(700)] + [(350, "y" * 70_000), (None, "z"), (None, None)]
+    got = shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(5), n_shards=16).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
+    total, end, wanted = sum(len(t or "") + 1 for _, t in rows), 0, []
+    for doc_id, text in order:
+        size = len(text or "") + 1
+        end += size
+        wanted.append((doc_id, size, min(15, (2 * end - size) * 16 // (2 * total))))
+    assert sorted(map(str, ((r.doc_id, r.size, r.shard) for r in got))) == sorted(map(str, wanted))
