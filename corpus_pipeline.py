@@ -18,6 +18,16 @@ from corpusloom.llm.setjoin import shingle_components
 from corpusloom.llm.toxicity import fit_toxicity, is_held_out, toxicity_score
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns under names that no stage uses itself."""
+    return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
+
+
+def _named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``_plain`` under their first names."""
+    return df.select(*[F.col(c if c in ("doc_id", "text") else f"other{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on labelled rows that are not held out, does not reject.
 
@@ -35,10 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Cases: null and empty texts stay as they are; repeated rows share one fate, as they name one
     place; other columns pass, also those that the operator has for its counts.
     """
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     words_left = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(WORD))
-    kept = dedup_lines(rows).where((F.col("n_dropped") == 0) | words_left)
-    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return _named(dedup_lines(_plain(docs)).where((F.col("n_dropped") == 0) | words_left), docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +57,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Cases: rows without words link with nothing and stay; of repeated rows one stays; an empty
     table gives none; other columns pass.
     """
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rows = _plain(docs)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "pipeline-rows")
     components = shingle_components(rows.select(F.col("place").alias("doc_id"), "text"), words=5, similarity=(8, 10))
     keep = components.where("doc_id = component_id").select(F.col("doc_id").alias("place"))
-    return rows.join(keep, "place", "left_semi").select("row.*")
+    return _named(rows.join(keep, "place", "left_semi"), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
