@@ -33,13 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark's setting to delete a query's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage: what follows reads the table, so a lost executor costs no more than
-    the tasks it was running, and random or order-dependent columns keep one value.
+    the tasks it was running, and random or order-dependent columns keep one value. Shuffle files
+    of the session's queries are deleted as each ends, since a long chain of tables would
+    otherwise hold those of many on disk.
     """
     spark = df.sparkSession
+    spark.conf.set(CLEANUP, "true")
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
