@@ -24,9 +24,9 @@ def stable_id(prefix: str, tag: str, *parts: Column) -> Column:
 
 
 def fnv1a32(text: Column) -> Column:
-    """32-bit FNV-1a over the UTF-8 bytes, as a long."""
-    data = F.encode(text, "UTF-8")
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    """32-bit FNV-1a over the UTF-16 code units, as a long."""
+    data = F.encode(text, "UTF-16BE")
+    codes = F.transform(F.sequence(F.lit(1), (F.octet_length(data) / 2).cast("int")), lambda i: F.conv(F.hex(F.substring(data, i * 2 - 1, F.lit(2))), 16, 10).cast("long"))
     prime, modulus = F.lit(16777619).cast("long"), F.lit(1 << 32).cast("long")
     folded = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * prime, modulus))
     return F.when(F.octet_length(text) > 0, folded).otherwise(F.when(text.isNotNull(), F.lit(2166136261).cast("long")))

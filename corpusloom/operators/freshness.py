@@ -76,14 +76,15 @@ def with_moves(status: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def directory_hashes(inventory: DataFrame, levels: int) -> DataFrame:
-    """(dir, hash): SHA-1 of the sorted lines ``F name hash`` and ``D name`` of a directory's immediate children.
+    """(dir, hash): SHA-1 of the lines ``F name hash`` and ``D name`` of a directory's immediate children, by name.
 
     A directory's children are gathered in one row, so directories, not the tree, bound memory.
     """
-    files = inventory.select(parent(F.col("path")).alias("dir"), F.concat_ws(" ", F.lit("F"), basename(F.col("path")), "blob").alias("line"))
+    child = lambda line: F.struct(basename(F.col("path")).alias("name"), line.alias("line")).alias("child")
+    files = inventory.select(parent(F.col("path")).alias("dir"), child(F.concat_ws(" ", F.lit("F"), basename(F.col("path")), "blob")))
     dirs = inventory.select(F.explode(ancestors(F.col("path"))).alias("path")).where("path <> ''").distinct()
-    below = dirs.select(parent(F.col("path")).alias("dir"), F.concat_ws(" ", F.lit("D"), basename(F.col("path"))).alias("line"))
-    return files.union(below).groupBy("dir").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("hash"))
+    below = dirs.select(parent(F.col("path")).alias("dir"), child(F.concat_ws(" ", F.lit("D"), basename(F.col("path")))))
+    return files.union(below).groupBy("dir").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("child"))["line"], "\n")).alias("hash"))
 
 
 def scope_hashes(inventory: DataFrame, scope: str) -> DataFrame:

@@ -10,14 +10,18 @@ from corpusloom.functions.stats import ratio, z_scores
 
 
 def line_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Distribution of the lengths of non-blank lines: mean, population sd, p50, p95, max; quantiles are the nearest rank."""
+    """Distribution of the lengths of non-blank lines: mean, population sd, p50, p95, max; 0 without lines.
+
+    The quantile q of n sorted lengths is the one at index floor(q * n), from 0, or the last.
+    """
     lengths = F.array_sort(F.transform(T.filled(T.lines(F.col("text"))), F.length))
     of = docs.select(key, lengths.alias("v")).withColumn("n", F.size("v"))
-    rank = lambda q: F.get("v", (F.ceil(F.col("n") * q) - 1).cast("int"))
+    at = lambda i: F.coalesce(F.get("v", i.cast("int")), F.lit(0))
+    rank = lambda q: at(F.least(F.col("n") - 1, F.floor(F.col("n") * q)))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    with_mean = of.withColumn("mean", F.when(F.col("n") > 0, mean))
+    with_mean = of.withColumn("mean", F.when(F.col("n") > 0, mean).otherwise(0.0))
     sd = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n"))
-    return with_mean.select(key, F.col("n").alias("lines"), "mean", F.when(F.col("n") > 0, sd).alias("sd"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.get("v", F.col("n") - 1).alias("max"))
+    return with_mean.select(key, F.col("n").alias("lines"), "mean", F.when(F.col("n") > 0, sd).otherwise(0.0).alias("sd"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), at(F.col("n") - 1).alias("max"))
 
 
 def token_features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,13 +85,13 @@ def composite(features: DataFrame, key: str, plus: list[str], minus: list[str])
     return features.join(F.broadcast(norms)).select(key, total.alias("composite"))
 
 
-def duplicate_ratio(docs: DataFrame, key: str = "doc_id", size: int = 4, least: int = 8) -> DataFrame:
-    """(key, shingles, repeated, dup_ratio): distinct shingles of ``size`` normalised lines, and how many occur elsewhere or twice here.
+def duplicate_ratio(docs: DataFrame, key: str = "doc_id", size: int = 4, least: int = 8, least_chars: int = 25) -> DataFrame:
+    """(key, shingles, repeated, dup_ratio): distinct shingles of ``size`` trimmed lines of ``least_chars`` or more, and how many occur elsewhere or twice here.
 
     The ratio is null under ``least`` distinct shingles. Shingles are summed by (hash, document)
     before documents meet, so a shingle that everything shares is a count, not a group.
     """
-    normal = F.filter(F.transform(T.lines(F.col("text")), lambda s: F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))), lambda s: s != "")
+    normal = F.filter(F.transform(T.lines(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= least_chars)
     of = docs.select(key, normal.alias("l")).where(F.size("l") >= size)
     shingled = of.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.sha1(F.array_join(F.slice("l", i, F.lit(size)), "\n")))).alias("h"))
     here = shingled.groupBy("h", key).agg(F.count("*").alias("n"))

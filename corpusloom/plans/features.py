@@ -52,7 +52,9 @@ def top_outliers(spark, sf):
 
 
 def composite(spark, sf):
-    return rounded(O.composite(_features(spark, sf), "doc_id", plus=["entropy"], minus=["halstead_per_line"]), "composite", digits=4)
+    d = docs(spark, sf)
+    features = O.token_features(d).join(O.line_lengths(d).select("doc_id", "mean"), "doc_id").join(O.line_ratios(d).select("doc_id", "comment_ratio"), "doc_id")
+    return rounded(O.composite(features, "doc_id", plus=["comment_ratio"], minus=["halstead_per_line", "mean", "entropy"]), "composite", digits=4)
 
 
 def duplicate_ratio(spark, sf):
@@ -132,7 +134,7 @@ QUERIES = {
     "agg32_panel_gate": panel_gate, "mth3_bigram_dice": bigram_dice,
 }
 
-TOKENS = "tk as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?|[^\\sA-Za-z0-9_]+')) as token from documents)"
+TOKENS = "tk as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\\.[0-9]+)?|[^\\sA-Za-z0-9_$]+')) as token from documents)"
 LINES = "ln as (select doc_id, unnest(string_split(text, chr(10))) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents)"
 FEATURES = f"""{TOKENS}, ct as (select doc_id, token, count(*) as n from tk group by 1, 2), sm as (select doc_id, sum(n) as tokens, count(*) as distinct_tokens, sum(n * log2(n)) as s from ct group by 1),
  cl as (select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as code_lines, n_chars from documents),
@@ -144,22 +146,25 @@ WORDS = "wd as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'
 
 ORACLE_SQL = {
     "agg7_line_lengths": f"""with {LINES}, v as (select doc_id, length(l) as n from ln where trim(l) <> ''), r as (select *, row_number() over (partition by doc_id order by n) as k, count(*) over (partition by doc_id) as c from v)
- , a as (select doc_id, c as lines, round(avg(n), 6) as mean, round(stddev_pop(n), 6) as sd, min(n) filter (k >= ceil(c * 0.5)) as p50, min(n) filter (k >= ceil(c * 0.95)) as p95, max(n) as max from r group by doc_id, c)
- select d.doc_id, coalesce(lines, 0) as lines, mean, sd, p50, p95, max from documents d left join a using (doc_id)""",
+ , a as (select doc_id, c as lines, round(avg(n), 6) as mean, round(stddev_pop(n), 6) as sd, min(n) filter (k >= least(c, floor(c * 0.5) + 1)) as p50, min(n) filter (k >= least(c, floor(c * 0.95) + 1)) as p95, max(n) as max from r group by doc_id, c)
+ select d.doc_id, coalesce(lines, 0) as lines, coalesce(mean, 0) as mean, coalesce(sd, 0) as sd, coalesce(p50, 0) as p50, coalesce(p95, 0) as p95, coalesce(max, 0) as max from documents d left join a using (doc_id)""",
     "agg9_token_features": f"with {FEATURES} select doc_id, tokens, distinct_tokens, round(entropy, 6) as entropy, round(halstead_per_line, 6) as halstead_per_line from ft",
-    "agg11_identifier_stats": """with i as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents), s as (select *, case when regexp_matches(name, '^[A-Z][A-Z0-9_]*$') then 'upper'
- when regexp_matches(name, '^[a-z][a-z0-9]*$') then 'lower' when regexp_matches(name, '^[a-z][a-z0-9_]*$') then 'snake' when regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') then 'pascal' when regexp_matches(name, '^[a-z][A-Za-z0-9]*$') then 'camel' else 'other' end as style from i),
+    "agg11_identifier_stats": """with i as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*')) as name from documents), s as (select *, trim(name, '_') as core, case when length(core) <= 1 then 'other' when regexp_full_match(core, '[A-Z0-9_]+') then 'upper'
+ when contains(core, '_') and regexp_full_match(core, '[a-z0-9_]+') then 'snake' when contains(core, '_') then 'mixed' when regexp_matches(core, '^[a-z0-9]') then 'camel' when regexp_matches(core, '^[A-Z]') and regexp_matches(core, '[a-z]') then 'pascal' else 'other' end as style from i),
  g as (select doc_id, style, count(*) as n, sum(length(name)) as chars, count(*) filter (length(name) <= 2) as short from s group by 1, 2), r as (select *, row_number() over (partition by doc_id order by n desc, style desc) as k from g)
  select doc_id, sum(n) as identifiers, round(sum(chars) / sum(n), 6) as avg_length, round(sum(short) / sum(n), 6) as short_ratio, max(style) filter (k = 1) as style, round(max(n) / sum(n), 6) as style_share from r group by doc_id""",
     "agg14_line_ratios": """with x as (select doc_id, text, string_split(text, chr(10)) as a, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') as f from documents)
  select doc_id, round((len(a) - len(f)) / len(a), 6) as blank_ratio, case when len(f) > 0 then round(len(list_filter(f, lambda s: regexp_matches(s, '^\\s*(?:#|//|/\\*|\\*)'))) / len(f), 6) end as comment_ratio,
  case when len(f) > 0 then round(len(list_filter(f, lambda s: regexp_matches(s, '^\\s*(?:[-*+]|[0-9]+\\.)\\s'))) / len(f), 6) end as list_ratio,
- case when len(f) > 0 then round(100.0 * len(regexp_extract_all(text, '\\b(?:if|for|while|case|catch|elif|except|when|match)\\b|&&|\\|\\||\\?\\?')) / len(f), 6) end as branches_per_100 from x""",
+ case when len(f) > 0 then round(100.0 * len(regexp_extract_all(text, '\\b(?:if|elif|else|for|while|case|catch|except|when|guard|match)\\b|&&|\\|\\|')) / len(f), 6) end as branches_per_100 from x""",
     "win5_outliers": f"with {FEATURES}, {LONG} select doc_id, metric, round(z, 6) as z from zz where case when metric = 'entropy' then -z else z end >= 2",
     "srt2_top_outliers": f"with {FEATURES}, {LONG}, r as (select doc_id, metric, z, row_number() over (partition by metric order by -z, doc_id) as rank from zz where metric in ('n_chars', 'tokens') and z >= 2) select doc_id, metric, round(z, 6) as z, rank from r where rank <= 10",
-    "mth2_composite": f"""with {FEATURES}, n as (select avg(entropy) as em, stddev_pop(entropy) as es, avg(halstead_per_line) as hm, stddev_pop(halstead_per_line) as hs from ft)
- select doc_id, round(coalesce((entropy - em) / case when es > 0 then es else 1 end, 0) - coalesce((halstead_per_line - hm) / case when hs > 0 then hs else 1 end, 0), 4) as composite from ft, n""",
-    "agg12_duplicate_ratio": """with x as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: lower(trim(regexp_replace(s, '\\s+', ' ', 'g')))), lambda s: s <> '') as l from documents),
+    "mth2_composite": f"""with {FEATURES}, {LINES}, lm as (select doc_id, avg(length(l)) as mean, count(*) filter (regexp_matches(l, '^\\s*(?:#|//|/\\*|\\*)')) / count(*) as comment_ratio from ln where trim(l) <> '' group by doc_id),
+ v as (select ft.doc_id, entropy, halstead_per_line, coalesce(mean, 0) as mean, comment_ratio from ft left join lm using (doc_id)),
+ n as (select avg(entropy) as em, stddev_pop(entropy) as es, avg(halstead_per_line) as hm, stddev_pop(halstead_per_line) as hs, avg(mean) as lm, stddev_pop(mean) as ls, avg(comment_ratio) as cm, stddev_pop(comment_ratio) as cs from v)
+ select doc_id, round(coalesce((comment_ratio - cm) / case when cs > 0 then cs else 1 end, 0) - coalesce((halstead_per_line - hm) / case when hs > 0 then hs else 1 end, 0)
+  - coalesce((mean - lm) / case when ls > 0 then ls else 1 end, 0) - coalesce((entropy - em) / case when es > 0 then es else 1 end, 0), 4) as composite from v, n""",
+    "agg12_duplicate_ratio": """with x as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 25) as l from documents),
  h as (select doc_id, unnest(list_transform(range(1, len(l) - 2), lambda i: array_to_string(list_slice(l, i::int, (i + 3)::int), chr(10)))) as h from x where len(l) >= 4), g as (select h, doc_id, count(*) as n from h group by 1, 2), t as (select h, sum(n) as total from g group by 1)
  select doc_id, count(*) as shingles, count(*) filter (total > 1) as repeated, case when count(*) >= 8 then round(count(*) filter (total > 1) / count(*), 6) end as dup_ratio from g join t using (h) group by doc_id""",
     "srt3_longest_lines": f"with {LINES}, r as (select doc_id, line, length(l) as length, row_number() over (partition by doc_id order by length(l) desc, line) as k from ln) select doc_id, line, length from r where k <= 3 order by length desc, doc_id, line limit 20",

@@ -26,7 +26,7 @@ def test_fnv1a(spark):
         return h
 
     words = ["", "a", "foobar", "ä→"]
-    assert values(spark, [(w, None) for w in words], hashing.fnv1a32(F.col("a"))) == [fnv(w.encode()) for w in words]
+    assert values(spark, [(w, None) for w in words], hashing.fnv1a32(F.col("a"))) == [fnv([int.from_bytes(u[i : i + 2], "big") for i in range(0, len(u), 2)]) for u in (w.encode("utf-16-be") for w in words)]
 
 
 @pytest.mark.parametrize("glob, path, hit", [("src/**", "src/a/b.ts", True), ("*.md", "a/b.md", False), ("**/*.md", "b.md", True), ("a/{b,c}?.x", "a/c1.x", True), ("[!a]*", "abc", False), ("a.b", "axb", False)])
@@ -57,7 +57,8 @@ def test_text_pieces(spark):
     assert values(spark, [("**Term,** and **1**", None)], text.bold_terms(a)) == [["Term"]]
     assert values(spark, [("parseHTTPRequest2fast", None)], text.identifier_words(a, ["fast"])) == [["parse", "http", "request"]]
     assert values(spark, [("---\npath: a\nhash: h\n---\nbody", None)], text.front_matter_map(text.front_matter(a)["head"])) == [{"path": "a", "hash": "h"}]
-    assert values(spark, [("A_B", "ab"), ("aB", "Ab")], text.naming_style(a)) == ["upper", "camel"]
+    assert values(spark, [(w, None) for w in ("A_B", "aB", "Ab", "a_b", "A_b", "x", "_x_", "__", "ab", "_aB", "A$")], text.naming_style(a)) == [
+        "upper", "camel", "pascal", "snake", "mixed", "other", "other", "other", "camel", "camel", "other"]
 
 
 def test_rank_correlation_needs_variance(spark):
