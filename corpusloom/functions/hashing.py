@@ -13,6 +13,11 @@ def blob_sha1(text: Column) -> Column:
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit(NUL)), "UTF-8"), F.encode(text, "UTF-8")))
 
 
+def content_sha1(content: Column) -> Column:
+    """The same of binary content, whatever its bytes."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit(NUL)), "UTF-8"), content))
+
+
 def blob_sha256(text: Column) -> Column:
     return F.sha2(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(text).cast("string"), F.lit(NUL)), "UTF-8"), F.encode(text, "UTF-8")), 256)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,17 +96,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(several, "component", "left_semi").select("node", "component").unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def waves(items: DataFrame, requires: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, wave): 0 without requirements, else one more than the highest wave of what it requires (src requires dst)."""
-    depth = written(items.select("node").distinct().withColumn("wave", F.lit(0)), "graph")
-    needs = written(requires.select("src", "dst").distinct(), "graph")
-    for _ in range(rounds):
-        lifted = needs.join(depth.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("wave") + 1).alias("lifted"))
-        new = written(depth.join(lifted, "node", "left").select("node", F.col("wave").alias("old"), F.greatest("wave", F.coalesce("lifted", F.lit(0))).alias("wave")), "graph")
-        depth = new.select("node", "wave")
-        if new.where("old <> wave").isEmpty():
-            return depth
-    raise ValueError("a requirement depends on itself")
+def waves(items: DataFrame, requires: DataFrame) -> DataFrame:
+    """(node, wave): 0 without requirements, else one more than the highest wave of what it requires (src requires dst).
+
+    Each round settles the items whose requirements are all settled, so there are as many rounds
+    as waves; if a round settles none while some are open, a requirement depends on itself.
+    """
+    left = written(items.select("node").distinct(), "graph")
+    needs = requires.select("src", "dst").distinct().join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    needs = written(needs.join(left.withColumnRenamed("node", "src"), "src", "left_semi"), "graph")
+    settled = left.withColumn("wave", F.lit(0)).limit(0)
+    for wave in count():
+        if left.isEmpty():
+            return settled
+        free = written(left.join(needs.withColumnRenamed("src", "node"), "node", "left_anti").withColumn("wave", F.lit(wave)), "graph")
+        if free.isEmpty():
+            raise ValueError("a requirement depends on itself")
+        settled = written(settled.unionByName(free), "graph")
+        left = written(left.join(free, "node", "left_anti"), "graph")
+        needs = written(needs.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"), "graph")
 
 
 def sibling_edges(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import blob_sha1
+from corpusloom.functions.hashing import content_sha1
 from corpusloom.functions.text import front_matter, front_matter_map
 
 
@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_inventory(spark: SparkSession, root: str, most_bytes: int = 512 << 10) -> DataFrame:
-    """(path, blob, size) of the text files under ``root``; larger and binary files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
+def text_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """(path, blob, size) of the text files under ``root``, of any size; files with a NUL in their first 8 KiB are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     binary = F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00")
     base = F.lit(root.rstrip("/") + "/")
     path = F.regexp_replace("path", "^file:/+", "/")
-    return files.where(~binary).select(F.substring(path, F.length(base) + 1, F.length(path)).alias("path"), blob_sha1(F.decode("content", "UTF-8")).alias("blob"), F.col("length").alias("size"))
+    return files.where(~binary).select(F.substring(path, F.length(base) + 1, F.length(path)).alias("path"), content_sha1(F.col("content")).alias("blob"), F.col("length").alias("size"))
 
 
 def notes(spark: SparkSession, root: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import attention, coverage, decisions, freshness, glossary, graph
+from corpusloom.operators import attention, coverage, decisions, freshness, glossary, graph, textfeatures
+from corpusloom.sources import text_inventory
 from corpusloom.streaming import attention_stream
 
 
@@ -135,3 +137,42 @@ def test_attention_stream_keeps_state_between_batches(spark, tmp_path):
         query().awaitTermination()
     got = sorted((r["slug"], r["revision"], r["workflow"], r["event"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("a", 1, "done", None), ("a", 2, "open", "source-reopened"), ("b", 1, "open", None)]
+
+
+def test_directory_children_are_in_the_order_of_names(spark):
+    """A file ``b`` comes before a directory ``z``, whatever their sorts."""
+    inv = spark.createDataFrame([("b", "2"), ("z/y", "3")], "path string, blob string")
+    got = {r.dir: r.hash for r in freshness.directory_hashes(inv, 2).collect()}
+    assert got[""] == hashlib.sha1(b"F b 2\nD z").hexdigest()
+
+
+def test_quantiles_take_the_upper_of_two_middles(spark):
+    docs = spark.createDataFrame([(1, "a\nbb\nccc\ndddd"), (2, " \n"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.lines, r.mean, r.p50, r.p95, r.max) for r in textfeatures.line_lengths(docs).collect()}
+    assert got == {1: (4, 2.5, 3, 4, 4), 2: (0, 0.0, 0, 0, 0), 3: (0, 0.0, 0, 0, 0)}
+
+
+def test_short_lines_make_no_shingles(spark):
+    line = "a line of twenty-five chars"
+    docs = spark.createDataFrame([(1, "\n".join([line, "short"] * 4)), (2, "\n".join([line.upper()] * 4)), (3, "\n".join([line] * 4))], "doc_id long, text string")
+    got = {r.doc_id: (r.shingles, r.repeated) for r in textfeatures.duplicate_ratio(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (1, 1)}
+
+
+def test_waves_of_a_chain_and_of_a_cycle(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(12)], "node int")
+    chain = spark.createDataFrame([(k + 1, k) for k in range(9)] + [(11, 3), (5, 99)], "src int, dst int")
+    assert pairs(graph.waves(nodes, chain)) == sorted([(k, k) for k in range(10)] + [(10, 0), (11, 4)])
+    try:
+        graph.waves(nodes, chain.union(spark.createDataFrame([(2, 4)], chain.schema)))
+        raise AssertionError("a cycle has no waves")
+    except ValueError:
+        pass
+
+
+def test_inventory_hashes_bytes_of_any_size(spark, tmp_path):
+    files = {"a.txt": b"caf\xe9", "big.txt": b"x" * 600_000, "binary": b"a\0b"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path: (r.blob, r.size) for r in text_inventory(spark, str(tmp_path)).collect()}
+    assert got == {n: (hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest(), len(d)) for n, d in files.items() if n != "binary"}
