@@ -10,7 +10,8 @@ from corpusloom.operators import status as O
 from corpusloom.plans.freshness import INV, inventory
 from corpusloom.sources import table
 
-K = F.col("doc_id")
+def _k():
+    return F.col("doc_id")
 
 
 def _under(*parts):
@@ -19,24 +20,24 @@ def _under(*parts):
 
 def joi3_ignored_directories(spark, sf):
     d = table(spark, sf, "documents")
-    held = d.where("doc_id % 10 = 4").select(F.concat_ws("/", F.when(K % 4 == 0, "gen").otherwise(F.col("source")), "lang", F.concat(F.lit("tmp"), (K % 7).cast("string")), K.cast("string")).alias("path"))
+    held = d.where("doc_id % 10 = 4").select(F.concat_ws("/", F.when(_k() % 4 == 0, "gen").otherwise(F.col("source")), "lang", F.concat(F.lit("tmp"), (_k() % 7).cast("string")), _k().cast("string")).alias("path"))
     scanned = d.where("doc_id % 10 <> 4").select(F.explode(ancestors(_under("source", "lang", "doc_id"))).alias("path")).distinct()
     return O.ignored_directories(held, scanned)
 
 
 def joi5_edited_moves(spark, sf):
     d = inventory(spark, sf).where("doc_id % 11 = 0")
-    anchor = F.concat(F.lit("a"), (K % 3).cast("string"))
+    anchor = F.concat(F.lit("a"), (_k() % 3).cast("string"))
     old, older = F.concat(F.lit("old/"), "path"), F.concat(F.lit("older/"), "path")
     orphaned = d.where("doc_id % 5 <> 0").select(old.alias("path"), anchor.alias("anchor")).union(d.where("doc_id % 2 = 0").select(older, anchor))
-    score = (50 + K % 50).alias("similarity")
+    score = (50 + _k() % 50).alias("similarity")
     renames = d.select(anchor.alias("anchor"), old.alias("source"), F.col("path").alias("target"), score).union(d.select(anchor, older, "path", score))
     return O.edited_moves(orphaned, d.where("doc_id % 33 <> 0").select("path"), renames)
 
 
 def joi6_voted_moves(spark, sf):
     d = table(spark, sf, "documents")
-    to = F.when(K % 4 == 0, _under("new", "source", "lang", "doc_id")).when(K % 4 == 1, _under("new", "source", "x", "doc_id")).when(K % 4 == 2, _under("else", "source", "lang", "doc_id")).otherwise(_under("flat", "doc_id"))
+    to = F.when(_k() % 4 == 0, _under("new", "source", "lang", "doc_id")).when(_k() % 4 == 1, _under("new", "source", "x", "doc_id")).when(_k() % 4 == 2, _under("else", "source", "lang", "doc_id")).otherwise(_under("flat", "doc_id"))
     moves = d.where("doc_id % 4 <> 2 or doc_id % 3 <> 0").select(_under("old", "source", "lang", "doc_id").alias("source"), to.alias("target"))
     dirs = lambda c: moves.select(F.explode(ancestors(F.col(c))).alias("path")).distinct()
     return O.voted_moves(dirs("source"), moves, dirs("target").where("path not in ('', 'else')"))
@@ -44,7 +45,7 @@ def joi6_voted_moves(spark, sf):
 
 def joi8_change_sizes(spark, sf):
     inv = inventory(spark, sf)
-    changes = inv.select(F.concat(F.lit("a"), (K % 2).cast("string")).alias("anchor"), "path", F.when(K % 7 != 0, F.col("n_chars") % 97).alias("added"), (F.col("n_chars") % 89).alias("removed"))
+    changes = inv.select(F.concat(F.lit("a"), (_k() % 2).cast("string")).alias("anchor"), "path", F.when(_k() % 7 != 0, F.col("n_chars") % 97).alias("added"), (F.col("n_chars") % 89).alias("removed"))
     files = inv.where("doc_id % 5 = 0").select("path", F.lit("file").alias("type"), F.lit("a0").alias("anchor"))
     dirs = inv.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().select("path", F.lit("dir").alias("type"), F.lit("a1").alias("anchor"))
     return O.change_sizes(files.union(dirs), changes)
@@ -59,9 +60,9 @@ def joi10_reading_order(spark, sf):
 
 def _concepts(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha1(F.coalesce("text", F.lit(""))).alias("blob"))
-    inv = d.where("doc_id % 10 <> 7").select(K.cast("string").alias("path"), F.when(K % 6 == 0, "dir").otherwise("file").alias("type"), "blob")
-    sources = F.when(K % 8 == 0, F.array(K.cast("string"))).otherwise(F.array((K + 2).cast("string"), K.cast("string"), (K - 1).cast("string")))
-    return O.concept_status(d.where("doc_id % 4 = 0").select(F.concat(F.lit("c"), K.cast("string")).alias("slug"), sources.alias("sources"), F.sha1("blob").alias("hash")), inv)
+    inv = d.where("doc_id % 10 <> 7").select(_k().cast("string").alias("path"), F.when(_k() % 6 == 0, "dir").otherwise("file").alias("type"), "blob")
+    sources = F.when(_k() % 8 == 0, F.array(_k().cast("string"))).otherwise(F.array((_k() + 2).cast("string"), _k().cast("string"), (_k() - 1).cast("string")))
+    return O.concept_status(d.where("doc_id % 4 = 0").select(F.concat(F.lit("c"), _k().cast("string")).alias("slug"), sources.alias("sources"), F.sha1("blob").alias("hash")), inv)
 
 
 def joi12_concepts(spark, sf):
@@ -89,7 +90,7 @@ def set10_new_dirty(spark, sf):
 
 def _reports(spark, sf):
     inv = inventory(spark, sf)
-    before = inv.where("doc_id % 13 <> 0").withColumn("blob", F.when(K % 4 == 0, F.sha1("blob")).when(K % 9 == 0, F.lit(None).cast("string")).otherwise(F.col("blob"))).withColumn("n_chars", F.col("n_chars") + K % 7 - 3)
+    before = inv.where("doc_id % 13 <> 0").withColumn("blob", F.when(_k() % 4 == 0, F.sha1("blob")).when(_k() % 9 == 0, F.lit(None).cast("string")).otherwise(F.col("blob"))).withColumn("n_chars", F.col("n_chars") + _k() % 7 - 3)
     return O.report_changes(before, inv.where("doc_id % 17 <> 0"), "n_chars")
 
 
@@ -103,7 +104,7 @@ def srt12_trend_rows(spark, sf):
 
 def joi38_nearest_base(spark, sf):
     inv = inventory(spark, sf)
-    bases = inv.where("doc_id % 40 = 3 or source in ('src1', 'src2')").select(F.explode(F.array(F.when(K % 40 == 3, F.substring_index("path", "/", 2)), "source")).alias("path")).where("path <> 'src0' and path not like 'src1/%'")
+    bases = inv.where("doc_id % 40 = 3 or source in ('src1', 'src2')").select(F.explode(F.array(F.when(_k() % 40 == 3, F.substring_index("path", "/", 2)), "source")).alias("path")).where("path <> 'src0' and path not like 'src1/%'")
     return O.nearest_base(inv, bases)
 
 
@@ -124,12 +125,12 @@ def grf5_first_files(spark, sf):
 
 def joi9_references(spark, sf):
     d = table(spark, sf, "documents")
-    references = d.select("doc_id", F.when(K % 3 == 0, F.concat_ws("/", "lang", (K * 7 % 1500).cast("string"))).otherwise((K * 3 % 1700).cast("string")).alias("reference"))
+    references = d.select("doc_id", F.when(_k() % 3 == 0, F.concat_ws("/", "lang", (_k() * 7 % 1500).cast("string"))).otherwise((_k() * 3 % 1700).cast("string")).alias("reference"))
     return L.resolved(references, inventory(spark, sf), ["src1/", "src0/", "src0/en/", ""], ["", ".md"])
 
 
 def prj4_without_glob(spark, sf):
-    tail = F.get(F.array(*[F.lit(t) for t in ("", "/", "/*", "-*", "/*/x", "*")]), (K % 6).cast("int"))
+    tail = F.get(F.array(*[F.lit(t) for t in ("", "/", "/*", "-*", "/*/x", "*")]), (_k() % 6).cast("int"))
     return inventory(spark, sf).select("doc_id", O.without_glob(F.concat("path", tail)).alias("path"))
 
 
