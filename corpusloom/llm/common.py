@@ -43,12 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows reads the table, so a lost executor costs no more than
     the tasks it was running, and random or order-dependent columns keep one value. Shuffle files
     of the session's queries are deleted as each ends, since a long chain of tables would
-    otherwise hold those of many on disk.
+    otherwise hold those of many on disk. Texts in these tables are what is largest, so they are
+    packed with zstd.
     """
     spark = df.sparkSession
     spark.conf.set(CLEANUP, "true")
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
