@@ -116,4 +116,24 @@ select doc_id, case when text is null then 0 else len(string_split(text, chr(10)
 from docs left join of_docs using (id)
 """
 
-ORACLE_SQL = {"op3_sharding": SHARDING, "op4_secrets": SECRETS, "op6_jaccard": JACCARD, "op7_urlfilter": URLS, "op8_linededup": LINE_DEDUP}
+PHRASES = """
+with pieces as (
+    select lang, row_number() over () as piece, words from (
+        select lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda w: w <> '') as words
+        from (select coalesce(lang, 'und') as lang, coalesce(text, '') as text from documents)) where len(words) > 0),
+totals as (select lang, sum(len(words))::bigint as n from pieces group by lang),
+places as (select lang, words, m, unnest(range(1, len(words) - m + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as m)),
+counts as (select lang, array_to_string(words[i:i + m - 1], ' ') as phrase, any_value(m) as m, count(*) as f from places where i + m - 1 <= len(words) group by lang, phrase having count(*) >= 30),
+cuts as (select lang, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from counts where m > 1),
+scored as (select c.lang, c.phrase, c.a, k, h.f as l, t.f as r, (2000000::hugeint * c.a) // (h.f::hugeint + t.f) as score
+    from cuts c join counts h on h.lang = c.lang and h.phrase = array_to_string(w[1:k], ' ') join counts t on t.lang = c.lang and t.phrase = array_to_string(w[k + 1:], ' ')),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+spans as (select lang, f, string_split(phrase, ' ') as w, m, unnest(range(2, m)) as len from counts where m > 2),
+inside as (select lang, f, w, len, unnest(range(1, m - len + 2)) as i from spans),
+within as (select lang, array_to_string(w[i:i + len - 1], ' ') as phrase, max(f) as longer from inside group by all),
+kept as (select p.* from lowest p left join within q on q.lang = p.lang and q.phrase = p.phrase where q.longer is null or 100::hugeint * q.longer < 80::hugeint * p.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select r.lang, rank, phrase, a, l, r, n, score::bigint as score from ranked r join totals t on t.lang = r.lang where rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_sharding": SHARDING, "op4_secrets": SECRETS, "op6_jaccard": JACCARD, "op7_urlfilter": URLS, "op8_linededup": LINE_DEDUP, "op11_phrases": PHRASES}

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpusloom.llm.alignment import align_tokens
 from corpusloom.llm.ann import nearest_vectors
 from corpusloom.llm.audio import audio_column
-from corpusloom.llm.common import table
+from corpusloom.llm.common import shared_dir, table
 from corpusloom.llm.linededup import dedup_lines
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.oracle import ORACLE_SQL  # noqa: F401
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.phrases import mine_phrases
 from corpusloom.llm.secrets import secret_report
 from corpusloom.llm.setjoin import shingle_components
 from corpusloom.llm.sharding import shard_documents
+from corpusloom.llm.tokencounts import count_tokens
 from corpusloom.llm.toxicity import score_documents
 from corpusloom.llm.urlfilter import judge_urls
 
@@ -84,6 +89,19 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), least=30, longest=4, covered=(80, 100), top=2000)
+
+
+def op12_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a new cache, so that each run counts all distinct texts."""
+    return count_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-counts/{uuid.uuid4().hex}", limit=4096)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))[0]
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -95,5 +113,8 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_toxicity": op9_toxicity,
     "op10_audio": op10_audio,
+    "op11_phrases": op11_phrases,
+    "op12_tokencounts": op12_tokencounts,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
