@@ -18,7 +18,8 @@ CACHE = "digest binary, n_tokens long, tokenizer string"
 def cached_counts(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     """(digest, n_tokens) that the cache in folder ``cache`` has for one tokenizer's digest; a folder that isn't there is empty.
 
-    A run that was repeated, or two at a time, can append a digest twice, with the same count: it is given once.
+    A run that was repeated, or two at a time, can append a digest twice, with the same count: it is given once. Grouped
+    by both columns, so that a join by the digest is dealt anew and Spark can split its hot keys.
     """
     try:
         stored = spark.read.schema(CACHE).parquet(cache)
@@ -26,7 +27,7 @@ def cached_counts(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], CACHE)
-    return stored.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return stored.where(F.col("tokenizer") == tokenizer).select("digest", "n_tokens").distinct()
 
 
 def count_tokens(docs: DataFrame, cache: str, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
