@@ -8,24 +8,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import IDENTIFIER, identifier_words
+from corpusloom.functions.text import BRANCHES, IDENTIFIER, identifier_words
 
 
 @dataclass(frozen=True)
 class Family:
-    """How a family of languages writes comments and strings; ``spanning`` quotes run over line ends."""
+    """How a family of languages writes comments and strings; ``spanning`` quotes run over line ends, ``braces`` nest its blocks."""
 
     line: tuple[str, ...] = ()
     block: tuple[tuple[str, str], ...] = ()
     quotes: str = ""
     spanning: str = ""
     triple: bool = False
+    braces: bool = False
 
 
 #: The families, and the file endings of each.
 FAMILIES = {
-    "c": Family(line=("//",), block=(("/*", "*/"),), quotes="\"'`", spanning="`"),
-    "css": Family(block=(("/*", "*/"),), quotes="\"'"),
+    "c": Family(line=("//",), block=(("/*", "*/"),), quotes="\"'`", spanning="`", braces=True),
+    "css": Family(block=(("/*", "*/"),), quotes="\"'", braces=True),
     "python": Family(line=("#",), quotes="\"'", triple=True),
     "hash": Family(line=("#",), quotes="\"'"),
     "ruby": Family(line=("#",), block=(("=begin", "=end"),), quotes="\"'"),
@@ -156,3 +157,149 @@ def sections(text: Column) -> Column:
     """Number of lines of each section: what stands before the first line that begins with ``#``, if anything, and each such line with what follows it."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?m)^(?=#)", -1)
     return F.transform(parts, lambda part, i: F.regexp_count(part, F.lit(r"\n")) + F.when(i == F.size(parts) - 1, 1).otherwise(0))
+
+
+#: White space, of Unicode too, and a line with anything else.
+BLANK = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+FILLED = f"[^{BLANK}]"
+
+#: How a function begins where braces nest, tried in this order, and where indents do.
+FUNCTION_STARTS = [
+    r"\b(?:async\s+)?function\s*\*?\s*([\w$]+)\s*\(",
+    r"\bfunc\s*\([^)]*\)\s*([\w$]+)\s*\(",
+    r"\b(?:func|fn|fun)\s+([\w$]+)\s*\(",
+    r"\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*=>",
+    r"^\s*(?:(?:public|private|protected|static|async|override|abstract|final|virtual|inline|suspend|export|readonly)\s+)*([\w$]+)\s*\([^()]*\)\s*(?::\s*[^{}]+?)?\s*\{?\s*$",
+]
+INDENTED_START = r"^\s*(?:async\s+)?def\s+([\w$]+)\s*\("
+#: Comments that are no code that was commented out, what is cut off before the look, and what looks like code.
+NO_CODE = r"(?i)^(@|#+\s|\*|todo|fixme|note|https?:|<reference\b|@ts-)"
+COMMENT_MARK = r"^/+\s*|^--\s*"
+LOOKS_LIKE_CODE = r"([{}]|;\s*$|==|!=|<=|>=|=>|->|\w+\([^)]*\)|\)\s*$)"
+REEXPORT = r"^\s*export\s+.*\bfrom\b"
+
+REGION = "struct<name:string,line:int,lines:int,max_line_len:int,max_nesting:int,branches:int,comment_lines:int>"
+_OPEN = "array<struct<name:string,line:int,lines:int,base:int,top:int>>"
+
+
+def is_filled(line: Column) -> Column:
+    return F.regexp_like(line, F.lit(FILLED))
+
+
+def indent(line: Column) -> Column:
+    """Width of the white space that a line begins with; a tab counts as four."""
+    return F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+
+
+def _start_name(line: Column) -> Column:
+    """Name of the function that a line begins: of the first pattern whose first match has a name that is no keyword."""
+    found = [F.regexp_extract(line, pattern, 1) for pattern in FUNCTION_STARTS]
+    return F.when(line.contains("{"), F.coalesce(*[F.when((name != "") & ~name.isin(KEYWORDS), name) for name in found]))
+
+
+def _braced_regions(code: Column, most: int) -> Column:
+    """One pass over the lines: a function that is open hides others until the depth of braces is back where it began."""
+
+    def marked(line: Column) -> Column:
+        step = lambda a, b: F.struct((a["d"] + b).alias("d"), F.least(a["low"], a["d"] + b).alias("low"))
+        signs = F.transform(F.regexp_extract_all(line, F.lit(r"[{}]"), F.lit(0)), lambda b: F.when(b == "{", 1).otherwise(-1))
+        return F.struct(_start_name(line).alias("name"), F.aggregate(signs, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), step).alias("net"))
+
+    lines = F.transform(code, lambda line, i: F.struct(marked(line).alias("m"), (i + 1).alias("line")))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("base"), F.lit(0).alias("top"),
+        F.lit(False).alias("risen"), F.array().cast(_OPEN).alias("done"),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        idle, net = a["name"].isNull(), x["m"]["net"]
+        # The depth never falls below zero: what a line takes too much is not missing later.
+        after = F.greatest(a["depth"] + net["d"], net["d"] - net["low"])
+        name = F.when(idle, F.when(F.size(a["done"]) < most, x["m"]["name"])).otherwise(a["name"])
+        line, base = F.when(idle, x["line"]).otherwise(a["line"]), F.when(idle, a["depth"]).otherwise(a["base"])
+        top = F.when(idle, a["depth"]).otherwise(F.greatest(a["top"], a["depth"]))
+        risen = (~idle & a["risen"]) | (after > base)
+        closed = name.isNotNull() & risen & (after <= base)
+        region = F.struct(name.alias("name"), line.alias("line"), (x["line"] - line + 1).alias("lines"), base.alias("base"), top.alias("top"))
+        return F.struct(
+            after.alias("depth"), F.when(~closed, name).alias("name"), line.alias("line"), base.alias("base"), top.alias("top"),
+            (risen & ~closed).alias("risen"), F.when(closed, F.array_append(a["done"], region)).otherwise(a["done"]).alias("done"),
+        )
+
+    def finish(a: Column) -> Column:
+        region = F.struct(a["name"].alias("name"), a["line"].alias("line"), (F.size(code) - a["line"] + 1).alias("lines"), a["base"].alias("base"), a["top"].alias("top"))
+        return F.when(a["name"].isNotNull(), F.array_append(a["done"], region)).otherwise(a["done"])
+
+    return F.aggregate(lines, start, step, finish)
+
+
+def _indented_regions(code: Column, most: int) -> Column:
+    """One pass over the lines: a function holds the lines after it that are blank or indented further; without any it is none."""
+    lines = F.transform(code, lambda line, i: F.struct(F.nullif(F.regexp_extract(line, INDENTED_START, 1), F.lit("")).alias("name"), is_filled(line).alias("filled"), indent(line).alias("width"), (i + 1).alias("line")))
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("end"), F.lit(0).alias("base"), F.lit(0).alias("top"), F.array().cast(_OPEN).alias("done"))
+
+    def region(a: Column) -> Column:
+        return F.struct(a["name"].alias("name"), a["line"].alias("line"), (a["end"] - a["line"] + 1).alias("lines"), a["base"].alias("base"), a["top"].alias("top"))
+
+    def with_open(a: Column) -> Column:
+        return F.when(a["name"].isNotNull() & (a["end"] > a["line"]), F.array_append(a["done"], region(a))).otherwise(a["done"])
+
+    def step(a: Column, x: Column) -> Column:
+        goes_on = a["name"].isNotNull() & (~x["filled"] | (x["width"] > a["base"]))
+        done = F.when(goes_on, a["done"]).otherwise(with_open(a))
+        name = F.when(goes_on, a["name"]).when(F.size(done) < most, x["name"])
+        top = F.when(goes_on & x["filled"], F.greatest(a["top"], x["width"])).when(goes_on, a["top"]).otherwise(x["width"])
+        return F.struct(
+            name.alias("name"), F.when(goes_on, a["line"]).otherwise(x["line"]).alias("line"), x["line"].alias("end"),
+            F.when(goes_on, a["base"]).otherwise(x["width"]).alias("base"), top.alias("top"), done.alias("done"),
+        )
+
+    return F.aggregate(lines, start, step, with_open)
+
+
+def function_regions(raw: Column, code: Column, comment: Column, family: Family, most: int = 500) -> Column:
+    """The functions of a file, in order, ``most`` at most, as an array of REGION; bodies within a body are counted once, as part of it.
+
+    ``raw``, ``code`` and ``comment`` are arrays of lines as ``masked`` gives them. Where braces nest, a function goes from the line of its name,
+    which has a brace, to the line that brings the depth back, or the file's end; elsewhere it is a
+    ``def`` and the lines indented further. Nesting is what depth or indents (by four) rise above the first line's.
+    """
+    found = (_braced_regions if family.braces else _indented_regions)(code, most)
+    within = lambda lines, r: F.slice(lines, r["line"], r["lines"])
+    nesting = lambda r: r["top"] - r["base"] if family.braces else F.greatest(F.lit(0), F.floor((r["top"] - r["base"] - 1) / 4).cast("int"))
+    return F.transform(
+        found,
+        lambda r: F.struct(
+            r["name"].alias("name"), r["line"].alias("line"), r["lines"].alias("lines"),
+            F.aggregate(within(raw, r), F.lit(0), lambda most, s: F.greatest(most, F.length(s))).alias("max_line_len"), nesting(r).alias("max_nesting"),
+            F.aggregate(within(code, r), F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(BRANCHES))).alias("branches"),
+            F.size(F.filter(within(comment, r), is_filled)).alias("comment_lines"),
+        ),
+    ).cast(f"array<{REGION}>")
+
+
+def block_end(lines: Column, start: Column, most: int = 200) -> Column:
+    """The line, from 1, where the brackets that open at line ``start`` or after are balanced again, ``most`` lines on at most; ``start`` itself if none opens."""
+    part = F.slice(lines, start, F.lit(most))
+    signs = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r"[{}()\[\]]"), F.lit(0)), lambda b: F.when(b.isin("{", "(", "["), 1).otherwise(-1))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("end"))
+
+    def step(a: Column, line: Column) -> Column:
+        depth = F.aggregate(signs(line), a["depth"], lambda d, b: d + b)
+        opened = a["opened"] | F.regexp_like(line, F.lit(r"[{(\[]"))
+        return F.struct(depth.alias("depth"), opened.alias("opened"), (a["seen"] + 1).alias("seen"), F.coalesce(a["end"], F.when(opened & (depth <= 0), a["seen"])).alias("end"))
+
+    found = F.aggregate(part, zero, step)
+    return F.coalesce(start + found["end"], F.when(found["opened"], start + found["seen"] - 1).otherwise(start))
+
+
+def run_lengths(sorted_values: Column) -> Column:
+    """(distinct, bits): how many distinct values a sorted array has, and the sum of n * log2(n) over the counts n of each."""
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("distinct"), F.lit(0.0).alias("bits"))
+    closed = lambda a: F.when(a["n"] > 1, a["bits"] + a["n"] * F.log2(a["n"])).otherwise(a["bits"])
+
+    def step(a: Column, v: Column) -> Column:
+        same = a["last"].eqNullSafe(v)
+        return F.struct(v.alias("last"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), F.when(same, a["distinct"]).otherwise(a["distinct"] + 1).alias("distinct"), F.when(same, a["bits"]).otherwise(closed(a)).alias("bits"))
+
+    return F.aggregate(sorted_values, zero, step, lambda a: F.struct(a["distinct"].alias("distinct"), closed(a).alias("bits")))

@@ -92,8 +92,10 @@ def duplicate_ratio(docs: DataFrame, key: str = "doc_id", size: int = 4, least:
     before documents meet, so a shingle that everything shares is a count, not a group.
     """
     normal = F.filter(F.transform(T.lines(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= least_chars)
-    of = docs.select(key, normal.alias("l")).where(F.size("l") >= size)
-    shingled = of.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.sha1(F.array_join(F.slice("l", i, F.lit(size)), "\n")))).alias("h"))
+    of = docs.select(key, normal.alias("l"))
+    each = F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("l", i, F.lit(size)), "\n"))))
+    # The inner form, or a filter on the size, would have Spark compute the lines again below, for each shingle.
+    shingled = of.select(key, each.alias("h")).select(key, F.explode_outer("h").alias("h")).where("h is not null")
     here = shingled.groupBy("h", key).agg(F.count("*").alias("n"))
     everywhere = here.groupBy("h").agg(F.sum("n").alias("total"))
     marked = here.join(everywhere, "h")
