@@ -8,24 +8,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import LOWER, UPPER, written
 
-#: Words whose positions share one set of bitmaps, and bitmap words extended at a time; they bound a task's memory.
-CHUNK_WORDS, BATCH = 1 << 20, 1 << 16
+#: Words whose positions share one set of bitmaps, words coded at a time, and bitmap words extended at a time; they bound a task's memory.
+CHUNK_WORDS, CODED, BATCH = 1 << 21, 1 << 17, 1 << 17
 #: Bytes of a text that are split into words at a time, up to the end of a piece.
 PART_BYTES = 1 << 20
+#: Positions of a bitmap's word: few, so that a block has few other words to be compared with.
+WIDTH = 16
 
 #: A-Z in lower case, a tab as a space, and every separator of pieces as a line feed; all other bytes stay.
 FOLD = bytes.maketrans(f"{UPPER}\t.,;:!?\n\x0b\x0c\r".encode(), f"{LOWER} ".encode() + b"\n" * 10)
 WORDS = re.compile(rb"\n|[^ \n]+")
 
 CHUNKS = "chunk long, lang string, words array<string>, counts array<long>, codes binary"
-COUNTED = "chunk long, lang string, phrase string, n long"
 
 
 def _parts(text: str) -> Iterator[bytes]:
@@ -37,14 +37,37 @@ def _parts(text: str) -> Iterator[bytes]:
         at = stop
 
 
-def _chunk(number: int, lang: str, words: list[bytes]) -> pa.RecordBatch:
-    """One row: the distinct words, their counts, and each position's word as its place among them, or -1 between pieces."""
-    coded = pa.array([b"\n", *words], pa.binary()).dictionary_encode()
-    codes = coded.indices.to_numpy()[1:].astype("<i4") - 1
-    own = coded.dictionary[1:].cast(pa.string())
-    counts = np.bincount(codes[codes >= 0], minlength=len(own))
-    row = {"chunk": [number], "lang": [lang], "words": pa.array([own.to_pylist()], pa.list_(pa.string())), "counts": [counts.tolist()], "codes": [codes.tobytes()]}
-    return pa.RecordBatch.from_pydict(row)
+class _Positions:
+    """Words of one language by position: each as its place among the distinct ones, or -1 between pieces."""
+
+    def __init__(self):
+        self.places: dict[bytes, int] = {b"\n": -1}
+        self.codes: list[np.ndarray] = []
+        self.pending: list[bytes] = []
+        self.coded = 0
+
+    def __len__(self) -> int:
+        return self.coded + len(self.pending)
+
+    def add(self, words: list[bytes]) -> None:
+        self.pending += words
+        self.pending.append(b"\n")
+        if len(self.pending) >= CODED:
+            self.code()
+
+    def code(self) -> None:
+        found = pa.array(self.pending, pa.binary()).dictionary_encode()
+        places = np.array([self.places.setdefault(w, len(self.places) - 1) for w in found.dictionary.to_pylist()], dtype="<i4")
+        self.codes.append(places[found.indices.to_numpy()])
+        self.coded, self.pending = len(self), []
+
+    def row(self, number: int, lang: str) -> pa.RecordBatch:
+        if self.pending:
+            self.code()
+        codes = np.concatenate(self.codes)
+        words = [w.decode() for w in self.places if w != b"\n"]
+        counts = np.bincount(codes[codes >= 0], minlength=len(words))
+        return pa.RecordBatch.from_pydict({"chunk": [number], "lang": [lang], "words": pa.array([words], pa.list_(pa.string())), "counts": pa.array([counts], pa.list_(pa.int64())), "codes": [codes.tobytes()]})
 
 
 def position_chunks(docs: DataFrame) -> DataFrame:
@@ -55,35 +78,35 @@ def position_chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 for part in _parts(text.as_py() or ""):
-                    own = held.setdefault(lang, [])
-                    own += WORDS.findall(part)
-                    own.append(b"\n")
+                    own = held.setdefault(lang, _Positions())
+                    own.add(WORDS.findall(part))
                     full = lang if len(own) >= CHUNK_WORDS else None
-                    if full is None and len(held) > 4 and sum(map(len, held.values())) >= 4 * CHUNK_WORDS:
+                    if full is None and len(held) > 2 and sum(map(len, held.values())) >= 2 * CHUNK_WORDS:
                         full = max(held, key=lambda k: len(held[k]))
                     if full is not None:
-                        yield _chunk(number, full, held.pop(full))
+                        yield held.pop(full).row(number, full)
                         number += 1
         for lang, own in held.items():
-            yield _chunk(number, lang, own)
+            yield own.row(number, lang)
             number += 1
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(chunks, CHUNKS)
 
 
 class Bitmaps:
-    """Positions of words as bitmaps of 64 positions a block, of which only those with a bit set are kept, by block."""
+    """Positions of words as bitmaps of WIDTH positions a block, of which only those with a bit set are kept, by block."""
 
     def __init__(self, codes: np.ndarray, n_words: int):
         at = np.flatnonzero(codes >= 0)
-        key = (at >> 6) * n_words + codes[at]
+        key = at // WIDTH * n_words + codes[at]
         order = np.argsort(key, kind="stable")
-        key, bits = key[order], np.uint64(1) << (at[order] & 63).astype(np.uint64)
+        key, bits = key[order], np.left_shift(np.uint16(1), (at[order] % WIDTH).astype(np.uint16))
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         self.bits = np.bitwise_or.reduceat(bits, heads) if len(heads) else bits
-        self.block, self.word = np.divmod(key[heads], n_words) if n_words else (heads, heads)
-        blocks = (len(codes) >> 6) + 2
-        self.starts = np.searchsorted(self.block, np.arange(blocks + 1))
+        block, word = np.divmod(key[heads], n_words) if n_words else (heads, heads)
+        self.block, self.word = block.astype(np.int32), word.astype(np.int32)
+        blocks = len(codes) // WIDTH + 2
+        self.starts = np.searchsorted(self.block, np.arange(blocks + 1)).astype(np.int32)
 
     def first(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word, block, bits) of all words, a batch of words at a time."""
@@ -94,13 +117,13 @@ class Bitmaps:
 
     def extended(self, phrase: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Phrases one word longer, as (phrase, word, block, bits): shifted by one position, then AND with each word of the block."""
-        over = bits >> np.uint64(63)
+        over = bits >> np.uint16(WIDTH - 1)
         carried = over > 0
-        phrase, block = np.concatenate((phrase, phrase[carried])), np.concatenate((block, block[carried] + 1))
-        bits = np.concatenate((bits << np.uint64(1), over[carried]))
+        phrase, block = np.concatenate((phrase, phrase[carried])), np.concatenate((block, block[carried] + np.int32(1)))
+        bits = np.concatenate((bits << np.uint16(1), over[carried]))
         n = self.starts[block + 1] - self.starts[block]
-        own = np.repeat(np.arange(len(n)), n)
-        other = np.arange(len(own)) + np.repeat(self.starts[block] - (np.cumsum(n) - n), n)
+        own = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        other = np.arange(len(own), dtype=np.int32) + np.repeat((self.starts[block] - (np.cumsum(n) - n)).astype(np.int32), n)
         both = bits[own] & self.bits[other]
         held = np.flatnonzero(both)
         own, other = own[held], other[held]
@@ -120,7 +143,7 @@ class _Known:
 
     def number(self, d: int, phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Number of each phrase (by its number among those of ``d`` words) and word among those of ``d + 1``; -1 if not known, also for a phrase of -1."""
-        keys, key = self.keys[d - 1], phrase * self.n_words + word
+        keys, key = self.keys[d - 1], phrase.astype(np.int64) * self.n_words + word
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else np.zeros(len(key), np.int64)
         return np.where(keys[at] == key, at, -1) if len(keys) else np.full(len(key), -1)
 
@@ -151,7 +174,7 @@ def longer_phrases(codes: np.ndarray, n_words: int, frequent: np.ndarray) -> tup
             phrase = known.number(d, phrase, word)
             phrase, block, bits = phrase[phrase >= 0], block[phrase >= 0], bits[phrase >= 0]
         phrase, word, block, bits = maps.extended(phrase, block, bits)
-        pairs, distinct = pd.factorize(phrase * n_words + word)
+        pairs, distinct = pd.factorize(phrase.astype(np.int64) * n_words + word)
         n = np.bincount(pairs, weights=np.bitwise_count(bits), minlength=len(distinct)).astype(np.int64)
         phrase, word = np.divmod(distinct, n_words)
         columns = [*known.words(length, phrase), word]
@@ -176,54 +199,125 @@ def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[heads], np.add.reduceat(counts, heads)
 
 
-def _phrases_of(length: int):
-    """Counts of the phrases of ``length`` words of one chunk, given its frequent ones of one word less."""
+def _packed(rows: np.ndarray) -> list[np.ndarray]:
+    """Word ids, two to a long: the id plus one, 0 where there is none."""
+    filled = np.concatenate((rows + 1, np.zeros((len(rows), rows.shape[1] % 2), np.int64)), axis=1)
+    return [(filled[:, d] << 32) | filled[:, d + 1] for d in range(0, filled.shape[1], 2)]
+
+
+def _unpacked(keys: list[np.ndarray], length: int) -> np.ndarray:
+    return np.stack([(key >> 32 if d == 0 else key & 0xFFFFFFFF) - 1 for key in keys for d in (0, 1)][:length], axis=1)
+
+
+def _key_columns(length: int) -> list[str]:
+    return [f"k{j}" for j in range((length + 1) // 2)]
+
+
+def _counted(chunk: int, ids: bytes, frequent: np.ndarray | None, length: int) -> pa.Table:
+    """(chunk, key columns, n): the phrases of ``length`` words of one chunk, given its frequent ones of one word less (None: all words are)."""
+    ids = np.frombuffer(ids, "<i4").astype(np.int64)
+    codes, own = pd.factorize(np.where(ids < 0, -1, ids))
+    if len(own) and (gap := np.flatnonzero(own < 0)).size:
+        codes = np.where(codes == gap[0], -1, codes)
+    if frequent is None:
+        known = np.flatnonzero(own >= 0).reshape(-1, 1)
+    else:
+        order = np.argsort(own)
+        known = order[np.searchsorted(own, frequent, sorter=order)]
+    rows, counts = longer_phrases(codes, len(own), known) if len(known) else (np.empty((0, length), np.int64), np.empty(0, np.int64))
+    return pa.table({"chunk": pa.array(np.full(len(counts), chunk), pa.int64())} | dict(zip(_key_columns(length), _packed(own[rows]), strict=True)) | {"n": counts})
+
+
+def _longer(length: int):
+    """Phrases of ``length`` words of one chunk, beside the rows of its frequent ones of one word less."""
 
-    def counted(chunks: pa.Table, frequent: pa.Table) -> pa.Table:
-        schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
-        if not len(frequent) or not len(chunks):
-            return schema.empty_table()
-        row = chunks.slice(0, 1)
-        words = row.column("words").combine_chunks().flatten()
-        codes = np.frombuffer(row.column("codes")[0].as_py(), "<i4")
-        parts = pc.split_pattern(frequent.column("phrase").combine_chunks(), " ").flatten()
-        known = pc.index_in(parts, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, length - 1)
-        rows, counts = longer_phrases(codes, len(words), known)
-        phrase = pc.binary_join_element_wise(*(words.take(pa.array(rows[:, d])) for d in range(length)), " ")
-        return pa.table({"chunk": pa.array([row.column("chunk")[0].as_py()] * len(counts), pa.int64()), "lang": pa.array([row.column("lang")[0].as_py()] * len(counts), pa.string()), "phrase": phrase, "n": counts}, schema=schema)
+    def counted(chunk: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not len(chunk) or not len(frequent):
+            return _counted(0, b"", None, length)
+        rows = _unpacked([frequent.column(k).to_numpy() for k in _key_columns(length - 1)], length - 1)
+        return _counted(chunk.column("chunk")[0].as_py(), chunk.column("ids")[0].as_py(), rows, length)
 
     return counted
 
 
+def _level(rows: DataFrame, least: int, length: int) -> DataFrame:
+    """Rows of frequent phrases (chunk, key columns, f, first): each chunk that has one; ``first`` marks one of them.
+
+    A phrase has one row a chunk, so its rows are few; one shuffle gives their sum, and which are frequent.
+    """
+    w = Window.partitionBy(*_key_columns(length))
+    summed = rows.withColumns({"f": F.sum("n").over(w), "first": F.min("chunk").over(w) == F.col("chunk")})
+    return written(summed.where(F.col("f") >= least).drop("n"), f"phrases-{length}")
+
+
+def _phrase_ids(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frequent words (lang, word, id, f), frequent phrases (lang, p: array of ids, f) of one word and more, and words in all (lang, n)."""
+    chunks = written(position_chunks(docs), "phrase-chunks")
+    exploded = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    own = exploded.select("chunk", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    totals = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    sums = own.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    placed = written(sums.withColumn("place", F.monotonically_increasing_id()), "phrase-words")
+    # Ids without gaps: one row a partition, whose words come after those of the partitions before.
+    parts = placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    words = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(before), "part").select("lang", "word", (F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("id"), "f")
+    words = written(words, "phrase-ids")
+
+    def as_ids(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(chunk):
+            return pa.table({"chunk": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+        codes = np.frombuffer(chunk.column("codes")[0].as_py(), "<i4")
+        ids = np.full(len(codes) + 2, -1, "<i4")  # more than there are codes; the last stays for -1
+        ids[known.column("place").to_numpy()] = known.column("id").to_numpy()
+        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()], pa.int64()), "ids": pa.array([ids[codes].tobytes()], pa.binary())})
+
+    known = own.select(F.col("chunk").alias("of_chunk"), "lang", "place", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select("of_chunk", "place", "id")
+    ids = written(chunks.select("chunk", "codes").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(as_ids, "chunk long, ids binary"), "phrase-positions")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, row in zip(batch.column("chunk").to_pylist(), batch.column("ids"), strict=True):
+                yield from _counted(chunk, row.as_py(), None, 2).to_batches()
+
+    levels, found = [], ids.mapInArrow(pairs, "chunk long, k0 long, n long")
+    for length in range(2, longest + 1):
+        if length > 2:
+            frequent = levels[-1].select(F.col("chunk").alias("of_chunk"), *_key_columns(length - 1))
+            schema = "chunk long, " + ", ".join(f"{k} long" for k in _key_columns(length)) + ", n long"
+            found = ids.groupBy("chunk").cogroup(frequent.groupBy("of_chunk")).applyInArrow(_longer(length), schema)
+        levels.append(_level(found, least, length))
+    phrases = words.select("lang", F.array("id").alias("p"), "f")
+    langs = chunks.select("chunk", "lang")
+    for length, level in enumerate(levels, 2):
+        halves = [half for k in _key_columns(length) for half in (F.shiftright(k, 32) - 1, F.col(k).bitwiseAND(0xFFFFFFFF) - 1)]
+        phrases = phrases.unionByName(level.where("first").select("chunk", F.array(*halves[:length]).alias("p"), "f").join(langs, "chunk").select("lang", "p", "f"))
+    return words, written(phrases, "phrases"), totals
+
+
+def _spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
+    """``phrases`` with the words of the ids in ``p``, joined by spaces, as ``phrase``."""
+    others = [c for c in phrases.columns if c != "p"]
+    parts = phrases.select(*others, "p", F.posexplode("p").alias("place", "id")).join(words.select("id", "word"), "id")
+    gathered = parts.groupBy(*others, "p").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("parts"))
+    return gathered.select(*others, F.array_join(F.col("parts.word"), " ").alias("phrase"))
+
+
 def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
     """Counts (lang, phrase, n_words, f) of all phrases of up to ``longest`` words with f >= ``least``, and words in all by lang (lang, n).
 
     Phrases lie within a piece. Every chunk of positions counts its phrases of d words by bitmaps,
     extending only those of fewer words that are frequent in the whole corpus (a phrase
-    is no more frequent than its parts); the chunks' sums are then summed by phrase.
+    is no more frequent than its parts); the chunks' sums are then summed by phrase. Between the
+    steps a frequent word is its id, of less than 2^31.
     """
-    chunks = written(position_chunks(docs), "phrase-chunks")
-    exploded = chunks.select("chunk", "lang", F.explode(F.arrays_zip("words", "counts")).alias("word"))
-    counted = exploded.select("chunk", "lang", F.col("word.words").alias("phrase"), F.col("word.counts").alias("n"))
-    totals = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = []
-    for length in range(1, longest + 1):
-        if length > 1:
-            frequent = counted.select("chunk", "lang", "phrase").join(levels[-1], ["lang", "phrase"], "left_semi").select(F.col("chunk").alias("of_chunk"), "phrase")
-            found = chunks.select("chunk", "lang", "words", "codes").groupBy("chunk").cogroup(frequent.groupBy("of_chunk")).applyInArrow(_phrases_of(length), COUNTED)
-            counted = written(found, f"phrases-{length}")
-        sums = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        levels.append(written(sums.withColumn("n_words", F.lit(length)), f"phrases-frequent-{length}"))
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.union(level)
-    return counts, totals
-
-
-def _inner(words: str, least: int) -> str:
-    """SQL for all phrases of ``least`` words or more that lie within ``words``, itself left out."""
-    n = f"size({words})"
-    return f"flatten(transform(sequence({least}, {n} - 1), m -> transform(sequence(1, {n} - m + 1), i -> array_join(slice({words}, i, m), ' '))))"
+    words, phrases, totals = _phrase_ids(docs, least, longest)
+    return _spelled(phrases.withColumn("n_words", F.size("p")), words).select("lang", "phrase", "n_words", "f"), totals
+
+
+def _inner(least: int) -> str:
+    """SQL for all parts of ``least`` words or more of the array ``p``, itself left out."""
+    return f"flatten(transform(sequence({least}, size(p) - 1), m -> transform(sequence(1, size(p) - m + 1), i -> slice(p, i, m))))"
 
 
 def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, covered: tuple[int, int] = (80, 100), top: int = 2000) -> DataFrame:
@@ -238,23 +332,23 @@ def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, covered: tu
     Cases: a null lang is ``und``; null and empty texts have no words; repeated rows count each; very long texts are
     split at ends of pieces; an empty table gives no rows; other columns are not read.
     """
-    counts, totals = phrase_counts(docs, least, longest)
-    words = F.split("phrase", " ", -1)
-    candidates = counts.where("n_words > 1").select("lang", "phrase", F.col("f").alias("a"), words.alias("words"))
-    cuts = candidates.select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
-    parts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("head"), F.expr("array_join(slice(words, k + 1, size(words)), ' ')").alias("tail"))
-    heads, tails = counts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), counts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r"))
+    words, counts, totals = _phrase_ids(docs, least, longest)
+    candidates = counts.where(F.size("p") > 1).withColumnRenamed("f", "a")
+    cuts = candidates.select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"))
+    parts = cuts.select("lang", "p", "a", "k", F.expr("slice(p, 1, k)").alias("head"), F.expr("slice(p, k + 1, size(p))").alias("tail"))
+    heads, tails = counts.select(F.col("p").alias("head"), F.col("f").alias("l")), counts.select(F.col("p").alias("tail"), F.col("f").alias("r"))
     score = F.expr("(cast(2000000 as decimal(18,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    scored = parts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).withColumn("score", score)
-    lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut"))
-    inside = candidates.where(F.size("words") > 2).select("lang", F.explode(F.expr(_inner("words", 2))).alias("phrase"), F.col("a").alias("longer"))
-    longer = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    scored = parts.join(heads, "head").join(tails, "tail").withColumn("score", score)
+    lowest = scored.groupBy("lang", "p").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("cut"))
+    inside = candidates.where(F.size("p") > 2).select(F.explode(F.expr(_inner(2))).alias("p"), F.col("a").alias("longer"))
+    longer = inside.groupBy("p").agg(F.max("longer").alias("longer"))
     part, whole = (F.lit(x).cast("decimal(18,0)") for x in covered)
-    within = longer.join(candidates.select("lang", "phrase", "a"), ["lang", "phrase"]).where(whole * F.col("longer").cast("decimal(19,0)") >= part * F.col("a").cast("decimal(19,0)")).select("lang", "phrase")
-    kept = lowest.join(within, ["lang", "phrase"], "left_anti").select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # A language may hold most of the phrases: its first ones are found in 64 parts, then among those of all parts.
-    parted = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    near = parted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= top)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    within = longer.join(candidates.select("p", "a"), "p").where(whole * F.col("longer").cast("decimal(19,0)") >= part * F.col("a").cast("decimal(19,0)")).select("p")
+    kept = lowest.join(within, "p", "left_anti").select("lang", "p", "cut.a", "cut.l", "cut.r", "cut.score")
+    best = [F.col("score").desc(), F.col("a").desc()]
+    # A language may hold most of the phrases: its first ones are found in 64 parts, then among those of all parts. Ties stay until their words are known.
+    parted = kept.withColumn("part", F.pmod(F.xxhash64("p"), F.lit(64)))
+    near = parted.withColumn("place", F.rank().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("place") <= top).drop("part", "place")
+    nearer = near.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("place") <= top).drop("place")
+    ranked = _spelled(nearer, words).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase")).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
