@@ -35,8 +35,8 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str = "piece_bpe_32k.m
 
     A text's key is the SHA-256 of its UTF-8 bytes (null is the empty text; any other
     normalisation could change its tokens) together with the digest of the tokenizer's version.
-    Keys that the Parquet table in ``cache`` lacks are made distinct, each partition its own first,
-    so a text with many copies is sent and encoded once; the new counts are appended to the
+    Keys are made distinct, each partition its own first, so a text with many copies is sent once a partition
+    and encoded once; those that the Parquet table in ``cache`` lacks are encoded and their counts appended to the
     table, and every row gets its count by a join. The append is one Spark write: lost tasks are run
     again, and if the job ends early, the next call encodes what is missing.
     Special strings inside texts are treated as the library's default; nothing is added or cut.
@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, cache: str, vocabulary: str = "piece_bpe_32k.m
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text_bytes("text"), 256)).alias("digest"))
     known = cached_counts(spark, cache, tokenizer)
-    misses = keyed.select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary.endswith(".model")
