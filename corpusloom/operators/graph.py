@@ -10,16 +10,15 @@ from pyspark.sql import functions as F
 from corpusloom.operators.tables import written
 
 
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (src, dst): the least node of each component.
 
-    Each round a node takes the least label next to it, then that label's label.
+    Each round a node takes the least label next to it, then that label's label, until none changes.
     """
     both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "graph")
     alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     labels = written(alone.select("node", F.col("node").alias("component")), "graph")
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
         step = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jump"))
@@ -27,7 +26,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("old <> component").isEmpty():
             return labels
-    raise ValueError(f"no fixed point after {rounds} rounds")
 
 
 def reachability(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
