@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import json
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -14,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.tokens import byte_bpe_ids, encoder
+
 END_OF_DOCUMENT = 1
 #: Tokens after which the windows found so far are given out; bounds a task's memory (a longer document is held whole).
 BLOCK_TOKENS = 1 << 18
@@ -23,19 +23,6 @@ SENTENCE_PENALTY, INSIDE_PENALTY, MAX_SENTENCE = 4.0, 24.0, 64
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-@cache
-def encoder(vocabulary: str):
-    """Encoder for a public byte-level BPE file: a ``.tiktoken`` list of ranks, and the added tokens of the JSON beside it."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    with open(public_tokenizers.path(vocabulary.replace(".tiktoken", ".json")), encoding="utf-8") as full:
-        added = {token["content"]: token["id"] for token in json.load(full)["added_tokens"]}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-
 @cache
 def sentence_enders(vocabulary: str) -> np.ndarray:
     """For each token id, whether its bytes, without closing quotes and spaces, end a sentence or a line."""
@@ -165,13 +152,11 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
         stream = _Stream(vocabulary, window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = enc.encode(text.as_py() or "", allowed_special="all")
-                ids.append(END_OF_DOCUMENT)
-                stream.add(doc_id, np.array(ids, dtype=np.uint32))
+                ids = byte_bpe_ids(text.as_py() or "", vocabulary)
+                stream.add(doc_id, np.append(ids, np.uint32(END_OF_DOCUMENT)))
                 if stream.held >= BLOCK_TOKENS and (out := stream.pack(last=False)) is not None:
                     yield out
         if (out := stream.pack(last=True)) is not None:

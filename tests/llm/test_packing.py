@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 import tokenizers
 
-from corpusloom.llm.packing import END_OF_DOCUMENT, encoder, pack_documents, window_cuts
+from corpusloom.llm.packing import END_OF_DOCUMENT, pack_documents, window_cuts
+from corpusloom.llm.tokens import encoder
 
 SCHEMA = "doc_id long, text string"
 
@@ -98,3 +99,9 @@ def test_ids_are_those_of_the_json_vocabulary():
     for start in range(0, len(texts), 1000):
         part = texts[start : start + 1000]
         assert [e.ids for e in named.encode_batch(part, add_special_tokens=False)] == ours.encode_batch(part, allowed_special="all")
+
+
+def test_long_runs_of_one_character(spark):
+    """Runs that the fast encoder's pattern can't cross are encoded by the library."""
+    rows = [(k, u * 2_000_000) for k, u in enumerate((" ", "\t", "\n", "a", "!"))] + [(9, "x" + " " * 1_200_000 + "y <|endoftext|> z")]
+    check_pieces(rows, pack_documents(spark.createDataFrame(rows, SCHEMA), 2048).collect(), 2048)
