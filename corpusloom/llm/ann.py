@@ -231,7 +231,8 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, key: st
     copies = copied.join(points, "vector").select(F.col("id").alias("node"), "vec_id")
     ranked = (
         found.join(copies, "node").where(F.col("vec_id") != F.col("query"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id")))
+        .withColumn("score", F.sqrt("d"))  # squares that differ can have one root, and that is a tie
+        .withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id")))
         .where(F.col("rank") <= k)
     )
-    return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", F.sqrt("d").alias("score"))
+    return ranked.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")

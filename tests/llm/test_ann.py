@@ -83,3 +83,10 @@ def test_nodes_that_many_have_as_neighbour(spark):
         wanted = sorted((float(np.sqrt(((np.float32(v).astype(np.float64) - np.float32(w).astype(np.float64)) ** 2).sum())), i) for i, w in rows if i != q)[:10]
         found = sorted((r.score, r.vec_id) for r in got if r.query_id == q)
         assert (100_000 in {i for _, i in wanted}) == (100_000 in {i for _, i in found}) and len({i for _, i in wanted} & {i for _, i in found}) >= 8
+
+
+def test_equal_roots_of_different_squares_are_ties(spark):
+    rows = [(0, [0.0, 0.0, 1.0]), (5, [2.0**26, 0.0, 1.0]), (3, [2.0**26, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest_vectors(vectors, vectors.where("vec_id = 0").select("vec_id"), k=2).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in found] == [(1, 3, 2.0**26), (2, 5, 2.0**26)]
