@@ -66,15 +66,16 @@ def piece_pattern(family: Family) -> str:
     """A pattern that cuts program text into comments, strings and the rest; the first that fits at a place is taken.
 
     A string without its end stops at the line's end, a spanning one, a block comment and a triple
-    quote at the text's end. A backslash hides the character after it, but in triple quotes.
+    quote at the text's end. A backslash hides the character after it. Loops are possessive: what
+    they take is never given back, and a long string needs no deep stack.
     """
     parts = [rf"{re.escape(mark)}[^\n]*" for mark in family.line]
     parts += [rf"{re.escape(begin)}[\s\S]*?(?:{re.escape(end)}|\z)" for begin, end in family.block]
     if family.triple:
-        parts += [rf"{q}[\s\S]*?(?:{q}|\z)" for q in ("'''", '"""')]
+        parts += [rf"{q * 3}[^{q}\\]*(?:(?:{q}{{0,2}}\\[\s\S]|{q}{{1,2}}[^{q}\\])[^{q}\\]*)*+(?:{q * 3}|{q}{{0,2}}\\?\z)" for q in "'\""]
     for q in family.quotes:
         within, hidden = (rf"[^{q}\\]*", r"\\[\s\S]") if q in family.spanning else (rf"[^{q}\\\n]*", r"\\[^\n]")
-        parts.append(rf"{q}{within}(?:{hidden}{within})*[{q}\\]?")
+        parts.append(rf"{q}{within}(?:{hidden}{within})*+[{q}\\]?")
     first = {mark[0] for mark in (*family.line, *[b for b, _ in family.block], *family.quotes)}
     starts = "".join(re.escape(c) for c in sorted(first))
     return "|".join([*parts, rf"[^{starts}]+", r"[\s\S]"])
@@ -153,6 +154,21 @@ def coherence(code: Column, comment: Column) -> Column:
     return F.aggregate(per_line, start, lambda a, e: F.struct((a["words"] + e["words"]).alias("words"), (a["hits"] + e["hits"]).alias("hits")))
 
 
+def section_sizes(text: Column, callout: str = '<div class="callout"') -> Column:
+    """(lines, longest) of a note's body before its first callout: its lines, and the most lines between headings of four marks, these left out."""
+    at = F.instr(text, F.lit(callout))
+    body = F.split(F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), "\n", -1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    head = lambda line: line.startswith("#### ")
+    counted = F.aggregate(body, start, lambda a, line: F.struct(F.when(head(line), 0).otherwise(a["now"] + 1).alias("now"), F.greatest(a["most"], F.when(head(line), a["now"]).otherwise(a["now"] + 1)).alias("most")))
+    return F.struct(F.size(body).alias("lines"), counted["most"].alias("longest"))
+
+
+def is_wall(sizes: Column, most_section: int = 35, most_lines: int = 130) -> Column:
+    """Whether a body of ``section_sizes`` is too long to be read at a stretch."""
+    return (sizes["longest"] > most_section) | (sizes["lines"] > most_lines)
+
+
 def sections(text: Column) -> Column:
     """Number of lines of each section: what stands before the first line that begins with ``#``, if anything, and each such line with what follows it."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?m)^(?=#)", -1)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import scope_digest
 from corpusloom.functions.paths import ancestors, basename, parent
-from corpusloom.operators.tables import written
 
 
 def note_status(inventory: DataFrame, notes: DataFrame) -> DataFrame:
@@ -29,37 +29,64 @@ def status_counts(status: DataFrame, by: list[str] = ()) -> DataFrame:
     return status.groupBy(*by).agg(*[of(s) for s in ("fresh", "outdated", "missing", "moved", "ignored")], F.count_if(F.col("status") != "ignored").alias("total"))
 
 
+def _claims(sources: list[str], targets: list[str]) -> list[tuple[str, str]]:
+    """Sources in order each take, of the targets still free, one with the longest common suffix of segments, the least path of these.
+
+    Targets stand in a trie of their segments from the end; every node keeps its targets in order
+    and how many are free, so a claim walks as deep as the paths are.
+    """
+    root: dict = {"free": 0, "first": 0, "paths": [], "below": {}}
+    lines: dict[str, list[dict]] = {}
+    for target in targets:
+        node, line = root, [root]
+        for segment in reversed(target.split("/")):
+            node = node["below"].setdefault(segment, {"free": 0, "first": 0, "paths": [], "below": {}})
+            line.append(node)
+        lines[target] = line
+        for node in line:
+            node["paths"].append(target)
+            node["free"] += 1
+    found, claimed = [], set()
+    for source in sources:
+        if not root["free"]:
+            break
+        node = root
+        for segment in reversed(source.split("/")):
+            below = node["below"].get(segment)
+            if below is None or not below["free"]:
+                break
+            node = below
+        while node["paths"][node["first"]] in claimed:
+            node["first"] += 1
+        target = node["paths"][node["first"]]
+        claimed.add(target)
+        for node in lines[target]:
+            node["free"] -= 1
+        found.append((source, target))
+    return found
+
+
 def exact_moves(orphaned: DataFrame, missing: DataFrame) -> DataFrame:
     """(source, target): an orphan's note goes to a missing path of the same blob, one to one.
 
-    Greedy: among pairs of one blob, the longest common path suffix wins, ties by the smaller
-    paths. From the longest suffix down to none, what is open with one blob and suffix ties, as no
-    longer one is shared; such ties go by rank of the source and of the target, a group of any
-    size at once. A path with several blobs can win in two groups: its later pair and those after
-    it in that group then wait for the next pass.
+    Orphans are taken in the order of their paths; each takes the free path that shares the
+    longest suffix of segments with it, ties to the least path. As a claim depends on those before it,
+    the paths of one blob that both sides hold are settled in one task, which holds these paths and
+    nothing else. A path that has several blobs counts with the least of them.
     """
-    def parted(df: DataFrame, path: str, blob: str, name: str) -> DataFrame:
-        rows = df.select(F.col(path).alias(name), F.col(blob).alias("blob")).where("blob is not null").distinct()
-        return written(rows.withColumn("parts", F.reverse(F.split(name, "/"))), "moves")
-
-    sources, targets = parted(orphaned, "path", "hash", "source"), parted(missing, "path", "blob", "target")
-    taken = written(sources.join(targets.select("blob", "target"), "blob").select("source", "target").limit(0), "moves")
-    longest = [df.agg(F.max(F.size("parts"))).first()[0] or 0 for df in (sources, targets)]
-    for length in range(min(longest), -1, -1):
-        while True:
-            def ranked(df: DataFrame, name: str, n: int = length) -> DataFrame:
-                rows = df.join(taken.select(name), name, "left_anti").where(F.size("parts") >= n).withColumn("suffix", F.slice("parts", F.lit(1), F.lit(n)))
-                return rows.withColumn("place", F.row_number().over(Window.partitionBy("blob", "suffix").orderBy(name))).drop("parts")
-
-            pairs = written(ranked(sources, "source").join(ranked(targets, "target"), ["blob", "suffix", "place"]), "moves")
-            first = [F.row_number().over(Window.partitionBy(name).orderBy("source", "target", "blob")) == 1 for name in ("source", "target")]
-            judged = pairs.withColumn("wins", first[0] & first[1])
-            lost = judged.where(~F.col("wins")).groupBy("blob", "suffix").agg(F.min("source").alias("until"))
-            best = written(pairs.join(lost, ["blob", "suffix"], "left").where("until is null or source < until").select("source", "target"), "moves")
-            taken = taken.unionByName(best)
-            if best.isEmpty() or lost.isEmpty():
-                break
-    return taken
+    def of(df: DataFrame, path: str, blob: str) -> DataFrame:
+        return df.where(F.col(blob).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.min(blob).alias("blob"))
+
+    sources, targets = of(orphaned, "path", "hash"), of(missing, "path", "blob").withColumnRenamed("blob", "of_blob")
+    sources = sources.join(targets.select(F.col("of_blob").alias("blob")).distinct(), "blob", "left_semi")
+    schema = pa.schema([("source", pa.string()), ("target", pa.string())])
+
+    def settled(sources: pa.Table, targets: pa.Table) -> pa.Table:
+        order = lambda t: sorted(t.column("path").to_pylist(), key=lambda p: p.encode("utf-16-be"))
+        found = _claims(order(sources), order(targets)) if len(sources) else []
+        return pa.table({"source": [s for s, _ in found], "target": [t for _, t in found]}, schema=schema)
+
+    return sources.groupBy("blob").cogroup(targets.groupBy("of_blob")).applyInArrow(settled, "source string, target string")
 
 
 def directory_moves(moves: DataFrame, least: int = 1) -> DataFrame:

@@ -7,10 +7,14 @@ only by Spark's sort, which spills.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.graph import reachability
+from corpusloom.operators.graph import components, reachability
+from corpusloom.operators.tables import written
 
 
 def consecutive(occurrences: DataFrame, explicit: DataFrame) -> DataFrame:
@@ -120,6 +124,43 @@ def cyclic_edges(confirmed: DataFrame, proposed: DataFrame) -> DataFrame:
     return proposed.where("src <> dst").join(reached, ["src", "dst"], "left_semi").select("event", "src", "dst").unionByName(own)
 
 
+TURNS = pa.schema([("event", pa.int64()), ("src", pa.string()), ("dst", pa.string()), ("problem", pa.string())])
+
+
+def cyclic_in_turn(confirmed: DataFrame, proposed: DataFrame, most_edges: int = 10_000) -> DataFrame:
+    """(event, src, dst, problem): proposed equivalences (event, place, src, dst) that close a cycle with the confirmed ones (src, dst) and the proposals before them.
+
+    In order of place, event and ends, a proposal that closes none is an edge for those after it; one that
+    does, or whose ends are one, is ``cyclic`` and left out. The graph's connected components are judged apart, each in one task; the
+    proposals of a component of more than ``most_edges`` edges are ``oversized``.
+    """
+    text = lambda *names: [F.col(n).cast("string").alias(n) for n in names]
+    old = confirmed.select(F.lit(None).cast("long").alias("event"), F.lit(None).cast("long").alias("place"), *text("src", "dst")).distinct()
+    edges = written(old.unionByName(proposed.select(F.col("event").cast("long").alias("event"), F.col("place").cast("long").alias("place"), *text("src", "dst"))), "proposals")
+    placed = edges.join(components(edges.select("src", "dst")).withColumnRenamed("node", "src"), "src")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.count("event").alias("asked")).where("asked > 0")
+    marked = placed.join(sizes.select("component", (F.col("n") > most_edges).alias("large")), "component")
+
+    def judged(rows: pa.Table) -> pa.Table:
+        onward, found = defaultdict(list), []
+        for e in sorted(rows.to_pylist(), key=lambda e: (e["event"] is not None, e["place"] or 0, e["event"] or 0, e["src"], e["dst"])):
+            if e["event"] is not None:
+                ways, seen = [e["dst"]], set()
+                while ways and e["src"] not in seen:
+                    node = ways.pop()
+                    if node not in seen:
+                        seen.add(node)
+                        ways += onward[node]
+                if e["src"] in seen:
+                    found.append({"event": e["event"], "src": e["src"], "dst": e["dst"], "problem": "cyclic"})
+                    continue
+            onward[e["src"]].append(e["dst"])
+        return pa.Table.from_pylist(found, schema=TURNS)
+
+    cyclic = marked.where("not large").select("component", "event", "place", "src", "dst").groupBy("component").applyInArrow(judged, "event long, src string, dst string, problem string")
+    return cyclic.unionByName(marked.where("large and event is not null").select("event", "src", "dst", F.lit("oversized").alias("problem")))
+
+
 def rfc3339(text: Column) -> Column:
     """Whether a text is an instant of RFC 3339 with a date that exists, seconds up to 59, and Z or an offset."""
     # The form and its ranges.

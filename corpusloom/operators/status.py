@@ -18,16 +18,20 @@ def ignored_directories(ignored: DataFrame, directories: DataFrame) -> DataFrame
     return above.join(directories.select("path"), "path", "left_anti")
 
 
-def edited_moves(orphaned: DataFrame, missing: DataFrame, renames: DataFrame) -> DataFrame:
+def edited_moves(orphaned: DataFrame, missing: DataFrame, renames: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
     """(source, target, similarity): orphans (path, anchor) that a diff since their anchor renamed to a missing path.
 
-    ``renames`` are (anchor, source, target, similarity). A target goes to the first anchor and
-    source in order, a source that a diff renames twice to the first of its targets.
+    ``renames`` are (anchor, source, target, similarity). What exact moves ``claimed`` (source, target) takes no part. A target goes
+    to the anchor whose first orphan comes first, in it to the first source; a source that a diff renames twice to the first of its targets.
     """
+    if claimed is not None:
+        orphaned = orphaned.join(claimed.select(F.col("source").alias("path")), "path", "left_anti")
+        missing = missing.join(claimed.select(F.col("target").alias("path")), "path", "left_anti")
+    places = orphaned.groupBy("anchor").agg(F.min("path").alias("place"))
     known = renames.join(orphaned.select("anchor", F.col("path").alias("source")).distinct(), ["anchor", "source"], "left_semi")
     known = known.join(missing.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
-    one = known.groupBy("anchor", "source").agg(F.min(F.struct("target", "similarity")).alias("t")).select("anchor", "source", "t.*")
-    first = F.min(F.struct("anchor", "source", "similarity")).alias("m")
+    one = known.groupBy("anchor", "source").agg(F.min(F.struct("target", "similarity")).alias("t")).select("anchor", "source", "t.*").join(places, "anchor")
+    first = F.min(F.struct("place", "anchor", "source", "similarity")).alias("m")
     return one.groupBy("target").agg(first).select("m.source", "target", "m.similarity")
 
 
@@ -142,12 +146,13 @@ def preorder(nodes: DataFrame) -> DataFrame:
     """(path, key) of a tree's nodes (path, place): keys in order give each parent before its children, siblings by place, then path.
 
     Each node is joined with the nodes above it, so the key is made of their places; no task holds a directory's children.
+    Steps are joined by U+0001, which comes before all signs of names, so that a name is not cut by one that goes on.
     """
     step = lambda path, place: F.concat(F.lpad(place.cast("string"), 12, "0"), F.lit(" "), basename(path))
     steps = nodes.select(F.col("path").alias("above"), step(F.col("path"), F.col("place")).alias("step"))
     spread = nodes.select("path", F.posexplode(F.filter(F.array_union(ancestors(F.col("path")), F.array("path")), lambda p: p != "")).alias("depth", "above"))
     joined = spread.join(steps, "above")
-    return joined.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("depth", "step")))["step"], "/").alias("key"))
+    return joined.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("depth", "step")))["step"], "\u0001").alias("key"))
 
 
 def first_files(ordered: DataFrame, files: DataFrame) -> DataFrame:
@@ -158,6 +163,7 @@ def first_files(ordered: DataFrame, files: DataFrame) -> DataFrame:
 
 def without_glob(path: Column) -> Column:
     """A reference without a trailing slash, then without ``/*`` or ``*``, then without ``-*``; null if another star is left."""
+    # The three endings.
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/$", ""), r"/?\*$", ""), r"-\*$", "")
     return F.when(~F.contains(bare, F.lit("*")), bare)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.stats import ratio, z_scores
+from corpusloom.operators.tables import written
 
 
 def line_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -132,3 +133,48 @@ def tercile_sample(docs: DataFrame, group: str, measure: str, key: str, picks: i
     i = F.floor(F.col("place") * picks / F.col("n"))
     hit = F.array_contains(F.transform(F.array(i - 1, i, i + 1), lambda j: F.when((j >= 0) & (j < picks), F.floor((j + 0.5) * F.col("n") / picks))), F.col("place").cast("long"))
     return placed.where(hit).select(group, key, "stratum", "place")
+
+
+def _quotas(target: int, sizes: list[int]) -> list[int]:
+    """How many of three strata to take: a third each, what is left to the first, last and middle in turn, no more than there are."""
+    turns = [0, 2, 1]
+    quotas = [target // 3] * 3
+    for i in range(target % 3):
+        quotas[turns[i]] += 1
+    quotas = [min(q, n) for q, n in zip(quotas, sizes, strict=True)]
+    while sum(quotas) < target and any(q < n for q, n in zip(quotas, sizes, strict=True)):
+        for i in turns:
+            if quotas[i] < sizes[i] and sum(quotas) < target:
+                quotas[i] += 1
+    return quotas
+
+
+def _evenly(n: int, count: int) -> list[int]:
+    """``count`` places from 0 to ``n`` - 1, the first and the last among them; the middle one alone."""
+    if count >= n:
+        return list(range(n))
+    if count == 1:
+        return [(n - 1) // 2]
+    return [int((2 * i * (n - 1) + count - 1) // (2 * (count - 1))) for i in range(count)]
+
+
+def stratified_sample(rows: DataFrame, measure: str, key: str, target: int) -> DataFrame:
+    """(place, stratum, key, measure): ``target`` rows, evenly spaced in the lowest, middle and highest third by measure and key.
+
+    Thirds end at ceil(n / 3) and ceil(2n / 3). A row's place among all is its place in its range plus the
+    rows of the ranges before, so no task sorts the table; what meets is one count a range, and the picks.
+    """
+    order = [F.col(measure), F.col(key)]
+    ranged = rows.where(F.col(measure).isNotNull()).select(key, measure).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written once: a range keeps its number, and rows their places in it.
+    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()), "ranked")
+    parts = placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    n = placed.count()
+    target = min(target, n)
+    cuts = [0, -(-n // 3), -(-2 * n // 3), n]
+    sizes = [b - a for a, b in zip(cuts, cuts[1:], strict=False)]
+    picks = [(cuts[s] + p, s) for s, q in enumerate(_quotas(target, sizes)) if q for p in _evenly(sizes[s], q)]
+    wanted = rows.sparkSession.createDataFrame(picks, "place long, stratum int")
+    numbered = placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+    return numbered.join(wanted, "place").select("place", "stratum", key, measure)

@@ -20,6 +20,9 @@ INDENTED = [
 ]
 
 
+WALLS = [(". ", "\n"), ("\nT", "\n#### T"), ("\nA", "\n##### A"), ("\nO", "\n#### "), ("\nS", "\n####S"), ("edth", '<div class="callout" x')]
+
+
 def _replaced(spark, sf, replaced):
     text = F.coalesce("text", F.lit(""))
     for old, new in replaced:
@@ -116,6 +119,15 @@ def txt5_read_states(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.read_state(path, text, most_bytes=8000, looked_at=100).alias("state"))
 
 
+def win9_walls(spark, sf):
+    """Notes with headings of two to five marks and callouts."""
+    text = F.coalesce("text", F.lit(""))
+    for old, new in WALLS:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    sizes = table(spark, sf, "documents").select("doc_id", C.section_sizes(text).alias("s"))
+    return sizes.select("doc_id", "s.lines", "s.longest", C.is_wall(F.col("s"), 8, 60).alias("wall"))
+
+
 def win9_sections(spark, sf):
     return _programs(spark, sf).select("doc_id", F.posexplode(C.sections(F.col("text"))).alias("section", "lines"))
 
@@ -142,7 +154,7 @@ def _masked_sql(family):
     comment = any_of([*f.line, *[b for b, _ in f.block]])
     quotes = _quoted("''")
     code = f"case when {comment} then {ends} when {any_of(f.quotes)} then {quotes} || {ends} else x end"
-    return f"""p as (select id, regexp_extract_all(text, {_quoted(C.piece_pattern(f))}) as pieces from t),
+    return f"""p as (select id, regexp_extract_all(text, {_quoted(C.piece_pattern(f).replace("*+", "*"))}) as pieces from t),
  m as (select id, string_split(array_to_string(list_transform(pieces, lambda x: {code}), ''), chr(10)) as code, string_split(array_to_string(list_transform(pieces, lambda x: case when {comment} then x else {ends} end), ''), chr(10)) as comment from p)"""
 
 
@@ -264,6 +276,9 @@ ORACLE_SQL = {
  v as (select * from w where length(w) >= 3 and w not in ({STOPWORDS})), q as (select distinct id, i, unnest(regexp_extract_all(lower(comment), '[a-z]{{3,}}')) as w from l),
  h as (select q.id, q.i, q.w, bool_or(v.w is not null) as hit from q left join v on v.id = q.id and v.w = q.w and abs(v.i - q.i) <= 2 where q.w not in ({STOPWORDS}) group by all),
  g as (select id, count(*) as words, count(*) filter (hit) as hits from h group by id) select t.id as doc_id, coalesce(words, 0) as words, coalesce(hits, 0) as hits, round(hits / words, 6) as coherence from t left join g using (id)""",
+    "win9_walls": f"""with {_replaced_sql(WALLS)}, b as (select id, string_split(string_split(text, '<div class="callout"')[1], chr(10)) as ls from t), r as (select id, ls, unnest(range(1, len(ls) + 1)) as i from b),
+ h as (select id, len(ls) as n, i, starts_with(ls[i], '#### ')::int as h from r), s as (select id, n, h, sum(h) over (partition by id order by i) as section from h), c as (select id, n, section, count(*) filter (h = 0) as k from s group by all)
+ select id as doc_id, n as lines, max(k) as longest, max(k) > 8 or n > 60 as wall from c group by id, n""",
     "win9_sections": f"""with {PROGRAMS}, l as (select id, string_split(text, chr(10)) as ls from t), r as (select id, unnest(range(1, len(ls) + 1)) as i, ls from l), e as (select id, i, starts_with(ls[i], '#')::int as h from r),
  s as (select id, sum(h) over (partition by id order by i) - min(case when i = 1 then h end) over (partition by id) as section from e) select id as doc_id, section, count(*) as lines from s group by all""",
 }

@@ -74,6 +74,26 @@ def tercile_sample(spark, sf):
     return O.tercile_sample(docs(spark, sf), "source", "n_chars", "doc_id", picks=3)
 
 
+def quota_sample(spark, sf):
+    return O.stratified_sample(docs(spark, sf).withColumn("measure", (F.col("n_chars") % 997).cast("double")), "measure", "doc_id", 50)
+
+
+def _rated(spark, sf):
+    """Lines of orders in three groups, with a rating that depends on two measures."""
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select((F.col("l_suppkey") % 3).alias("group"), (F.col("l_quantity") % 17).alias("q"), (F.col("l_discount") * 100 + F.col("l_linenumber")).alias("d"))
+    return rows.withColumn("y", F.floor((F.col("q") - 2 * F.col("d") + F.col("group") * F.col("d")) / 4).cast("double"))
+
+
+def fitted_weights(spark, sf):
+    found = A.fit_weights(_rated(spark, sf), "group", ["q", "d"], "y")
+    return rounded(found.select("group", "n", F.col("weights")[0].alias("w_q"), F.col("weights")[1].alias("w_d"), F.col("others")[0].alias("o_q"), F.col("others")[1].alias("o_d")), "w_q", "w_d", "o_q", "o_d", digits=5)
+
+
+def held_out_rho(spark, sf):
+    rows = _rated(spark, sf)
+    return rounded(A.held_out_agreement(rows, A.fit_weights(rows, "group", ["q", "d"], "y"), "group", ["q", "d"], "y", {"equal": [1.0, -1.0]}), "equal", "fitted", "held_out", digits=5)
+
+
 def _terms(spark, sf):
     """First two words of each benchmark item, in lower case, as a term."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -131,6 +151,7 @@ QUERIES = {
     "srt3_longest_lines": longest_lines, "agg15_group_rollup": group_rollup, "win10_tercile_sample": tercile_sample,
     "joi34_glossary_mentions": glossary_mentions, "joi35_dead_terms": dead_terms, "agg27_bold_candidates": bold_candidates,
     "win4_spearman": rank_agreement, "agg33_agreement": label_agreement, "agg34_binary_accuracy": label_accuracy, "agg35_normal_sums": least_squares_sums,
+    "win10_quota_sample": quota_sample, "agg35_fitted_weights": fitted_weights, "agg35_held_out_rho": held_out_rho,
     "agg32_panel_gate": panel_gate, "mth3_bigram_dice": bigram_dice,
 }
 
@@ -144,7 +165,21 @@ LONG = "lg as (unpivot (select doc_id, n_chars::double as n_chars, tokens::doubl
 TERMS = "tm as (select distinct array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:2], ' ') as term from benchmark)"
 WORDS = "wd as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents), bi as (select doc_id, unnest(range(1, len(w))) as pos, w from wd where len(w) > 1), hit as (select doc_id, pos, w[pos] || ' ' || w[pos + 1] as term from bi)"
 
+RATED = """r as (select l_suppkey % 3 as g, l_quantity % 17 as q, l_discount * 100 + l_linenumber as d from lineitem where l_orderkey % 3 = 0), y as (select g, q, d, floor((q - 2 * d + g * d) / 4)::double as y from r)"""
+#: Weights of two standardised measures by Cramer's rule, of a group and of all others.
+FITTED = f"""{RATED}, ids as (select distinct g from y), sets as (select i.g as g, y.g = i.g as own, q, d, y from ids i, y),
+ m as (select g, own, count(*) as n, corr(q, d) as c, covar_pop(q, y) / stddev_pop(q) as bq, covar_pop(d, y) / stddev_pop(d) as bd from sets group by all),
+ w as (select g, own, n, (bq - c * bd) / (1 - c * c) as wq, (bd - c * bq) / (1 - c * c) as wd from m)"""
+
 ORACLE_SQL = {
+    "win10_quota_sample": """with s as (select doc_id, (n_chars % 997)::double as measure, row_number() over (order by n_chars % 997, doc_id) - 1 as place, count(*) over () as n from documents where n_chars is not null), t as (select max(n) as n, least(50, max(n)) as target from s),
+ c as (select n, target, ceil(n / 3)::bigint as c1, ceil(2 * n / 3)::bigint as c2 from t), b as (select 0 as stratum, 0 as lo, c1 as size, target // 3 + (target % 3 >= 1)::int as quota from c union all select 1, c1, c2 - c1, target // 3 from c union all select 2, c2, n - c2, target // 3 + (target % 3 >= 2)::int from c),
+ p as (select stratum, lo, size, quota, unnest(range(0, quota)) as i from b) select s.place, stratum, doc_id, measure from p join s on s.place = lo + case when quota >= size then i when quota = 1 then (size - 1) // 2 else floor(i * (size - 1) / (quota - 1) + 0.5) end""",
+    "agg35_fitted_weights": f"""with {FITTED} select a.g as "group", a.n, round(a.wq, 5) as w_q, round(a.wd, 5) as w_d, round(b.wq, 5) as o_q, round(b.wd, 5) as o_d from w a join w b on a.g = b.g where a.own and not b.own""",
+    "agg35_held_out_rho": f"""with {FITTED}, z as (select g, y, (q - avg(q) over (partition by g)) / stddev_pop(q) over (partition by g) as q, (d - avg(d) over (partition by g)) / stddev_pop(d) over (partition by g) as d from y),
+ p as (select z.g, y, q - d as e, a.wq * q + a.wd * d as f, b.wq * q + b.wd * d as h from z join w a on a.g = z.g and a.own join w b on b.g = z.g and not b.own), k as (select g, round(y, 9) as y, round(e, 9) as e, round(f, 9) as f, round(h, 9) as h from p),
+ o as (select g, {', '.join(f"rank() over (partition by g order by {c}) + (count(*) over (partition by g, {c}) - 1) / 2 as {c}" for c in 'yefh')} from k)
+ select g as "group", count(*) as n, round(corr(y, e), 5) as equal, round(corr(y, f), 5) as fitted, round(corr(y, h), 5) as held_out from o group by g""",
     "agg7_line_lengths": f"""with {LINES}, v as (select doc_id, length(l) as n from ln where trim(l) <> ''), r as (select *, row_number() over (partition by doc_id order by n) as k, count(*) over (partition by doc_id) as c from v)
  , a as (select doc_id, c as lines, round(avg(n), 6) as mean, round(stddev_pop(n), 6) as sd, min(n) filter (k >= least(c, floor(c * 0.5) + 1)) as p50, min(n) filter (k >= least(c, floor(c * 0.95) + 1)) as p95, max(n) as max from r group by doc_id, c)
  select d.doc_id, coalesce(lines, 0) as lines, coalesce(mean, 0) as mean, coalesce(sd, 0) as sd, coalesce(p50, 0) as p50, coalesce(p95, 0) as p95, coalesce(max, 0) as max from documents d left join a using (doc_id)""",

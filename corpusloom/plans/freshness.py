@@ -61,7 +61,7 @@ def exact_moves(spark, sf):
 
 
 def all_moves(spark, sf):
-    """Moves with copies: blobs that several orphans or missing paths hold are paired greedily, which SQL can't say."""
+    """Moves with copies: blobs that several orphans or missing paths hold are claimed in order."""
     inv = inventory(spark, sf)
     n = notes(inv)
     return O.exact_moves(O.orphans(inv, n), O.note_status(inv, n).where("status = 'missing'"))
@@ -139,7 +139,21 @@ UNIQUE_MOVES = f"""with {INV}, {NOTES}, {STATUS},
  o1 as (select hash, min(path) as source from orphan where hash is not null group by hash having count(*) = 1), m1 as (select blob, min(path) as target from mis group by blob having count(*) = 1),
  mv as (select source, target from o1 join m1 on o1.hash = m1.blob)"""
 
+#: Claims in order: one orphan of each blob a round, each taking the best path that its blob has left.
+CLAIMS = f"""with recursive {INV}, {NOTES}, {STATUS}, orphan as (select n.path, n.hash from notes n anti join inv i on n.path = i.path where n.hash is not null), tg as (select path, blob from st where status = 'missing'),
+ sc as (select path as source, hash as blob, row_number() over (partition by hash order by path) as k from orphan where hash in (select blob from tg)),
+ pr as (select blob, source, k, t.path as target, list_aggregate(list_transform(range(1, least(len(string_split(source, '/')), len(string_split(t.path, '/'))) + 1), lambda n: case when string_split(source, '/')[-n:] = string_split(t.path, '/')[-n:] then n else 0 end), 'max') as score from sc join tg t using (blob)),
+ w(blob, k, source, target, claimed) as (
+  select blob, 0::bigint, null::varchar, null::varchar, []::varchar[] from (select distinct blob from sc)
+  union all select blob, k, source, target, list_append(claimed, target) from (select pr.blob, pr.k, pr.source, pr.target, w.claimed, row_number() over (partition by pr.blob order by pr.score desc, pr.target) as best from w join pr on pr.blob = w.blob and pr.k = w.k + 1 where not list_contains(w.claimed, pr.target)) where best = 1),
+ mv as (select source, target from w where source is not null)"""
+
 ORACLE_SQL = {
+    "joi4_all_moves": f"{CLAIMS} select source, target from mv",
+    "joi7_moved_overlay": f"""{CLAIMS}, s2 as (select case when status = 'missing' and path in (select target from mv) then 'moved' else status end as status from st) select count(*) filter (status = 'fresh') as fresh, count(*) filter (status = 'outdated') as outdated,
+ count(*) filter (status = 'missing') as missing, count(*) filter (status = 'moved') as moved, count(*) filter (status = 'ignored') as ignored, count(*) filter (status <> 'ignored') as total from s2""",
+    "joi6_all_directory_moves": f"""{CLAIMS}, v as (select regexp_replace(source, '/?[^/]*$', '') as source_dir, regexp_replace(target, '/?[^/]*$', '') as target_dir, count(*) as votes from mv group by 1, 2),
+ r as (select *, row_number() over (partition by source_dir order by votes desc, target_dir desc) as k from v where source_dir <> target_dir) select source_dir, target_dir, votes from r where k = 1""",
     "freshness_status": f"with {INV}, {NOTES}, {STATUS} select path, status from st",
     "hsh1_content_hash": f"with {INV} select doc_id, blob, 'doc-' || substr(sha256('document' || chr(0) || path || chr(0) || blob), 1, 24) as stable_id from inv",
     "agg1_status_counts": f"""with {INV}, {NOTES}, {STATUS} select string_split(path, '/')[1] as source, count(*) filter (status = 'fresh') as fresh, count(*) filter (status = 'outdated') as outdated,

@@ -81,6 +81,14 @@ def grf7_cyclic_edges(spark, sf):
     return O.cyclic_edges(confirmed, proposed)
 
 
+def grf7_cyclic_in_turn(spark, sf):
+    """Links from a part to the next supplied by a supplier, and back in every ninth line: a proposal is held against those before it."""
+    rows = table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(F.floor(F.col("l_orderkey") / 5 / 40).cast("long").alias("g"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event"), F.col("l_partkey"), F.col("l_suppkey"))
+    node = lambda c: F.concat_ws("-", "g", (F.col(c) % 12).cast("string"))
+    edges = rows.select("event", node("l_partkey").alias("src"), node("l_suppkey").alias("dst"))
+    return O.cyclic_in_turn(edges.where("event % 4 = 0 and src < dst").select("src", "dst"), edges.where("event % 4 > 0").withColumn("place", F.col("event")))
+
+
 def dat1_rfc3339(spark, sf):
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     tails = ["T10:20:30Z", "T10:20:30.125+02:00", "T24:00:00Z", " 10:20:30Z", "T10:20:60Z", "T10:20:30", "T10:20:30-23:59", "T10:20:30+24:00"]

@@ -142,7 +142,13 @@ REACH = f"{EDGES}, re as (select src, dst, 1 as hops from ed union all select re
 LAST = "la as (select * from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1)"
 DIGEST = "sha256(conv_id || chr(0) || turn || chr(0) || coalesce(role, '') || chr(0) || coalesce(text, ''))"
 
+#: All transitions, and what each type reaches, with the fewest hops.
+REACHED = """recursive n as (select event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events), e as (select distinct src, dst from n where dst is not null),
+ r(src, dst, hops) as (select src, dst, 1 from e union select r.src, e.dst, hops + 1 from r join e on r.dst = e.src where hops < (select count(distinct src) from e)), h as (select src, dst, min(hops) as hops from r group by all)"""
+
 ORACLE_SQL = {
+    "grf7_all_reachability": f"with {REACHED} select src, dst, hops from h",
+    "grf1_all_strong_components": f"with {REACHED} select a.src as node, min(a.dst) as component from h a join h b on a.src = b.dst and a.dst = b.src group by a.src",
     "grf7_reachability": f"with recursive {REACH} select src, dst, hops from rr",
     "grf1_strong_components": f"with recursive {REACH} select a.src as node, least(a.src, min(a.dst)) as component from rr a join rr b on a.src = b.dst and a.dst = b.src group by a.src",
     "grf6_waves": "select conv_id || '-' || turn as node, (row_number() over (partition by conv_id order by turn) - 1)::int as wave from conversations",

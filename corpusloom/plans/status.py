@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import ancestors
 from corpusloom.operators import links as L
+from corpusloom.operators import readingorder as R
 from corpusloom.operators import status as O
 from corpusloom.plans.freshness import INV, inventory
 from corpusloom.sources import table
 
+
 def _k():
     return F.col("doc_id")
 
@@ -35,6 +38,17 @@ def joi5_edited_moves(spark, sf):
     return O.edited_moves(orphaned, d.where("doc_id % 33 <> 0").select("path"), renames)
 
 
+def joi5_contested_moves(spark, sf):
+    """Two orphans want each path; the anchors' names are in another order than their first orphans."""
+    d = inventory(spark, sf).where("doc_id % 6 = 1")
+    anchors = [F.concat(F.lit("a"), ((n + _k() * 5) % 7).cast("string")) for n in (0, 3)]
+    sources = [F.concat(F.lit(f"{top}/"), F.lpad(((_k() * 13) % 101).cast("string"), 3, "0"), F.lit("/"), F.col("path")) for top in ("m", "n")]
+    orphaned = d.select(sources[0].alias("path"), anchors[0].alias("anchor")).union(d.select(sources[1], anchors[1]))
+    renames = d.select(anchors[0].alias("anchor"), sources[0].alias("source"), F.col("path").alias("target"), F.lit(90).alias("similarity")).union(d.select(anchors[1], sources[1], "path", F.lit(80)))
+    claimed = d.where("doc_id % 4 = 1").select(sources[0].alias("source"), F.lit("gone").alias("target"))
+    return O.edited_moves(orphaned, d.select("path"), renames, claimed)
+
+
 def joi6_voted_moves(spark, sf):
     d = table(spark, sf, "documents")
     to = F.when(_k() % 4 == 0, _under("new", "source", "lang", "doc_id")).when(_k() % 4 == 1, _under("new", "source", "x", "doc_id")).when(_k() % 4 == 2, _under("else", "source", "lang", "doc_id")).otherwise(_under("flat", "doc_id"))
@@ -114,6 +128,21 @@ def _tree(spark, sf):
     return inv, every.select("path", (F.ascii(F.reverse("path")) % 5).alias("place"))
 
 
+def _siblings(spark, sf):
+    """Parts as children of their brand; parts of one order that follow one another use each other."""
+    kind = F.get(F.array(*map(F.lit, ["", ".test.", "fixtures", "", "scripts", ""])), (F.col("p_partkey") % 6).cast("int"))
+    name = F.when(F.col("p_partkey") % 30 == 4, "scripts").when(F.col("p_partkey") % 30 == 10, "tests").otherwise(F.concat(F.lit("c"), F.col("p_partkey") % 97, kind))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("dir"), name.alias("name"), (F.col("p_partkey") % 4 == 0).alias("is_dir"), F.when(F.col("p_partkey") % 19 == 3, F.col("p_size")).alias("head"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")).alias("next"))
+    ends = [parts.select(F.col("key").alias(c), F.col("dir").alias(f"{n}_dir"), F.col("name").alias(n)) for c, n in (("l_partkey", "src"), ("next", "dst"))]
+    edges = lines.join(ends[0], "l_partkey").join(ends[1], "next").where("src_dir = dst_dir").select(F.col("src_dir").alias("dir"), "src", "dst").distinct()
+    return parts.select("dir", "name", "is_dir", "head"), edges
+
+
+def grf3_reading_order(spark, sf):
+    return R.reading_order(*_siblings(spark, sf))
+
+
 def grf4_preorder(spark, sf):
     return O.preorder(_tree(spark, sf)[1])
 
@@ -150,12 +179,15 @@ CONCEPTS = r"""d as (select doc_id as k, sha1(coalesce(text, '')) as blob from d
  '[' || string_agg('{"source":"' || e.path || '","digest":"' || coalesce(type || ':' || blob, 'missing') || '"}', ',' order by p) || ']' || chr(10) as js from e left join i on e.path = i.path group by slug, stored),
  cs as (select slug, case when not whole then 'broken-source' when stored = sha1(blobs) then 'fresh' else 'outdated' end as status, case when whole then sha1(blobs) end as hash, broken, sha256(js) as snapshot from g)"""
 PREORDER = f"""{INV}, every as (select distinct {UP.format(p='path')} as path from inv, range(1, 4) t(i)), steps as (select path, lpad((ascii(right(path, 1)) % 5)::varchar, 12, '0') || ' ' || string_split(path, '/')[-1] as step from every),
- sp as (select path, i, {UP.format(p='path')} as above from every, range(1, 4) t(i) where i <= len(string_split(path, '/'))), pre as (select sp.path, string_agg(step, '/' order by i) as key from sp join steps on sp.above = steps.path group by sp.path)"""
+ sp as (select path, i, {UP.format(p='path')} as above from every, range(1, 4) t(i) where i <= len(string_split(path, '/'))), pre as (select sp.path, string_agg(step, chr(1) order by i) as key from sp join steps on sp.above = steps.path group by sp.path)"""
 
 ORACLE_SQL = {
     "joi3_ignored_directories": f"""with h as (select case when doc_id % 4 = 0 then 'gen' else source end || '/' || lang || '/tmp' || (doc_id % 7) || '/' || doc_id as path from documents where doc_id % 10 = 4), s as (select source as path from documents where doc_id % 10 <> 4 union select source || '/' || lang from documents where doc_id % 10 <> 4)
  select distinct {UP.format(p='path')} as path from h, range(1, 4) t(i) where {UP.format(p='path')} not in (select path from s)""",
     "joi5_edited_moves": f"""with {INV} select case when doc_id % 5 <> 0 then 'old/' else 'older/' end || path as source, path as target, 50 + doc_id % 50 as similarity from inv where doc_id % 11 = 0 and doc_id % 33 <> 0 and (doc_id % 5 <> 0 or doc_id % 2 = 0)""",
+    "joi5_contested_moves": f"""with {INV}, d as (select path as target, doc_id, 'm/' || lpad((doc_id * 13 % 101)::varchar, 3, '0') || '/' || path as s1, 'n/' || lpad((doc_id * 13 % 101)::varchar, 3, '0') || '/' || path as s2, 'a' || (doc_id * 5) % 7 as a1, 'a' || (3 + doc_id * 5) % 7 as a2 from inv where doc_id % 6 = 1),
+ r as (select target, s1 as source, a1 as anchor, 90 as similarity from d where doc_id % 4 <> 1 union all select target, s2, a2, 80 from d), p as (select anchor, min(source) as place from r group by anchor)
+ select source, target, similarity from r join p using (anchor) qualify row_number() over (partition by target order by place, anchor, source) = 1""",
     "joi6_voted_moves": f"""with m as (select 'old/' || source || '/' || lang || '/' || doc_id as src, case doc_id % 4 when 0 then 'new/' || source || '/' || lang || '/' || doc_id when 1 then 'new/' || source || '/x/' || doc_id when 2 then 'else/' || source || '/' || lang || '/' || doc_id else 'flat/' || doc_id end as dst
  from documents where doc_id % 4 <> 2 or doc_id % 3 <> 0), miss as (select distinct {UP.format(p='dst')} as path from m, range(1, 4) t(i) where i < len(string_split(dst, '/'))),
  a as (select src, dst, {UP.format(p='src')} as d from m, range(1, 4) t(i)), k as (select d, substr(dst, 1, length(dst) - length(src) + length(d)) as target_dir, src from a where ends_with(dst, substr(src, length(d) + 1))),
@@ -175,6 +207,20 @@ ORACLE_SQL = {
  k as (select direction, row_number() over (partition by direction order by abs(delta) desc, path) as rank, path, delta, count(*) over (partition by direction) as n from m where direction is not null) select * from k where rank <= 10""",
     "joi38_nearest_base": f"""with {INV}, b as (select distinct source || '/' || lang as base from inv where doc_id % 40 = 3 and source <> 'src1' union select source from inv where (doc_id % 40 = 3 or source in ('src1', 'src2')) and source <> 'src0')
  select path, coalesce((select max_by(base, length(base)) from b where path = base or starts_with(path, base || '/')), '') as base from inv""",
+    "grf3_reading_order": """with recursive p as (select p_partkey as key, p_brand as dir, p_partkey % 4 = 0 as is_dir, case when p_partkey % 19 = 3 then p_size end as head,
+  case p_partkey % 30 when 4 then 'scripts' when 10 then 'tests' else 'c' || p_partkey % 97 || (['', '.test.', 'fixtures', '', 'scripts', ''])[p_partkey % 6 + 1] end as name from part),
+ k as (select dir, name, bool_or(is_dir) as is_dir, min(head) as head from p group by all),
+ nx as (select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as next from lineitem),
+ hd as (select dir, name, row_number() over (partition by dir order by head, name) - 1 as place from k where head is not null), nh as (select dir, count(*) as n from hd group by dir),
+ x as (select dir, name, is_dir, regexp_matches(name, '[.](test|spec)[.]|^tests?$|^__tests__$|fixtures|^test-(helpers|fixtures|utils)$|^scripts?$|^bin$|^tools?$|^examples?$|^benchmarks?$|^drizzle$|^migrations?$') as aux from k where head is null),
+ e as (select distinct a.dir, a.name as src, b.name as dst from nx join p a on a.key = l_partkey join p b on b.key = next and b.dir = a.dir where a.name <> b.name),
+ u as (select e.* from e join x s on s.dir = e.dir and s.name = e.src and not s.aux join x d on d.dir = e.dir and d.name = e.dst),
+ s0 as (select x.dir, x.name, x.is_dir, x.aux, (select count(*) from u where u.dir = x.dir and u.dst = x.name) as waits, (select count(*) from u where u.dir = x.dir and u.src = x.name) as uses from x),
+ w(dir, step, name, is_dir, aux, waits, uses, best) as (
+  select dir, 0::bigint, name, is_dir, aux, waits, uses, row_number() over (partition by dir order by waits > 0, aux, -uses, not is_dir, name) from s0
+  union all select dir, step, name, is_dir, aux, waits, uses, row_number() over (partition by dir order by waits > 0, aux, -uses, not is_dir, name) from (
+   select w.dir, w.step + 1 as step, w.name, w.is_dir, w.aux, w.waits - (u.src is not null)::int as waits, w.uses from w join w p on p.dir = w.dir and p.best = 1 left join u on u.dir = w.dir and u.src = p.name and u.dst = w.name where w.best > 1))
+ select dir, name, place from hd union all select w.dir, name, step + coalesce(nh.n, 0) from w left join nh using (dir) where best = 1""",
     "grf4_preorder": f"with {PREORDER} select path, key from pre",
     "grf5_first_files": f"with {PREORDER}, a as (select pre.path, key, {UP.format(p='pre.path')} as dir from pre join inv on pre.path = inv.path, range(0, 3) t(i)) select dir, min_by(path, key) as first from a group by dir",
     "joi9_references": f"""with {INV}, f as (select doc_id, case when doc_id % 3 = 0 then lang || '/' || (doc_id * 7 % 1500) else (doc_id * 3 % 1700)::varchar end as reference from documents), b as (select * from (values (0, 'src1/'), (1, 'src0/'), (2, 'src0/en/'), (3, '')) t(i, base)),

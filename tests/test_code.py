@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
+from corpusloom.operators import programs as P
 
 
 def walked(text, family):
@@ -36,8 +37,10 @@ def walked(text, family):
             i = end
             continue
         if family.triple and text[i : i + 3] in ("'''", '"""'):
-            end = text.find(text[i : i + 3], i + 3)
-            end = len(text) if end < 0 else end + 3
+            end = i + 3
+            while end < len(text) and not text.startswith(text[i : i + 3], end):
+                end += 2 if text[end] == "\\" else 1
+            end = min(end + 3, len(text))
             put("''", code)
             put(text[i:end], None)
             i = end
@@ -106,6 +109,23 @@ def test_coherence_looks_two_lines_around(spark):
     assert found == [{"words": 3, "hits": 2}, {"words": 0, "hits": 0}]
 
 
+def test_a_backslash_hides_a_quote_in_triple_quotes(spark):
+    long = '"""' + 'a\\"b' * 30_000 + '"""'
+    cases = ['x = """a\\"""b""" # c', "x = '''a\\\nb'''y # d", 'x = """ "" \\" "" # no', long + " # e", "'" + "\\'" * 50_000 + "' # f"]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, text string").select("id", C.masked(F.col("text"), C.FAMILIES["python"]).alias("m")).orderBy("id")
+    assert [(r.m.code, r.m.comment) for r in df.collect()] == [(["x = '' "], ["# c"]), (["x = ''", "y "], ["", "# d"]), (["x = ''"], [""]), (["'' "], ["# e"]), (["'' "], ["# f"])]
+
+
+def test_functions_open_to_the_end_and_beside_one_another(spark):
+    text = "function a(x) {\n  if (x) {\n  }\n}\nfunction b() { return 1 }\nconst c = (y) => {\n  function d(z) {\n }\n"
+    files = spark.createDataFrame([(1, text), (2, "def f(x):\n    if x:\n\n        y\nz\ndef g(): pass\ndef h():\n\n"), (3, "if (x) {\n}"), (4, None)], "id int, text string")
+    of = lambda family: [tuple(r)[:4] + (r.max_nesting, r.branches) for r in P.functions(files, "id", family).orderBy("id", "line").collect()]
+    # b closes on its own line, so its region runs on to where the depth has risen and come back: the file's end here.
+    assert of("c") == [(1, "a", 1, 4, 2, 1), (1, "b", 5, 5, 2, 0)]
+    assert of("python") == [(2, "f", 1, 4, 1, 1), (2, "h", 7, 3, 0, 0)]
+    assert P.functions(files, "id", "c", most=1).count() == 1
+
+
 def test_sections(spark):
     texts = ["a\nb\n# c\nd\n", "# a", "", None, "x\n#\n#"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", C.sections(F.col("text")).alias("s"))

@@ -29,18 +29,26 @@ def test_moves_prefer_the_longest_suffix(spark):
     assert pairs(freshness.exact_moves(orphaned, missing)) == [("old/g.md", "new/f.md"), ("old/x/f.md", "new/x/f.md")]
 
 
-def test_moves_of_many_copies_against_the_greedy_rule(spark):
+def test_moves_are_claimed_in_the_order_of_the_orphans(spark):
     rng = random.Random(2)
     path = lambda top: "/".join([top, *rng.choices("xyz", k=rng.randrange(3)), rng.choice(["f.md", "g.md"])])
     orphaned = sorted({(f"{path(f'old{k}')}", rng.choice("12")) for k in range(40)} | {(f"o/{k:02}/same.md", "3") for k in range(30)} | {("twice/f.md", "1"), ("twice/f.md", "2")})
     missing = sorted({(f"{path(f'new{k}')}", rng.choice("12")) for k in range(40)} | {(f"n/{k:02}/same.md", "3") for k in range(30)} | {(f"n/00/{k:02}.md", "3") for k in range(5)})
+    orphaned = list(dict(sorted(orphaned, reverse=True)).items())
+    orphaned += [("a/x/f", "9"), ("b/y/f", "9"), ("only/here", "8")]
+    missing += [("c/y/f", "9"), ("d/z/f", "9")]
     shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a.split("/")[::-1], b.split("/")[::-1])) if x != y), min(a.count("/"), b.count("/")) + 1)
     wanted, used = [], set()
-    for _, s, t in sorted((-shared(s, t), s, t) for s, h in orphaned for t, b in missing if h == b):
-        if ("s", s) not in used and ("t", t) not in used:
-            used |= {("s", s), ("t", t)}
-            wanted.append((s, t))
-    assert pairs(freshness.exact_moves(frame(spark, "path string, hash string", *orphaned), frame(spark, "path string, blob string", *missing))) == sorted(wanted)
+    for s, h in sorted(orphaned):
+        free = [(-shared(s, t), t) for t, b in missing if b == h and t not in used]
+        if free:
+            used.add(min(free)[1])
+            wanted.append((s, min(free)[1]))
+    twice = [("twice/f.md", "2")]  # of a path with two blobs the least counts
+    found = pairs(freshness.exact_moves(frame(spark, "path string, hash string", *orphaned, *twice), frame(spark, "path string, blob string", *missing)))
+    assert found == sorted(wanted)
+    # The first orphan takes the least of its ties, even where another shares more with that path.
+    assert ("a/x/f", "c/y/f") in found and ("b/y/f", "d/z/f") in found
 
 
 def test_evidence_precedence(spark):

@@ -1,10 +1,14 @@
 """Small tables on which the rules of status, review and history differ from simpler ones."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import history as H
 from corpusloom.operators import review as R
 from corpusloom.operators import status as S
+from corpusloom.operators.readingorder import AUXILIARY, reading_order
 
 
 def rows(df):
@@ -45,6 +49,78 @@ def test_preorder_puts_parents_first(spark):
     assert [r.path for r in S.preorder(nodes).orderBy("key").collect()] == ["b", "b/z", "b/z/k", "b/y", "a"]
 
 
+def test_preorder_of_names_that_go_on(spark):
+    nodes = spark.createDataFrame([("a", 1), ("a/x", 1), ("a-b", 1), ("a b", 1), ("a/x/y", 1)], "path string, place int")
+    assert [r.path for r in S.preorder(nodes).orderBy("key").collect()] == ["a", "a/x", "a/x/y", "a b", "a-b"]
+
+
+def test_contested_targets_go_by_the_first_orphan_of_the_anchor(spark):
+    orphaned = spark.createDataFrame([("m", "z"), ("n", "b"), ("k", "c"), ("q", "c")], "path string, anchor string")
+    missing = spark.createDataFrame([("t",), ("u",), ("v",)], "path string")
+    renames = spark.createDataFrame([("z", "m", "t", 90), ("b", "n", "t", 80), ("c", "q", "u", 70), ("c", "k", "u", 60), ("b", "n", "gone", 99)], "anchor string, source string, target string, similarity int")
+    assert rows(S.edited_moves(orphaned, missing, renames)) == [("k", "u", 60), ("m", "t", 90)]
+    claimed = spark.createDataFrame([("m", "v"), ("k", "w")], "source string, target string")
+    assert rows(S.edited_moves(orphaned, missing, renames, claimed)) == [("n", "t", 80), ("q", "u", 70)]
+
+
+def test_proposals_are_judged_in_turn(spark):
+    rng = random.Random(8)
+    confirmed, proposed, want = [], [], []
+    for w in range(60):
+        ends = lambda: (f"{w}-{rng.randrange(6)}", f"{w}-{rng.randrange(6)}")  # noqa: B023, E731
+        confirmed += [tuple(sorted(ends())) for _ in range(2)]
+        proposed += [(w * 100 + k, rng.randrange(5), *ends()) for k in range(8)]
+    onward = {}
+    for a, b in confirmed:
+        onward.setdefault(a, set()).add(b)
+    for event, _, src, dst in sorted(proposed, key=lambda p: (p[1], p[0])):
+        seen, ways = set(), [dst]
+        while ways:
+            node = ways.pop()
+            if node not in seen:
+                seen.add(node)
+                ways += onward.get(node, ())
+        if src in seen:
+            want.append((event, src, dst, "cyclic"))
+        else:
+            onward.setdefault(src, set()).add(dst)
+    frames = spark.createDataFrame(confirmed, "src string, dst string"), spark.createDataFrame(proposed, "event long, place long, src string, dst string")
+    assert rows(H.cyclic_in_turn(*frames)) == sorted(want, key=repr) and len(want) > 50
+    assert {r[3] for r in rows(H.cyclic_in_turn(*frames, most_edges=0))} == {"oversized"}
+
+
+def plain_order(children, edges):
+    """Every pick looks at all that are left."""
+    aux = lambda c: bool(re.search(AUXILIARY, c[0]))
+    head = [c[0] for c in sorted((c for c in children if c[2] is not None), key=lambda c: (c[2], c[0]))]
+    rest = {c[0]: c for c in children if c[2] is None}
+    uses = {(a, b) for a, b in edges if a != b and a in rest and b in rest and not aux(rest[a])}
+    waits = {n: sum(b == n for _, b in uses) for n in rest}
+    out, left = head, set(rest)
+    while left:
+        pick = min(left, key=lambda n: (waits[n] > 0, aux(rest[n]), -sum(a == n for a, _ in uses), not rest[n][1], n))
+        left.remove(pick)
+        out.append(pick)
+        for a, b in uses:
+            if a == pick:
+                waits[b] -= 1
+    return out
+
+
+def test_reading_order_with_cycles_ties_and_auxiliary_names(spark):
+    rng = random.Random(9)
+    names = ["a", "b", "c", "d", "e", "tests", "x.test.ts", "scripts", "fixtures-1", "main", "Zed", "é"]
+    children, edges, want = [], [], []
+    for w in range(80):
+        own = [(n, rng.random() < 0.4, rng.randrange(3) if rng.random() < 0.15 else None) for n in rng.sample(names, rng.randrange(1, 12))]
+        links = {(rng.choice(names), rng.choice(names)) for _ in range(rng.randrange(0, 25))}
+        children += [(f"d{w}", *c) for c in own]
+        edges += [(f"d{w}", *e) for e in links]
+        want += [(f"d{w}", n, k) for k, n in enumerate(plain_order(own, links))]
+    found = reading_order(spark.createDataFrame(children, "dir string, name string, is_dir boolean, head int"), spark.createDataFrame(edges, "dir string, src string, dst string"))
+    assert rows(found) == sorted(want, key=repr)
+
+
 def test_without_glob(spark):
     df = spark.createDataFrame([("a/",), ("a/*",), ("a-*",), ("a-**",), ("a/*/b",)], "p string").select(S.without_glob(F.col("p")).alias("p"))
     assert [r.p for r in df.collect()] == ["a", "a", "a-", "a", None]
