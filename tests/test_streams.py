@@ -22,11 +22,11 @@ def test_a_snooze_ends_without_another_row_of_its_subject(spark, tmp_path):
         df = spark.createDataFrame(full, "slug string, at long, seq long, kind string, snapshot string, fresh boolean, revision long, until long, note string")
         df.selectExpr("slug", "timestamp_millis(at) as ts", "at", "seq", "kind", "snapshot", "fresh", "revision", "until", "note").to(spark.createDataFrame([], ROW).schema).write.parquet(f"{tmp_path}/in/{part}")
 
-    put(0, ("a", 0, 1, "seen", "x", None, None, None), ("a", 10, 2, "snooze", "x", 1, 2 * DAY, None), ("b", 20, 3, "decided", None, None, None, "n"))
+    put(0, ("a", DAY, 1, "seen", "x", None, None, None), ("a", DAY + 10, 2, "snooze", "x", 1, 2 * DAY, None), ("b", DAY + 20, 3, "decided", None, None, None, "n"))
     run()
     run()  # nothing new: nothing is told twice
     table = lambda: sorted((r.slug, r.at, r.seq, r.revision, r.workflow, r.event, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    first = [("a", 0, 1, 1, "done", None, None), ("a", 10, 2, 2, "snoozed", "snoozed", None), ("b", 20, 3, None, None, "refused", "unknown-subject")]
+    first = [("a", DAY, 1, 1, "done", None, None), ("a", DAY + 10, 2, 2, "snoozed", "snoozed", None), ("b", DAY + 20, 3, None, None, "refused", "unknown-subject")]
     assert table() == first
     put(1, ("c", 3 * DAY, 4, "seen", "y", None, None, None))
     run()
