@@ -136,20 +136,19 @@ def own_names(code: Column) -> Column:
 
 
 def coherence(code: Column, comment: Column) -> Column:
-    """(words, hits): distinct words of each line's comment, and those that are part of a name within two lines of it."""
-    names = F.transform(code, lambda line: F.array_distinct(F.flatten(F.transform(own_names(line), lambda i: identifier_words(i, STOPWORDS)))))
-    words = F.transform(comment, lambda line: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(line), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS))))
-    none = lambda n: F.array(*[F.array().cast("array<string>")] * n)
-    # Lists of the lines before and after stand beside each line's own, so a line looks at five lists, not at all.
-    earlier = [F.concat(none(n), names) for n in (1, 2)]
-    later = [F.slice(names, F.lit(n + 1), F.size(names)) for n in (1, 2)]
-    zipped = F.arrays_zip(words, names, *earlier, *later)
-
-    def hits(line: Column) -> Column:
-        near = F.flatten(F.array(*[F.coalesce(line[str(k)], F.array().cast("array<string>")) for k in range(1, 6)]))
-        return F.size(F.array_intersect(line["0"], near))
-
-    per_line = F.transform(F.filter(zipped, lambda line: F.size(line["0"]) > 0), lambda line: F.struct(F.size(line["0"]).alias("words"), hits(line).alias("hits")))
+    """(words, hits): distinct words of each line's comment, and those that are part of a name within two lines of it.
+
+    Only the code around lines whose comment has such words is looked at.
+    """
+    words = lambda text: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS)))
+    said = F.filter(F.transform(comment, lambda text, i: F.struct(words(text).alias("words"), i.alias("at"))), lambda s: F.size(s["words"]) > 0)
+
+    def hits(s: Column) -> Column:
+        first = F.greatest(F.lit(1), s["at"] - 1)
+        near = F.array_join(F.slice(code, first, s["at"] + 4 - first), "\n")
+        return F.size(F.array_intersect(s["words"], F.flatten(F.transform(own_names(near), lambda i: identifier_words(i, STOPWORDS)))))
+
+    per_line = F.transform(said, lambda s: F.struct(F.size(s["words"]).alias("words"), hits(s).alias("hits")))
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("hits"))
     return F.aggregate(per_line, start, lambda a, e: F.struct((a["words"] + e["words"]).alias("words"), (a["hits"] + e["hits"]).alias("hits")))
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import scope_digest
 from corpusloom.functions.paths import ancestors, basename, parent
+from corpusloom.operators.scopes import list_digests
 
 
 def note_status(inventory: DataFrame, notes: DataFrame) -> DataFrame:
@@ -102,21 +102,22 @@ def with_moves(status: DataFrame, moves: DataFrame) -> DataFrame:
     return status.join(targets, "path", "left").withColumn("status", F.when((F.col("status") == "missing") & F.col("is_target"), "moved").otherwise(F.col("status"))).drop("is_target")
 
 
-def directory_hashes(inventory: DataFrame, levels: int) -> DataFrame:
+def directory_hashes(inventory: DataFrame) -> DataFrame:
     """(dir, hash): SHA-1 of the lines ``F name hash`` and ``D name`` of a directory's immediate children, by name.
 
-    A directory's children are gathered in one row, so directories, not the tree, bound memory.
+    A directory's children are hashed as they pass, in order, so one of any size takes no memory.
     """
-    child = lambda line: F.struct(basename(F.col("path")).alias("name"), line.alias("line")).alias("child")
-    files = inventory.select(parent(F.col("path")).alias("dir"), child(F.concat_ws(" ", F.lit("F"), basename(F.col("path")), "blob")))
+    child = lambda *line: [basename(F.col("path")).alias("name"), F.concat_ws(" ", *line).alias("line")]
+    files = inventory.select(parent(F.col("path")).alias("dir"), *child(F.lit("F"), basename(F.col("path")), F.col("blob")))
     dirs = inventory.select(F.explode(ancestors(F.col("path"))).alias("path")).where("path <> ''").distinct()
-    below = dirs.select(parent(F.col("path")).alias("dir"), child(F.concat_ws(" ", F.lit("D"), basename(F.col("path")))))
-    return files.union(below).groupBy("dir").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("child"))["line"], "\n")).alias("hash"))
+    below = dirs.select(parent(F.col("path")).alias("dir"), *child(F.lit("D"), basename(F.col("path"))))
+    return list_digests(files.union(below), "dir", F.col("name"), "", "", "line", "\n", "sha1", "").select("dir", F.col("digest").alias("hash"))
 
 
 def scope_hashes(inventory: DataFrame, scope: str) -> DataFrame:
-    """(scope, files, hash): SHA-1 of the sorted lines ``blob  path`` of each scope, ended by a line feed."""
-    return inventory.groupBy(scope).agg(F.count("*").alias("files"), scope_digest(F.collect_list(F.concat("blob", F.lit("  "), "path"))).alias("hash"))
+    """(scope, files, hash): SHA-1 of the sorted lines ``blob  path`` of each scope, ended by a line feed; a scope's lines are hashed as they pass."""
+    lines = inventory.select(scope, F.concat("blob", F.lit("  "), "path").alias("line"))
+    return list_digests(lines, scope, F.col("line"), "", "\n", "line", "\n", "sha1", "").select(scope, F.col("n").alias("files"), F.col("digest").alias("hash"))
 
 
 def tree_rollup(status: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
 from corpusloom.functions import text as T
+from corpusloom.operators.tables import spread
 
 STYLES = ("camel", "snake", "pascal", "upper")
 
@@ -23,7 +24,7 @@ def read_state(path: Column, text: Column, most_bytes: int = 512 << 10, looked_a
 def with_lines(files: DataFrame, key: str, family: str, text: str = "text") -> DataFrame:
     """(key, raw, code, comment): a file's lines, their code without strings, and their comments."""
     text_of = F.coalesce(F.col(text), F.lit(""))
-    parts = files.select(key, F.split(text_of, "\n", -1).alias("raw"), C.masked(text_of, C.FAMILIES[family]).alias("m"))
+    parts = spread(files).select(key, F.split(text_of, "\n", -1).alias("raw"), C.masked(text_of, C.FAMILIES[family]).alias("m"))
     return parts.select(key, "raw", F.col("m.code").alias("code"), F.col("m.comment").alias("comment"))
 
 

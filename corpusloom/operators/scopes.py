@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.canonical import canonical_json, canonical_row, digest, sorted_texts, utf16_order
 
 
-def list_digests(rows: DataFrame, group: str, order: Column, before: str, after: str) -> DataFrame:
-    """(group, n, digest): SHA-256 of ``before``, the group's ``json`` texts in order, joined by commas, and ``after``.
+def list_digests(rows: DataFrame, group: str, order: Column, before: str, after: str, text: str = "json", between: str = ",", algorithm: str = "sha256", prefix: str = "sha256:") -> DataFrame:
+    """(group, n, digest): digest of ``before``, the group's texts in order, joined by ``between``, and ``after``; ``prefix`` and hex digits.
 
     A group's rows pass through one task sorted, a batch at a time; memory doesn't grow with the group.
     """
@@ -22,23 +22,23 @@ def list_digests(rows: DataFrame, group: str, order: Column, before: str, after:
 
         def done() -> pa.RecordBatch:
             sha.update(after.encode())
-            return pa.RecordBatch.from_pydict({"group": pa.array([own], pa.string()), "n": pa.array([n], pa.int64()), "digest": pa.array(["sha256:" + sha.hexdigest()], pa.string())})
+            return pa.RecordBatch.from_pydict({"group": pa.array([own], pa.string()), "n": pa.array([n], pa.int64()), "digest": pa.array([prefix + sha.hexdigest()], pa.string())})
 
         for batch in batches:
-            for key, text in zip(batch.column("group").to_pylist(), batch.column("json"), strict=True):
+            for key, text in zip(batch.column("group").to_pylist(), batch.column("text"), strict=True):
                 if sha is None or key != own:
                     if sha is not None:
                         yield done()
-                    own, n, sha = key, 0, hashlib.sha256(before.encode())
+                    own, n, sha = key, 0, hashlib.new(algorithm, before.encode())
                 if n:
-                    sha.update(b",")
+                    sha.update(between.encode())
                 sha.update(text.as_buffer())
                 n += 1
         if sha is not None:
             yield done()
 
-    keyed = rows.select(F.col(group).cast("string").alias("group"), order.alias("_order"), "json")
-    streamed = keyed.repartition("group").sortWithinPartitions("group", "_order", "json").select("group", "json").mapInArrow(hashed, "group string, n long, digest string")
+    keyed = rows.select(F.col(group).cast("string").alias("group"), order.alias("_order"), F.col(text).alias("text"))
+    streamed = keyed.repartition("group").sortWithinPartitions("group", "_order", "text").select("group", "text").mapInArrow(hashed, "group string, n long, digest string")
     return streamed.withColumnRenamed("group", group)
 
 

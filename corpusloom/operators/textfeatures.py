@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.code import run_lengths
 from corpusloom.functions.stats import ratio, z_scores
-from corpusloom.operators.tables import written
+from corpusloom.operators.tables import spread, written
 
 
 def line_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -28,13 +29,12 @@ def line_lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def token_features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Tokens, distinct tokens, entropy in bits, and volume a line: tokens * log2(max(2, distinct)) over non-blank lines.
 
-    Counts by (document, token) first, so that a document's tokens are never one array twice.
+    A document's tokens are sorted and their runs counted where the document is.
     """
-    # Beside a generator, an expression would be computed for each row that it makes: so this goes first.
-    of = docs.select(key, F.size(T.filled(T.lines(F.col("text")))).alias("code_lines"), T.tokens(F.col("text")).alias("t")).select(key, "code_lines", F.explode_outer("t").alias("token"))
-    counted = of.groupBy(key, "code_lines", "token").agg(F.count("token").alias("n"))
-    sums = counted.groupBy(key, "code_lines").agg(F.sum("n").alias("tokens"), F.count("token").alias("distinct_tokens"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n"))).alias("s"))
-    entropy = F.when(F.col("tokens") > 0, F.log2("tokens") - F.col("s") / F.col("tokens")).otherwise(0.0)
+    of = spread(docs.select(key, "text")).select(key, F.size(T.filled(T.lines(F.col("text")))).alias("code_lines"), F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    counted = of.select(key, "code_lines", F.size("t").cast("long").alias("tokens"), run_lengths(F.col("t")).alias("r"))
+    sums = counted.select(key, "code_lines", "tokens", F.col("r.distinct").cast("long").alias("distinct_tokens"), "r.bits")
+    entropy = F.when(F.col("tokens") > 0, F.log2("tokens") - F.col("bits") / F.col("tokens")).otherwise(0.0)
     volume = F.col("tokens") * F.log2(F.greatest(F.lit(2), F.col("distinct_tokens")))
     return sums.select(key, "tokens", "distinct_tokens", entropy.alias("entropy"), ratio(volume, F.col("code_lines")).alias("halstead_per_line"))
 
@@ -79,6 +79,7 @@ def top_outliers(found: DataFrame, n: int = 10, key: str = "doc_id", low: list[s
 def composite(features: DataFrame, key: str, plus: list[str], minus: list[str]) -> DataFrame:
     """(key, composite): sum of z-scores, those of ``minus`` negated; an sd of 0 counts as 1, null values as the mean."""
     metrics = [*plus, *minus]
+    features = written(features, "measures")
     norms = features.agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics], *[F.stddev_pop(m).alias(f"{m}_sd") for m in metrics])
     z = lambda m: F.coalesce((F.col(m) - F.col(f"{m}_mean")) / F.when(F.col(f"{m}_sd") > 0, F.col(f"{m}_sd")).otherwise(1.0), F.lit(0.0))
     total = sum((z(m) for m in plus), F.lit(0.0)) - sum((z(m) for m in minus), F.lit(0.0))
@@ -93,7 +94,7 @@ def duplicate_ratio(docs: DataFrame, key: str = "doc_id", size: int = 4, least:
     before documents meet, so a shingle that everything shares is a count, not a group.
     """
     normal = F.filter(F.transform(T.lines(F.col("text")), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= least_chars)
-    of = docs.select(key, normal.alias("l"))
+    of = spread(docs.select(key, "text")).select(key, normal.alias("l"))
     each = F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(1), F.size("l") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("l", i, F.lit(size)), "\n"))))
     # The inner form, or a filter on the size, would have Spark compute the lines again below, for each shingle.
     shingled = of.select(key, each.alias("h")).select(key, F.explode_outer("h").alias("h")).where("h is not null")

@@ -86,7 +86,7 @@ def all_directory_moves(spark, sf):
 def directory_hashes(spark, sf):
     """Files of one in ten lie beside directories, so that names of both sorts are in one order."""
     below = F.when(F.col("doc_id") % 10 == 3, F.lit(None).cast("string")).otherwise((F.col("doc_id") % 10).cast("string"))
-    return O.directory_hashes(inventory(spark, sf).withColumn("path", F.concat_ws("/", "source", "lang", below, F.col("doc_id").cast("string"))), levels=4)
+    return O.directory_hashes(inventory(spark, sf).withColumn("path", F.concat_ws("/", "source", "lang", below, F.col("doc_id").cast("string"))))
 
 
 def scope_hashes(spark, sf):

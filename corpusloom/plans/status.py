@@ -159,12 +159,12 @@ def joi9_references(spark, sf):
 
 
 def prj4_without_glob(spark, sf):
-    tail = F.get(F.array(*[F.lit(t) for t in ("", "/", "/*", "-*", "/*/x", "*")]), (_k() % 6).cast("int"))
+    tail = F.get(F.array(*[F.lit(t) for t in ("", "/", "/*", "-*", "/*/x", "*", "*/", "-*-*", "*a/*", "//*")]), (_k() % 10).cast("int"))
     return inventory(spark, sf).select("doc_id", O.without_glob(F.concat("path", tail)).alias("path"))
 
 
 def prj5_search_bases(spark, sf):
-    return inventory(spark, sf).select("doc_id", F.array_join(O.search_bases(F.col("path")), ",").alias("bases"))
+    return inventory(spark, sf).select("doc_id", F.array_join(O.search_bases(F.when(_k() % 4 == 0, "").when(_k() % 4 == 1, F.col("source")).otherwise(F.col("path"))), ",").alias("bases"))
 
 
 QUERIES = {name: plan for name, plan in list(globals().items()) if name.split("_")[0][-1:].isdigit()}
@@ -226,6 +226,8 @@ ORACLE_SQL = {
     "joi9_references": f"""with {INV}, f as (select doc_id, case when doc_id % 3 = 0 then lang || '/' || (doc_id * 7 % 1500) else (doc_id * 3 % 1700)::varchar end as reference from documents), b as (select * from (values (0, 'src1/'), (1, 'src0/'), (2, 'src0/en/'), (3, '')) t(i, base)),
  h as (select f.doc_id, min_by(inv.path, i) as path from f, b join inv on inv.path = b.base || f.reference group by f.doc_id), u as (select doc_id::varchar as name, min(path) as path from inv group by 1 having count(*) = 1)
  select f.doc_id, f.reference, h.path, case when h.path is null then u.path end as suggestion from f left join h using (doc_id) left join u on u.name = string_split(f.reference, '/')[-1]""",
-    "prj4_without_glob": f"with {INV} select doc_id, case doc_id % 6 when 3 then path || '-' when 4 then null else path end as path from inv",
-    "prj5_search_bases": f"with {INV} select doc_id, path || ',' || path || '/src,' || source || '/' || lang || ',' || source || '/' || lang || '/src,' || source || ',' || source || '/src,,src' as bases from inv",
+    "prj4_without_glob": f"""with {INV}, r as (select doc_id, path || (['', '/', '/*', '-*', '/*/x', '*', '*/', '-*-*', '*a/*', '//*'])[doc_id % 10 + 1] as p from inv), s as (select doc_id, case when ends_with(p, '/') then left(p, length(p) - 1) else p end as p from r),
+ t as (select doc_id, case when ends_with(p, '/*') then left(p, length(p) - 2) when ends_with(p, '*') then left(p, length(p) - 1) else p end as p from s), u as (select doc_id, case when ends_with(p, '-*') then left(p, length(p) - 2) else p end as p from t) select doc_id, case when not contains(p, '*') then p end as path from u""",
+    "prj5_search_bases": f"""with {INV}, a as (select doc_id, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then source else path end as base from inv), u as (select doc_id, case when base = '' then [] else list_reverse(list_transform(range(1, len(string_split(base, '/')) + 1), lambda i: array_to_string(string_split(base, '/')[1:i], '/'))) end as ups from a)
+ select doc_id, array_to_string(list_concat(flatten(list_transform(ups, lambda p: [p, p || '/src'])), ['', 'src']), ',') as bases from u""",
 }
