@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.paths import ignored, location
 from corpusloom.operators import coverage as O
 from corpusloom.operators.links import url_path
+from corpusloom.operators.tables import written
 from corpusloom.sources import table
 
 RULES = [
@@ -44,20 +45,21 @@ def _required(spark, sf):
     return orders.join(customers, "o_custkey").select("domain", F.col("o_orderpriority").alias("unit"), F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderkey") % 5).cast("string").alias("blob"), (F.col("o_orderstatus") == "P").alias("deleted"))
 
 
-def _receipts(spark, sf):
+def _receipts(spark, sf, required=None):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("path"), ((F.col("l_orderkey") + F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_linenumber") % 2)) % 5).cast("string").alias("blob"),
         (F.col("l_returnflag") != "R").alias("reviewed"), (F.col("l_linestatus") == "O").alias("full_read"))
-    return _required(spark, sf).select("domain", "unit", "path").join(lines, "path")
+    return (_required(spark, sf) if required is None else required).select("domain", "unit", "path").join(lines, "path")
 
 
-def _units(spark, sf):
-    required = _required(spark, sf).select("domain", "unit").distinct()
+def _units(spark, sf, required=None):
+    required = (_required(spark, sf) if required is None else required).select("domain", "unit").distinct()
     return required.where(~F.col("unit").startswith("5")).withColumn("accepted", ~(F.col("domain") == "BUILDING")).unionByName(required.where("domain = 'MACHINERY'").where(F.col("unit").startswith("1")).withColumn("accepted", F.lit(True)))
 
 
 def _evidence(spark, sf):
-    return O.evidence_status(_required(spark, sf), _units(spark, sf), _receipts(spark, sf))
+    required = written(_required(spark, sf), "required")  # read for the units, the receipts and itself
+    return O.evidence_status(required, _units(spark, sf, required), _receipts(spark, sf, required))
 
 
 def evidence(spark, sf):
