@@ -34,8 +34,8 @@ def similar_pairs(rows: DataFrame, group: str, key: str, text: str, above: float
     return near.select("group", "a", "b", dice.alias("dice")).where(F.col("dice") > above)
 
 
-def consensus(flagged: DataFrame, above: float = 0.6, least: int = 2) -> DataFrame:
-    """(group, key, readers, flags): representatives of sentences (group, reader, key, sentence) that ``least`` readers flag or more.
+def consensus(flagged: DataFrame, above: float = 0.6, least: int = 2, group_least: DataFrame | None = None) -> DataFrame:
+    """(group, key, readers, flags): representatives of sentences (group, reader, key, sentence) that ``least`` readers flag or more, or as many as ``group_least`` (group, least) says.
 
     A sentence's readers are those who flag one that is similar to it, its own among them. In the order of
     keys, a sentence with enough readers represents those similar to it, unless one that already does is similar to it. ``flags`` counts the flags similar to
@@ -45,6 +45,8 @@ def consensus(flagged: DataFrame, above: float = 0.6, least: int = 2) -> DataFra
     both = pairs.select("group", F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.where("a <> b").select("group", F.col("b"), F.col("a")))
     readers = flagged.select("group", F.col("key").alias("other"), "reader").distinct()
     judged = both.join(readers, ["group", "other"]).groupBy("group", "key").agg(F.count_distinct("reader").alias("readers"), F.count_distinct("other").alias("flags")).where(F.col("readers") >= least)
+    if group_least is not None:
+        judged = judged.join(group_least, "group").where(F.col("readers") >= F.col("least")).drop("least")
     strong = both.join(judged.select("group", "key"), ["group", "key"], "left_semi").join(judged.select("group", F.col("key").alias("other")), ["group", "other"], "left_semi")
     lists = strong.where("other < key").groupBy("group", "key").agg(F.collect_set("other").alias("earlier"))
     rows = judged.join(lists, ["group", "key"], "left").select(F.col("group").cast("string").alias("group"), F.col("key").cast("string").alias("key"), F.transform(F.coalesce("earlier", F.array().cast(lists.schema["earlier"].dataType)), lambda k: k.cast("string")).alias("earlier"), "readers", "flags", F.col("key").alias("_order"))
