@@ -105,13 +105,17 @@ def waves(items: DataFrame, requires: DataFrame) -> DataFrame:
     needs = written(needs.join(left.withColumnRenamed("node", "src"), "src", "left_semi"), "graph")
     settled = left.withColumn("wave", F.lit(0)).limit(0)
     for wave in count():
-        if left.isEmpty():
-            return settled
-        free = written(left.join(needs.withColumnRenamed("src", "node"), "node", "left_anti").withColumn("wave", F.lit(wave)), "graph")
+        blocked = needs.select(F.col("src").alias("node")).distinct().withColumn("blocked", F.lit(True))
+        # Two tables a wave: what is free and what waits in one, and the requirements that are left.
+        marked = written(left.join(blocked, "node", "left").select("node", F.coalesce("blocked", F.lit(False)).alias("blocked")), "graph")
+        free, left = marked.where("not blocked").select("node"), marked.where("blocked").select("node")
         if free.isEmpty():
+            if left.isEmpty():
+                return settled
             raise ValueError("a requirement depends on itself")
-        settled = written(settled.unionByName(free), "graph")
-        left = written(left.join(free, "node", "left_anti"), "graph")
+        settled = settled.unionByName(free.withColumn("wave", F.lit(wave)))
+        if wave % 16 == 15:
+            settled = written(settled, "graph")  # a union of very many tables would be slow to plan
         needs = written(needs.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"), "graph")
 
 
