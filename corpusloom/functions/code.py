@@ -118,7 +118,7 @@ def deepest_brace(code: Column) -> Column:
 
 def deepest_indent(code: Column) -> Column:
     """How deep lines are indented below one another; a tab counts as four, blank lines don't count."""
-    filled = F.filter(code, lambda line: F.trim(line) != "")
+    filled = F.filter(code, is_filled)
     width = lambda line: F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
     start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("most"))
 

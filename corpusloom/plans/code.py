@@ -270,6 +270,8 @@ ORACLE_SQL = {
     "win8_brace_depth": rf"""with {PROGRAMS}, {_masked_sql('c')}, b as (select id, regexp_extract_all(array_to_string(code, chr(10)), '[{{}}\n]') as bs from m), e as (select id, unnest(range(1, len(bs) + 1)) as i, bs from b),
  s as (select id, i, bs[i] as c, sum(case bs[i] when '{{' then 1 when '}}' then -1 else 0 end) over (partition by id order by i) as s from e), d as (select id, c, s - least(0, min(s) over (partition by id order by i)) as d from s),
  x as (select id, max(d) as d from d where c = chr(10) group by id) select m.id as doc_id, coalesce(x.d, 0) as depth from m left join x using (id)""",
+    "txt4_indent_depth": f"""with {PROGRAMS}, {_masked_sql('hash')}, u as (select id, unnest(code) as line, unnest(range(1, len(code) + 1)) as i from m), o as (select id, i, {_filled('line')} as has_code, length(replace(regexp_extract(line, '^([ \\t]*)', 1), chr(9), '    ')) as width from u), {STACK_SQL}
+ select t.id as doc_id, coalesce(mx.depth, 0) as depth from t left join mx using (id)""",
     "agg13_comment_coherence": rf"""with {PROGRAMS}, {_masked_sql('c')}, r as (select id, unnest(range(1, len(code) + 1)) as i, code, comment from m), l as (select id, i, code[i] as code, comment[i] as comment from r),
  n as (select id, i, unnest(list_filter(regexp_extract_all(code, '[A-Za-z_$][A-Za-z0-9_$]*'), lambda x: lower(x) not in ({KEYWORDS}))) as name from l),
  w as (select distinct id, i, unnest(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z]+')) as w from n),

@@ -207,6 +207,8 @@ ORACLE_SQL = {
     "win10_tercile_sample": """with t as (select source, doc_id, n_chars, ntile(3) over (partition by source order by n_chars, doc_id) as stratum from documents),
  p as (select *, row_number() over (partition by source, stratum order by n_chars, doc_id) - 1 as place, count(*) over (partition by source, stratum) as n from t)
  select source, doc_id, stratum, place from p where place in (floor(0.5 * n / 3), floor(1.5 * n / 3), floor(2.5 * n / 3))""",
+    "joi34_glossary_mentions": f"""with {TERMS}, {WORDS}, at_term as (select distinct doc_id, pos, hit.term from hit join tm on tm.term = hit.term), run as (select *, pos - row_number() over (partition by doc_id order by pos) as run from at_term), nth as (select *, row_number() over (partition by doc_id, run order by pos) as nth from run)
+ select doc_id, term, count(*) as n from nth where nth % 2 = 1 group by doc_id, term""",
     "joi35_dead_terms": f"with {TERMS}, {WORDS} select term from (select term from tm union select term || ' zzz' from tm) t where term not in (select term from hit)",
     "agg27_bold_candidates": f"""with {TERMS}, {LINES}, b as (select distinct doc_id, lower(regexp_extract(translate(l, '*`', ''), '^([A-Z][a-z]+)', 1)) as term from ln), c as (select term, count(*) as documents, min(doc_id) as first_doc from b where length(term) >= 2 group by term having count(*) >= 20)
  select * from c where term not in (select term from tm)""",

@@ -73,7 +73,7 @@ def test_masked_against_walk(spark, name):
 def indent(lines):
     stack, most = [], 0
     for line in lines:
-        if not line.strip(" "):
+        if not line.strip():
             continue
         w = len(line[: len(line) - len(line.lstrip(" \t"))].replace("\t", "    "))
         while stack and stack[-1] >= w:
