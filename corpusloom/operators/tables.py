@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting to delete a query's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share.
 
@@ -24,11 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again, which cuts its lineage. A query's shuffle files are deleted when it ends."""
+    """Write ``df`` as Parquet in the shared folder and read it again, which cuts its lineage.
+
+    The write's shuffle files are deleted when it ends; the session's own setting for that is left as it was.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
