@@ -1,10 +1,11 @@
 import hashlib
 import io
+import math
 import wave
 
 import numpy as np
 
-from corpusloom.llm.audio import CLIP, MELS, RATE, audio_column, energy_segments, low_pass, read_tensors, resample
+from corpusloom.llm.audio import CLIP, FRAME, HOP, MELS, RATE, audio_column, energy_segments, log_mel, low_pass, read_tensors, resample
 
 SCHEMA = "doc_id long, text string"
 
@@ -52,3 +53,71 @@ def test_resample_equals_the_plain_filter():
 def test_hysteresis():
     energy = np.array([0, 0, 10, 5, 5, 10, 0, 5, 5, 0, 10, 0], dtype=np.float32)
     assert energy_segments(energy) == [(2, 6), (10, 11)]
+
+
+def plain_mel(y):
+    """Frame by frame: a naive Fourier sum, triangles on the mel scale, logs."""
+    n = max(1, -(-(len(y) - FRAME) // HOP) + 1) if len(y) > FRAME else 1
+    y = np.concatenate((y.astype(np.float64), np.zeros(n * HOP + FRAME)))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / (FRAME - 1))
+    mel = lambda hz: 2595 * math.log10(1 + hz / 700)
+    hertz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [hertz(mel(RATE / 2) * k / (MELS + 1)) for k in range(MELS + 2)]
+    frames, energy = [], []
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(FRAME // 2 + 1), np.arange(FRAME)) / FRAME)
+    for k in range(n):
+        part = y[k * HOP : k * HOP + FRAME] * window
+        power = np.abs(turns @ part) ** 2
+        row = []
+        for m in range(MELS):
+            low, mid, high = edges[m : m + 3]
+            total = 0.0
+            for b, p in enumerate(power):
+                hz = b * RATE / FRAME
+                if low < hz < high:
+                    total += p * ((hz - low) / (mid - low) if hz <= mid else (high - hz) / (high - mid))
+            row.append(math.log(total + 1e-6))
+        frames.append(row)
+        energy.append(math.log(sum(part * part) + 1e-6))
+    return np.array(frames), np.array(energy)
+
+
+def plain_segments(energy):
+    mean, deviation = energy.mean(), energy.std()
+    on, out = False, []
+    for k, e in enumerate(energy):
+        was, on = on, e > mean + 0.5 * deviation or (on and not e < mean - 0.5 * deviation)
+        if on and not was:
+            out.append([k, k + 1])
+        elif on:
+            out[-1][1] = k + 1
+    return [tuple(s) for s in out]
+
+
+def test_log_mel_equals_the_plain_sums():
+    rng = np.random.default_rng(3)
+    for n in (1, 100, FRAME, FRAME + 1, 1000, 2 * FRAME + HOP):
+        y = rng.standard_normal(n).astype(np.float32)
+        mel, energy = log_mel(y)
+        want, loud = plain_mel(y)
+        assert mel.shape == want.shape and np.allclose(mel, want, atol=2e-3) and np.allclose(energy, loud, atol=2e-3)
+
+
+def test_tensors_segments_and_feature_from_the_stored_bytes(spark):
+    """Everything that is derived, again from the bytes that were stored."""
+    rng = np.random.default_rng(4)
+    texts = ["", "a", "quiet " * 200 + "".join(chr(33 + int(c)) for c in rng.integers(0, 90, 3000)) + " " * 3000, "".join(chr(int(c)) for c in rng.integers(32, 500, 4000))]
+    for r in audio_column(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect():
+        x = (np.frombuffer(bytes(r.payload), np.uint8).astype(np.float32) - 128) / 128
+        want, _ = plain_mel(resample(x))
+        assert r.n_frames == len(want) and r.n_clips == -(-len(want) // CLIP)
+        tensors = read_tensors(bytes(r.tensors))
+        clips = np.concatenate([np.asarray(c, np.float32).reshape(CLIP, MELS) for c in tensors["clip"].combine_chunks().storage.to_pylist()])
+        assert np.allclose(clips[: len(want)], want, atol=5e-3) and (clips[len(want) :] == np.float32(math.log(1e-6))).all()
+        assert tensors["start_s"].to_pylist() == [k * CLIP * HOP / RATE for k in range(r.n_clips)]
+        _, energy = log_mel(resample(x))
+        spans = plain_segments(energy.astype(np.float64))
+        assert [(s.start_s, s.end_s) for s in r.segments] == [(a * HOP / RATE, ((b - 1) * HOP + FRAME) / RATE) for a, b in spans]
+        parts = dict(p.split("=") for p in r.feature.split(";"))
+        assert (int(parts["frames"]), int(parts["segments"]), int(parts["on"])) == (len(want), len(spans), sum(b - a for a, b in spans))
+        assert np.allclose([float(v) for v in parts["mel"].split(",")], [want[:, k * 4 : k * 4 + 4].mean() for k in range(8)], atol=0.02)
