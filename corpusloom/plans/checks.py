@@ -9,6 +9,7 @@ from corpusloom.operators import decisionchecks as D
 from corpusloom.operators import detectors as X
 from corpusloom.operators import programs as P
 from corpusloom.operators import revalidation as V
+from corpusloom.operators import translations as R
 from corpusloom.sources import ledger_texts as T
 from corpusloom.sources import table
 
@@ -155,7 +156,7 @@ def raw_pages(spark, sf):
     return found.withColumn("sources", F.array_join("sources", ","))
 
 
-def translation_units(spark, sf):
+def _translation_units(spark, sf):
     """Orders are units by key and status, their lines findings."""
     o, l = table(spark, sf, "orders").where("o_orderkey % 2 = 0"), table(spark, sf, "lineitem").where("l_orderkey % 2 = 0")  # noqa: E741
     k = F.col("o_orderkey")
@@ -167,10 +168,25 @@ def translation_units(spark, sf):
     return T.translation_units(registered, ledgers)
 
 
+def translation_units(spark, sf):
+    return _translation_units(spark, sf).drop("digests")
+
+
+def judged_translations(spark, sf):
+    """Translations of the sound units: some missing, stale, twice, without a finding, with one too many or an unknown one, and some of no unit."""
+    units = _translation_units(spark, sf).where("problem is null")
+    n = F.col("slug").cast("int") / 2 % 9
+    texts = F.transform("digests", lambda d: F.struct(d.alias("source_digest"), F.lit("t").alias("title")))
+    other = F.array(F.struct(F.lit("x").alias("source_digest"), F.lit("t").alias("title")))
+    findings = F.when(n == 3, F.slice(texts, F.lit(2), F.size(texts))).when(n == 4, F.concat(F.slice(texts, F.lit(2), F.size(texts)), other)).when(n == 5, F.concat(texts, other)).otherwise(texts)
+    made = units.where(n > 0).select("domain", F.when(n == 6, F.concat(F.lit("no"), "slug")).otherwise(F.col("slug")).alias("slug"), F.when(n == 1, "old").otherwise(F.col("source_digest")).alias("source_digest"), F.when(n == 7, "").otherwise("T").alias("title"), findings.alias("findings"))
+    return R.judged_units(units, made.unionByName(made.where("try_cast(slug as int) % 9 = 4")))
+
+
 QUERIES = {
     "joi22_claim_errors": claim_errors, "fld4_report_state": report_state, "joi30_context_kinds": context_kinds, "fld6_event_errors": event_errors, "fld11_alias_errors": alias_errors,
     "txt12_type_escapes": type_escapes, "txt12_boolean_traps": boolean_traps, "agg39_marker_ages": old_markers, "txt12_layer_violations": layer_violations, "txt12_package_cycles": package_cycles,
-    "src5_raw_notes": raw_notes, "src7_raw_glossary": raw_glossary, "src6_raw_pages": raw_pages, "fld24_translation_units": translation_units,
+    "src5_raw_notes": raw_notes, "src7_raw_glossary": raw_glossary, "src6_raw_pages": raw_pages, "fld24_translation_units": translation_units, "joi20_judged_translations": judged_translations,
 }
 
 
@@ -219,7 +235,14 @@ def _reach(name, edges):
     return f"{name}(a, b) as (select src, dst from {edges} union select {name}.a, x.dst from {name} join {edges} x on x.src = {name}.b)"
 
 
+TRANSLATED = """o as (select o_orderkey as k, o_orderstatus as domain from orders where o_orderkey % 2 = 0), f as (select l_orderkey as k, '{"fix":[1,' || l_linenumber % 2 || '],"title":"t' || l_partkey % 5 || '"}' as body from lineitem where l_orderkey % 2 = 0),
+ g as (select k, list_sort(list(sha256(body || chr(10)))) as ds, count(*) as n from f group by k), u as (select k, domain, 'U' || k as title from o where k % 5 > 0), l as (select o.k, domain, case when k % 11 = 0 then 'V' else 'U' end || k as title, coalesce(n, 0) as n, coalesce(ds, []) as ds from o left join g using (k) where k % 7 > 0),
+ j as (select coalesce(u.k, l.k) as k, coalesce(u.domain, l.domain) as domain, coalesce(l.title, u.title) as title, coalesce(n, 0) as n, coalesce(case when l.k % 37 > 0 then ds end, []) as ds, case when u.k % 31 = 0 then 'duplicate-unit' when u.title <> l.title then 'title-differs' when l.k % 37 = 0 and n > 0 then 'no-canonical-form' when len(list_distinct(ds)) < len(ds) then 'duplicate-findings' end as problem from u full join l using (k))"""
+
 ORACLE_SQL = {
+    "joi20_judged_translations": f"""with {TRANSLATED}, s as (select domain, k, n, k // 2 % 9 as c from j where problem is null), m as (select domain, k::varchar as slug, case when c = 0 or c = 6 then 'missing-unit' when k % 9 = 4 then 'duplicate-unit' when c = 5 then 'too-many-findings' when c = 4 and n = 0 then 'too-many-findings'
+  when c = 7 then 'invalid-text' when c = 1 then 'stale-unit' when c = 4 then 'unknown-finding' when c = 3 and n > 0 then 'missing-finding' else 'verified' end as code from s)
+ select * from m union all select domain, 'no' || k, 'unknown-unit' from s where c = 6""",
     "joi22_claim_errors": f"with {CLAIMS} select * from er",
     "fld4_report_state": f"with {CLAIMS} select case when count(*) > 0 then 'invalid' else 'current' end as state, case when count(*) > 0 then 'evidence' end as code, count(*) as errors from er",
     "joi30_context_kinds": f"with {DECISIONS} select event, kind, count(*) as n from kd group by all",
@@ -246,8 +269,6 @@ ORACLE_SQL = {
  union all select doc_id, 2, 'second' || doc_id, '', '', null from documents union all select doc_id, 3, 'last', '', '', null from documents""",
     "src6_raw_pages": """select 'p' || doc_id as slug, case when doc_id % 5 > 0 and doc_id % 3 > 0 then 'T' || doc_id else 'p' || doc_id end as title, case when doc_id % 5 > 0 and doc_id % 2 = 0 then 'general' else 'dev' end as audience, case when doc_id % 5 > 0 then 'a,b' else '' end as sources,
  case when doc_id % 5 = 0 then null when doc_id % 4 = 0 then doc_id % 10 when doc_id % 4 = 1 then null when doc_id % 4 = 2 then 1.5 else 0 end::double as place, case when doc_id % 5 > 0 then 'C' end as chapter, null as sources_hash, case when doc_id % 5 > 0 then 'body' else '' end as body from documents""",
-    "fld24_translation_units": """with o as (select o_orderkey as k, o_orderstatus as domain from orders where o_orderkey % 2 = 0), f as (select l_orderkey as k, '{"fix":[1,' || l_linenumber % 2 || '],"title":"t' || l_partkey % 5 || '"}' as body from lineitem where l_orderkey % 2 = 0),
- g as (select k, list_sort(list(sha256(body || chr(10)))) as ds, count(*) as n from f group by k), u as (select k, domain, 'U' || k as title from o where k % 5 > 0), l as (select o.k, domain, case when k % 11 = 0 then 'V' else 'U' end || k as title, coalesce(n, 0) as n, coalesce(ds, []) as ds from o left join g using (k) where k % 7 > 0),
- j as (select coalesce(u.k, l.k) as k, coalesce(u.domain, l.domain) as domain, coalesce(l.title, u.title) as title, coalesce(n, 0) as n, coalesce(case when l.k % 37 > 0 then ds end, []) as ds, case when u.k % 31 = 0 then 'duplicate-unit' when u.title <> l.title then 'title-differs' when l.k % 37 = 0 and n > 0 then 'no-canonical-form' when len(list_distinct(ds)) < len(ds) then 'duplicate-findings' end as problem from u full join l using (k))
- select domain, k::varchar as slug, title, n as findings, case when problem is null then sha256('{"domain":"' || domain || '","findingDigests":[' || array_to_string(list_transform(ds, lambda x: '"' || x || '"'), ',') || '],"slug":"' || k || '","title":"' || title || '"}' || chr(10)) end as source_digest, problem from j""",
+    "fld24_translation_units": f"""with {TRANSLATED}
+ select domain, k::varchar as slug, title, n as findings, case when problem is null then sha256('{{"domain":"' || domain || '","findingDigests":[' || array_to_string(list_transform(ds, lambda x: '"' || x || '"'), ',') || '],"slug":"' || k || '","title":"' || title || '"}}' || chr(10)) end as source_digest, problem from j""",
 }

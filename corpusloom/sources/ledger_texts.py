@@ -80,10 +80,10 @@ def glossary(texts: DataFrame, key: str) -> DataFrame:
 
 
 def translation_units(registered: DataFrame, ledgers: DataFrame) -> DataFrame:
-    """(domain, slug, title, findings, source_digest, problem): the units that translations are made from.
+    """(domain, slug, title, findings, source_digest, problem, digests): the units that translations are made from.
 
     Registered units are (domain, slug, title), ledgers (domain, slug, title, findings: array of JSON texts); a ledger stands for its unit. The digest is that of domain,
-    slug, title and the sorted digests of the findings. Problems, then without a digest: ``duplicate-unit``, ``duplicate-ledger``, ``title-differs``, ``duplicate-findings``,
+    slug, title and the sorted ``digests`` of the findings. Problems, then without a digest: ``duplicate-unit``, ``duplicate-ledger``, ``title-differs``, ``duplicate-findings``,
     ``no-canonical-form``.
     """
     r = registered.groupBy("domain", "slug").agg(F.count("*").alias("n_r"), F.max("title").alias("r_title"))
@@ -99,4 +99,4 @@ def translation_units(registered: DataFrame, ledgers: DataFrame) -> DataFrame:
     digests = F.coalesce("digests", F.array().cast("array<string>"))
     rows = joined.select("domain", "slug", F.coalesce("l_title", "r_title").alias("title"), F.coalesce("n", F.lit(0)).alias("findings"), sorted_texts(digests).alias("digests"), problem.alias("problem"))
     own = canonical_row(domain=F.col("domain"), slug=F.col("slug"), title=F.col("title"), findingDigests=F.col("digests"))["json"]
-    return rows.select("domain", "slug", "title", "findings", F.when(F.col("problem").isNull(), F.sha2(F.concat(own, F.lit("\n")), 256)).alias("source_digest"), "problem")
+    return rows.select("domain", "slug", "title", "findings", F.when(F.col("problem").isNull(), F.sha2(F.concat(own, F.lit("\n")), 256)).alias("source_digest"), "problem", "digests")
