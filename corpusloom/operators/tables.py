@@ -44,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many tasks as can run at once, if it has fewer: a file of one row group is one task, however much its texts have to be worked on."""
+    """``df`` over as many tasks as can run at once, if it has fewer: a file of one row group is one task, however much its texts have to be worked on.
+
+    Only of plain reads the number of tasks is known before they run; what was shuffled before is left as it is.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
