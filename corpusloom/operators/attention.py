@@ -54,3 +54,18 @@ def revisions(snapshots: DataFrame, key: str, order: list[str], snapshot: str) -
 def bucket(workflow, snoozed_until, now):
     """open, snoozed, reviewed or baseline."""
     return F.when(workflow == "open", "open").when((workflow == "snoozed") & (snoozed_until > now), "snoozed").when(workflow == "snoozed", "open").when(workflow == "done", "reviewed").otherwise("baseline")
+
+
+def ordered_items(items: DataFrame) -> DataFrame:
+    """``items`` (slug, workflow, place) with their rank: open, snoozed, done, and in each as they came. Pages of concepts are few, so one task ranks them."""
+    by = F.when(F.col("workflow") == "open", 0).when(F.col("workflow") == "snoozed", 1).otherwise(2)
+    return items.withColumn("rank", F.row_number().over(Window.orderBy(by, "place")))
+
+
+def health(documents: DataFrame, concepts: DataFrame, broken: DataFrame, orphans: DataFrame) -> DataFrame:
+    """One row of counters: documents (path, status) but the root, concept pages (status), broken references and orphans."""
+    of = lambda s, name: F.count_if(F.col("status") == s).alias(name)
+    d = documents.where("path <> ''").agg(of("outdated", "documents_outdated"), of("missing", "documents_missing"), of("ignored", "documents_ignored"), F.count("*").alias("documents"))
+    c = concepts.agg(of("fresh", "concepts_fresh"), of("outdated", "concepts_outdated"), of("broken-source", "concepts_broken"), F.count("*").alias("concepts"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return d.crossJoin(c).crossJoin(one(broken, "broken_references")).crossJoin(one(orphans, "orphans"))  # single rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import bold_terms
@@ -34,8 +34,23 @@ def dead_terms(terms: DataFrame, found: DataFrame) -> DataFrame:
     return terms.select("term").distinct().join(found.select("term").distinct(), "term", "left_anti")
 
 
-def candidates(docs: DataFrame, known: DataFrame, least: int, key: str = "doc_id", first: int = 5) -> DataFrame:
-    """Bold terms of ``least`` documents or more that are not known names, with their first documents; case is ignored."""
-    spans = docs.select(key, F.explode(bold_terms(F.col("text"))).alias("t")).select(key, F.lower("t").alias("term")).distinct()
+def _bold(docs: DataFrame, key: str) -> DataFrame:
+    return docs.select(key, F.explode(bold_terms(F.col("text"))).alias("t")).select(key, F.lower("t").alias("term")).distinct()
+
+
+def candidates(docs: DataFrame, known: DataFrame, least: int, key: str = "doc_id") -> DataFrame:
+    """Bold terms of ``least`` documents or more that are not known names, with their first document; case is ignored."""
+    spans = _bold(docs, key)
     df = spans.groupBy("term").agg(F.count("*").alias("documents"), F.min(key).alias("first_doc")).where(F.col("documents") >= least)
     return df.join(known.select(F.lower("alias").alias("term")).distinct(), "term", "left_anti")
+
+
+def ranked_candidates(docs: DataFrame, known: DataFrame, least: int, key: str = "doc_id", first: int = 5, top: int = 40) -> DataFrame:
+    """(rank, term, documents, firsts) of the ``top`` candidates: most documents first, then term, each with its ``first`` documents in order."""
+    spans = _bold(docs, key)
+    best = candidates(docs, known, least, key).orderBy(F.desc("documents"), "term").limit(top)
+    # A limit by rank is applied in each task before the shuffle, so a term of all documents sends few.
+    early = spans.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_n") <= first)
+    firsts = early.groupBy("term").agg(F.sort_array(F.collect_list(key)).alias("firsts"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("documents"), "term")))
+    return ranked.join(firsts, "term").select("rank", "term", "documents", "firsts")

@@ -115,6 +115,11 @@ def bold_candidates(spark, sf):
     return G.candidates(d, _terms(spark, sf), least=20)
 
 
+def ranked_candidates(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.regexp_replace(F.translate("text", "*`", ""), r"(?m)^([A-Z][a-z]+)", "**$1**").alias("text"))
+    return G.ranked_candidates(d, _terms(spark, sf), least=3).withColumn("firsts", F.array_join("firsts", ","))
+
+
 def rank_agreement(spark, sf):
     both = docs(spark, sf).select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     return rounded(spearman(both, "n_chars", "quality"), "rho")
@@ -149,7 +154,7 @@ QUERIES = {
     "agg7_line_lengths": line_lengths, "agg9_token_features": token_features, "agg11_identifier_stats": identifier_stats, "agg14_line_ratios": line_ratios,
     "win5_outliers": outlier_rows, "srt2_top_outliers": top_outliers, "mth2_composite": composite, "agg12_duplicate_ratio": duplicate_ratio,
     "srt3_longest_lines": longest_lines, "agg15_group_rollup": group_rollup, "win10_tercile_sample": tercile_sample,
-    "joi34_glossary_mentions": glossary_mentions, "joi35_dead_terms": dead_terms, "agg27_bold_candidates": bold_candidates,
+    "joi34_glossary_mentions": glossary_mentions, "joi35_dead_terms": dead_terms, "agg27_bold_candidates": bold_candidates, "srt13_ranked_candidates": ranked_candidates,
     "win4_spearman": rank_agreement, "agg33_agreement": label_agreement, "agg34_binary_accuracy": label_accuracy, "agg35_normal_sums": least_squares_sums,
     "win10_quota_sample": quota_sample, "agg35_fitted_weights": fitted_weights, "agg35_held_out_rho": held_out_rho,
     "agg32_panel_gate": panel_gate, "mth3_bigram_dice": bigram_dice,
@@ -210,6 +215,8 @@ ORACLE_SQL = {
     "joi34_glossary_mentions": f"""with {TERMS}, {WORDS}, at_term as (select distinct doc_id, pos, hit.term from hit join tm on tm.term = hit.term), run as (select *, pos - row_number() over (partition by doc_id order by pos) as run from at_term), nth as (select *, row_number() over (partition by doc_id, run order by pos) as nth from run)
  select doc_id, term, count(*) as n from nth where nth % 2 = 1 group by doc_id, term""",
     "joi35_dead_terms": f"with {TERMS}, {WORDS} select term from (select term from tm union select term || ' zzz' from tm) t where term not in (select term from hit)",
+    "srt13_ranked_candidates": f"""with {TERMS}, {LINES}, b as (select distinct doc_id, lower(regexp_extract(translate(l, '*`', ''), '^([A-Z][a-z]+)', 1)) as term from ln), c as (select term, count(*) as documents, array_to_string(list_sort(list(doc_id))[1:5], ',') as firsts from b where length(term) >= 2 and term not in (select term from tm) group by term having count(*) >= 3),
+ r as (select row_number() over (order by documents desc, term) as rank, * from c) select rank, term, documents, firsts from r where rank <= 40""",
     "agg27_bold_candidates": f"""with {TERMS}, {LINES}, b as (select distinct doc_id, lower(regexp_extract(translate(l, '*`', ''), '^([A-Z][a-z]+)', 1)) as term from ln), c as (select term, count(*) as documents, min(doc_id) as first_doc from b where length(term) >= 2 group by term having count(*) >= 20)
  select * from c where term not in (select term from tm)""",
     "win4_spearman": """with j as (select n_chars, quality from documents join labels using (doc_id) where n_chars is not null and quality is not null), r as (select rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 as a, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2 as b from j)

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import ancestors
+from corpusloom.operators import attention as A
+from corpusloom.operators import freshness as Fr
 from corpusloom.operators import links as L
 from corpusloom.operators import readingorder as R
 from corpusloom.operators import status as O
-from corpusloom.plans.freshness import INV, inventory
+from corpusloom.plans.freshness import INV, NOTES, STATUS, inventory, notes
 from corpusloom.sources import table
 
 
@@ -87,6 +89,19 @@ def agg2_concept_counts(spark, sf):
     return O.concept_counts(_concepts(spark, sf))
 
 
+def agg28_health(spark, sf):
+    """Documents by their notes, concept pages, every eighth document as a broken reference, and orphans."""
+    inv = inventory(spark, sf)
+    n = notes(inv)
+    status = Fr.note_status(inv, n).select("path", "status")
+    return A.health(status, _concepts(spark, sf), inv.where("doc_id % 8 = 3"), Fr.orphans(inv, n))
+
+
+def srt5_ordered_items(spark, sf):
+    items = inventory(spark, sf).select(F.col("path").alias("slug"), F.when(_k() % 3 == 0, "done").when(_k() % 3 == 1, "snoozed").otherwise("open").alias("workflow"), _k().alias("place"))
+    return A.ordered_items(items.where("place % 10 = 4")).select("slug", "workflow", "rank")
+
+
 def set1_all_files(spark, sf):
     inv = inventory(spark, sf)
     return O.united(inv.where("doc_id % 3 <> 0"), inv.where("doc_id % 5 <> 1"))
@@ -199,6 +214,10 @@ ORACLE_SQL = {
  select o.dir, o.name, (select min(k.name) from kids k where k.dir = o.dir and lower(k.name) = lower(o.name)) as suggestion from o where not exists (select 1 from kids k where k.dir = o.dir and k.name = o.name)""",
     "joi12_concepts": f"with {CONCEPTS} select slug, status, hash, broken, snapshot from cs",
     "agg2_concept_counts": f"with {CONCEPTS} select count(*) as total, count(*) filter (status = 'fresh') as fresh, count(*) filter (status = 'outdated') as outdated, count(*) filter (status = 'broken-source') as broken from cs",
+    "agg28_health": f"""with {CONCEPTS}, {INV}, {NOTES}, {STATUS} select (select count(*) from st where status = 'outdated') as documents_outdated, (select count(*) from st where status = 'missing') as documents_missing, 0 as documents_ignored, (select count(*) from st) as documents,
+ (select count(*) from cs where status = 'fresh') as concepts_fresh, (select count(*) from cs where status = 'outdated') as concepts_outdated, (select count(*) from cs where status = 'broken-source') as concepts_broken, (select count(*) from cs) as concepts,
+ (select count(*) from documents where doc_id % 8 = 3) as broken_references, (select count(*) from notes n anti join inv i on n.path = i.path) as orphans""",
+    "srt5_ordered_items": f"with {INV} select path as slug, case doc_id % 3 when 0 then 'done' when 1 then 'snoozed' else 'open' end as workflow, row_number() over (order by case doc_id % 3 when 2 then 0 when 1 then 1 else 2 end, doc_id) as rank from inv where doc_id % 10 = 4",
     "set1_all_files": f"with {INV} select path from inv where doc_id % 3 <> 0 or doc_id % 5 <> 1",
     "set9_changed_paths": f"with {INV} select path from inv where doc_id % 4 = 0 or doc_id % 6 = 0 or doc_id % 10 = 1",
     "set10_new_dirty": f"with {INV} select path from inv where doc_id % 2 = 0 and doc_id % 3 <> 0 and source <> 'src1'",
