@@ -64,6 +64,17 @@ def ingested(spark, sf):
     return found.groupBy("kind", "detector", "category", "path", "kept").agg(F.count("*").alias("n"), F.coalesce(F.sum("line"), F.lit(0)).alias("lines"))
 
 
+def legacy_scans(spark, sf):
+    """Twenty documents are the scans of one ledger; some scans are unsound, so their ledgers are not taken."""
+    k = F.col("doc_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    path = F.when(k % 97 == 5, "../x").when(k % 79 < 2, text("same/", F.floor(k / 20))).otherwise(F.col("path"))
+    scan = text('{"path":"', path, '","git_blob_sha1":"', F.when(k % 89 == 7, "abc").otherwise(F.col("blob")), '","finding_count":', F.when(k % 83 == 3, "1.5").otherwise((k % 4).cast("string")), F.when(k % 3 == 0, ',"scanned_at":"2024-01-0').otherwise(',"x":"'), k % 9 + 1, '"}')
+    made = inventory(spark, sf).select(F.floor(k / 20).alias("slug"), k.alias("k"), scan.alias("scan")).groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", "scan")))["scan"], ",").alias("scans"))
+    ledgers = made.select("slug", F.when(F.col("slug") % 13 == 12, "{}").otherwise(text('{"scans":[', F.col("scans"), "]}")).alias("text"))
+    return R.legacy_scans(ledgers)[0]
+
+
 def rated(spark, sf):
     """Orders as raters, whose cells are made of their lines."""
     l = table(spark, sf, "lineitem")  # noqa: E741
@@ -103,7 +114,7 @@ def whole_gate(spark, sf):
 
 
 QUERIES = {
-    "src4_tracked_files": tracked_files, "src4_tracked_problems": tracked_problems, "src22_diff_lines": diff_lines, "str22_dirty_paths": dirty_paths, "src19_ingested": ingested, "src21_rated_snippets": rated,
+    "src4_tracked_files": tracked_files, "src4_tracked_problems": tracked_problems, "src22_diff_lines": diff_lines, "str22_dirty_paths": dirty_paths, "src19_ingested": ingested, "src21_rated_snippets": rated, "src18_legacy_scans": legacy_scans,
     "agg16_counters": counters, "agg22_severities": severities, "agg25_totals": totals, "fld15_gate": whole_gate,
 }
 
@@ -116,6 +127,11 @@ TRACKED = f"""{INV}, r as (select doc_id as k, path as own, blob, case when doc_
 LINES = """l as (select l_orderkey as k, l_linenumber as n from lineitem where l_orderkey % 4 = 0)"""
 
 ORACLE_SQL = {
+    "src18_legacy_scans": f"""with {INV}, d as (select doc_id // 20 as slug, doc_id as k, blob, case when doc_id % 97 = 5 then '../x' when doc_id % 79 < 2 then 'same/' || doc_id // 20 else path end as path from inv where doc_id // 20 % 13 <> 12),
+ n as (select *, row_number() over (partition by slug order by k) as at_, row_number() over (partition by slug, path order by k) as nth from d), w as (select *, case when k % 97 = 5 then 'path' when k % 89 = 7 then 'blob' when k % 83 = 3 then 'count' when nth > 1 then 'duplicate' end as wrong from n),
+ g as (select slug, arg_min(at_ || ':' || wrong, at_) filter (wrong is not null) as problem, count(*) as files, sum(k % 4) as findings, sha1(string_agg(blob || '  ' || path, chr(10) order by blob || '  ' || path) || chr(10)) as h, max(case when k % 3 = 0 then '2024-01-0' || (k % 9 + 1) end) as scanned from w group by slug)
+ select slug, case when problem is null then files end as files, case when problem is null then findings end as findings, case when problem is null then h end as scope_hash, case when problem is null then scanned end as scanned_at, problem from g
+ union all select distinct doc_id // 20, null, null, null, null, 'no-scans' from documents where doc_id // 20 % 13 = 12""",
     "src4_tracked_files": f"with {TRACKED} select * from fs",
     "src4_tracked_problems": f"""with {TRACKED}, p as (select null as path, 'malformed-record' as code from r where bad union all select null, 'invalid-path' from r where not bad and k % 31 = 7 union all select path, 'duplicate-path' from ok where nth > 1
   union all select path, 'path-collision' from (select path, arg_min(path, k) over (partition by folded) as owner from f1) where owner <> path union all select path, problem from f1 where problem is not null union all select path, 'mode-drift' from fs where current_mode <> index_mode union all select path, 'deleted' from fs where deleted)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.prose import is_repository_path
+from corpusloom.operators.freshness import scope_hashes
 
 REGULAR_MODES = ("100644", "100755")
 #: The forms of the lines.
@@ -135,3 +136,33 @@ def rated_snippets(rows: DataFrame, key: str, ratings: Column, skip: int = 0, lo
         fits = fits & (value <= high)
     good = cells.where(fits).select(key, (F.col("at") - skip + 1).alias("snippet"), value.alias("value"))
     return good.groupBy(key, "snippet").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)
+
+
+def legacy_scans(ledgers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ledgers of single scans (slug, text as JSON), each taken whole or not at all: (slug, files, findings, scope_hash, scanned_at, problem), and the rows (slug, path, blob, severity, count) of the sound ones.
+
+    A scan has a normal path, a blob of 40 hex digits and a whole number of findings from 0 on, and its path is named once. ``problem`` is the first scan's (from 1) that isn't so: ``path``, ``blob``, ``count`` or
+    ``duplicate``, as ``3:blob``; ``no-scans`` without any. Sums that pass 2^53 - 1 are ``overflow``.
+    """
+    text = lambda v, key: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+    scans = ledgers.select("slug", F.try_variant_get(F.try_parse_json("text"), "$.scans", "array<variant>").alias("scans"))
+    each = scans.select("slug", F.posexplode("scans").alias("at", "s"))
+    number = F.try_variant_get("s", "$.finding_count", "double")
+    is_number = ~F.coalesce(F.schema_of_variant(F.try_variant_get("s", "$.finding_count", "variant")).isin("STRING", "BOOLEAN"), F.lit(False))
+    count = F.when(is_number & (number >= 0) & (number == F.floor(number)) & (number <= 2**53 - 1), number.cast("long"))
+    s = F.col("s")
+    read = each.select("slug", "at", text(s, "path").alias("path"), F.lower(text(s, "git_blob_sha1")).alias("blob"), count.alias("count"), F.coalesce(text(s, "max_severity"), F.lit("info")).alias("severity"), text(s, "scanned_at").alias("scanned_at"))
+    nth = F.row_number().over(Window.partitionBy("slug", "path").orderBy("at"))
+    wrong = F.when(~is_repository_path(F.col("path")), "path").when(~F.coalesce(F.regexp_like("blob", F.lit("^[0-9a-f]{40}$")), F.lit(False)), "blob").when(F.col("count").isNull(), "count").when(nth > 1, "duplicate")
+    judged = read.withColumn("wrong", wrong)
+    sums = judged.groupBy("slug").agg(
+        F.count("*").alias("files"), F.sum(F.col("count").cast("decimal(38,0)")).alias("findings"), F.max("scanned_at").alias("scanned_at"),
+        F.min(F.when(F.col("wrong").isNotNull(), F.struct("at", "wrong"))).alias("first"))
+    problem = F.when(F.col("files").isNull(), "no-scans").when(F.col("first").isNotNull(), F.concat((F.col("first.at") + 1).cast("string"), F.lit(":"), F.col("first.wrong"))).when(F.col("findings") > 2**53 - 1, "overflow")
+    of = ledgers.select("slug").join(sums, "slug", "left").withColumn("problem", problem)
+    sound = of.where("problem is null").select("slug")
+    rows = judged.join(sound, "slug", "left_semi").select("slug", "path", "blob", "severity", "count")
+    hashes = scope_hashes(rows, "slug").select("slug", F.col("hash").alias("scope_hash"))
+    fine = F.col("problem").isNull()
+    whole = of.join(hashes, "slug", "left").select("slug", F.when(fine, F.col("files")).alias("files"), F.when(fine, F.col("findings").cast("long")).alias("findings"), "scope_hash", F.when(fine, F.col("scanned_at")).alias("scanned_at"), "problem")
+    return whole, rows
