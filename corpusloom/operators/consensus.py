@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import written
+
 KEPT = pa.schema([("group", pa.string()), ("key", pa.string()), ("readers", pa.int64()), ("flags", pa.int64())])
 
 
@@ -19,19 +21,19 @@ def similar_pairs(rows: DataFrame, group: str, key: str, text: str, above: float
     joined, and what has about the right length is then counted exactly. A text without bigrams is like none, not even itself.
     """
     each = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(text).alias("text")).where("length(text) > 1").dropDuplicates(["group", "key"])
-    grams = each.select("group", "key", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.col("text").substr(i, F.lit(2)))).alias("gram"))
-    counted = grams.groupBy("group", "key", "gram").agg(F.count("*").alias("n"))
-    elements = counted.select("group", "key", F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.concat("gram", i.cast("string")))).alias("e"))
+    grams = each.select("group", "key", F.sort_array(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.col("text").substr(i, F.lit(2)))).alias("grams"))
+    elements = grams.select("group", "key", F.explode(F.transform("grams", lambda g, i: F.concat(g, (i + 2 - F.array_position("grams", g)).cast("string")))).alias("e"))
     spread = elements.groupBy("e").agg(F.count("*").alias("rows"))
-    sets = elements.join(spread, "e").groupBy("group", "key").agg(F.array_sort(F.collect_list(F.struct("rows", "e"))).alias("s"))
-    sets = sets.select("group", "key", F.col("s.e").alias("s"), F.size("s").alias("n"))
+    sets = written(elements.join(spread, "e").groupBy("group", "key").agg(F.sort_array(F.collect_list(F.struct("rows", "e")))["e"].alias("s")), "bigrams")
     # Rounding must not shorten a prefix: a little less than the share is taken.
-    share = above / (2 - above) - 1e-9
-    prefix = sets.select("group", "key", "s", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * share).cast("int") + 1)).alias("e"))
-    left, right = (prefix.select("group", "e", F.col("key").alias(c), F.col("s").alias(f"s_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
-    near = left.join(right, ["group", "e"]).where((F.col("a") <= F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share)).dropDuplicates(["group", "a", "b"])
-    dice = 2 * F.size(F.array_intersect("s_a", "s_b")) / (F.col("n_a") + F.col("n_b"))
-    return near.select("group", "a", "b", dice.alias("dice")).where(F.col("dice") > above)
+    share, n = above / (2 - above) - 1e-9, F.size("s")
+    prefix = sets.select("group", "key", n.alias("n"), F.explode(F.slice("s", F.lit(1), n - F.ceil(n * share).cast("int") + 1)).alias("e"))
+    left, right = (prefix.select("group", "e", F.col("key").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    # A pair meets at each element that both prefixes hold, so it is made one by its keys alone; the sets follow once.
+    near = left.join(right, ["group", "e"]).where((F.col("a") <= F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share)).select("group", "a", "b").distinct()
+    of = lambda c: sets.select("group", F.col("key").alias(c), F.col("s").alias(f"s_{c}"))
+    dice = 2 * F.size(F.array_intersect("s_a", "s_b")) / (F.size("s_a") + F.size("s_b"))
+    return near.join(of("a"), ["group", "a"]).join(of("b"), ["group", "b"]).select("group", "a", "b", dice.alias("dice")).where(F.col("dice") > above)
 
 
 def consensus(flagged: DataFrame, above: float = 0.6, least: int = 2, group_least: DataFrame | None = None) -> DataFrame:
@@ -41,7 +43,8 @@ def consensus(flagged: DataFrame, above: float = 0.6, least: int = 2, group_leas
     keys, a sentence with enough readers represents those similar to it, unless one that already does is similar to it. ``flags`` counts the flags similar to
     it. Keys are in the order in which readers and their sentences are taken; a group's sentences are chosen in one task, from pairs found before.
     """
-    pairs = similar_pairs(flagged, "group", "key", "sentence", above)
+    # Several steps read the pairs, so they are found once.
+    pairs = written(similar_pairs(flagged, "group", "key", "sentence", above), "similar-pairs")
     both = pairs.select("group", F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.where("a <> b").select("group", F.col("b"), F.col("a")))
     readers = flagged.select("group", F.col("key").alias("other"), "reader").distinct()
     judged = both.join(readers, ["group", "other"]).groupBy("group", "key").agg(F.count_distinct("reader").alias("readers"), F.count_distinct("other").alias("flags")).where(F.col("readers") >= least)

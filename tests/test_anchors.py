@@ -65,3 +65,12 @@ def test_pairs_and_representatives(spark):
                     kept.append(s)
                     chosen.append((str(g), str(key), len({r for r, _ in near}), len(near)))
         assert rows(S.consensus(df, above, 3)) == sorted(chosen, key=repr) and chosen
+
+
+def test_pairs_are_one_by_keys_alone(spark):
+    """Candidates meet at each bigram that they share, so the sets of both must not pass through the step that makes a pair one."""
+    df = spark.createDataFrame([(1, k, f"one sentence of many words {k}") for k in range(6)], "group long, key long, sentence string")
+    pairs = S.similar_pairs(df, "group", "key", "sentence", 0.55)
+    steps = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [group" in line]
+    assert steps and not any("s_a" in line or "s_b" in line for line in steps)
+    assert pairs.count() == 21
