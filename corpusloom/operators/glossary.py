@@ -17,11 +17,12 @@ def mentions(docs: DataFrame, terms: DataFrame, key: str = "doc_id", longest: in
     equality; a mention inside a longer one, or beginning in it, is left out. Nothing is matched
     text by term.
     """
-    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0)), lambda w: w)
-    of = docs.select(key, words.alias("w"))
-    runs = of.select(key, F.posexplode("w").alias("at", "first"), "w")
-    each = runs.select(key, "at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", F.col("at") + 1, k), " ").alias("alias")))).alias("r"), F.size("w").alias("size"))
-    found = each.where(F.col("at") + F.col("r.k") <= F.col("size")).select(key, "at", "r.k", "r.alias").join(terms.select("term", "alias"), "alias")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0))
+    # Each word takes the next ones with it, so no row holds the whole text.
+    ahead = F.arrays_zip(F.col("w").alias("w0"), *[F.slice("w", k + 1, F.greatest(F.size("w") - k, F.lit(0))).alias(f"w{k}") for k in range(1, longest)])
+    each = docs.select(key, words.alias("w")).select(key, F.posexplode(ahead).alias("at", "r"))
+    runs = [F.struct(F.lit(k + 1).alias("k"), F.concat_ws(" ", *[f"r.w{i}" for i in range(k + 1)]).alias("alias"), F.col(f"r.w{k}").isNotNull().alias("whole")) for k in range(longest)]
+    found = each.select(key, "at", F.explode(F.array(*runs)).alias("r")).where("r.whole").select(key, "at", "r.k", "r.alias").join(terms.select("term", "alias"), "alias")
     hits = found.groupBy(key, "at").agg(F.max_by("term", F.struct("k", "term")).alias("term"), F.max("k").alias("k"))
     listed = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "k", "term"))).alias("h"))
     # The hits of one document, left to right; one that begins before the last kept one ends is skipped.

@@ -184,3 +184,13 @@ def test_inventory_hashes_bytes_of_any_size(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.path: (r.blob, r.size) for r in text_inventory(spark, str(tmp_path)).collect()}
     assert got == {n: (hashlib.sha1(b"blob %d\0" % len(d) + d).hexdigest(), len(d)) for n, d in files.items() if n != "binary"}
+
+
+def test_mentions_hold_no_whole_text_a_word(spark):
+    """A text of 60,000 words: its words are rows, and no row holds them all again."""
+    docs = spark.createDataFrame([(1, "a bb ccc " * 20_000)], "doc_id long, text string")
+    terms = spark.createDataFrame([("t", "bb ccc"), ("u", "ccc"), ("v", "ccc a bb ccc")], "term string, alias string")
+    found = glossary.mentions(docs, terms)
+    made = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert made and all("), [1], false" in line or "), [0], false" in line for line in made), made
+    assert pairs(found) == [(1, "t", 20_000)]
