@@ -1,6 +1,7 @@
 """Records of tools on small cases."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,14 @@ def test_dirty_paths(spark):
     assert spark.createDataFrame([(raw,), ("",)], "t string").select(R.dirty_paths(F.col("t")).alias("p")).collect()[0].p == ["a", "new", "README old", "x y", "c", "R from", "gone"]
 
 
+def test_long_listing(spark):
+    """A listing takes time in proportion to its fields: 300,000 of them in seconds."""
+    raw = "".join(f"R  new{i}\0old{i}\0" for i in range(150_000))
+    begin = time.monotonic()
+    paths = spark.createDataFrame([(raw,)], "t string").select(R.dirty_paths(F.col("t")).alias("p")).select(F.size("p").alias("n"), F.col("p")[299_999].alias("last")).collect()[0]
+    assert (paths.n, paths.last) == (300_000, "old149999") and time.monotonic() - begin < 30
+
+
 def test_tracked_files(spark):
     blob = "a" * 40
     records = [f"100644 {blob} 0\tA.txt", f"100644 {blob} 0\ta.txt", f"100755 {blob} 0\tb", f"100644 {blob} 2\tm", f"100644 {blob} 3\tm", f"120000 {blob} 0\tl", f"100644 {blob[1:]} 0\ts", "junk", f"100644 {blob} 0\t../x", f"100644 {blob} 0\té", f"100644 {blob} 0\té", f"100644 {blob} 0\tgone"]
