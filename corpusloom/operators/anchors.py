@@ -25,11 +25,17 @@ def find_line(lines: Column, marker: Column) -> Column:
     Lines that import are only looked at for definitions.
     """
     quoted = F.concat(F.lit(r"\Q"), F.replace(marker, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    first = lambda fits: F.nullif(F.array_position(F.transform(lines, fits), F.lit(True)), F.lit(0))
     own = lambda line: ~F.regexp_like(line, F.lit(IMPORTS))
-    defined = first(lambda line: F.regexp_like(line, F.concat(F.lit(EDGE + DEFINES), quoted, F.lit(EDGE))))
-    word = first(lambda line: own(line) & F.regexp_like(line, F.concat(F.lit(EDGE), quoted, F.lit(EDGE))))
-    return F.coalesce(defined, word, first(lambda line: own(line) & F.contains(line, marker)))
+
+    def of(having: Column) -> Column:
+        first = lambda fits: F.get(F.filter(having, lambda h: fits(h["line"])), 0)["at"]
+        defined = first(lambda line: F.regexp_like(line, F.concat(F.lit(EDGE + DEFINES), quoted, F.lit(EDGE))))
+        word = first(lambda line: own(line) & F.regexp_like(line, F.concat(F.lit(EDGE), quoted, F.lit(EDGE))))
+        return F.coalesce(defined, word, first(own))
+
+    # A pattern made of a column is compiled for each line, so only lines that have the marker at all are held against it; they are found once.
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).cast("long").alias("at"), line.alias("line")))
+    return F.transform(F.array(F.filter(numbered, lambda n: F.contains(n["line"], marker))), of)[0]
 
 
 def anchor_parts(target: Column) -> Column:

@@ -1,6 +1,7 @@
 """Anchors and consensus against plain loops."""
 
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -74,3 +75,12 @@ def test_pairs_are_one_by_keys_alone(spark):
     steps = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [group" in line]
     assert steps and not any("s_a" in line or "s_b" in line for line in steps)
     assert pairs.count() == 21
+
+
+def test_markers_in_many_lines(spark):
+    """Only lines that have a marker are held against its patterns: a million others take seconds."""
+    text = "\n".join(f"line {i} of words" for i in range(1_000_000)) + "\nconst found = 1\n"
+    df = spark.createDataFrame([(text,)], "text string").select(F.split("text", "\n", -1).alias("lines"))
+    begin = time.monotonic()
+    found = df.select(*[A.find_line(F.col("lines"), F.lit(m)).alias(m) for m in ("found", "nowhere", "999999", "const")]).collect()[0]
+    assert tuple(found) == (1_000_001, None, 1_000_000, 1_000_001) and time.monotonic() - begin < 20
