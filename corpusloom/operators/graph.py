@@ -13,19 +13,34 @@ from corpusloom.operators.tables import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (src, dst): the least node of each component.
 
-    Each round a node takes the least label next to it, then that label's label, until none changes.
+    Each round a node takes the name that its neighbour of least hash takes from its own such neighbour; then only
+    edges between different names go on, by these names. So a round's tables are a part of those of the round before, whatever
+    the order of the nodes on a long way, and names are followed back to the nodes once, at the end.
     """
-    both = written(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct(), "graph")
-    alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = written(alone.select("node", F.col("node").alias("component")), "graph")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
-        step = labels.join(heard, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("heard", "component")).alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("jump"))
-        new = written(step.join(jump, "via").select("node", "old", F.least("via", "jump").alias("component")), "graph")
-        labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
-            return labels
+    def ends(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+
+    left, rounds = written(ends(edges), "graph"), []
+    while not left.isEmpty():
+        mixed = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("name"))
+        both = left.select(F.col("src").alias("node"), "dst").union(left.select(F.col("dst").alias("node"), F.col("src").alias("dst")))
+        near = both.groupBy("node").agg(F.min(mixed("dst")).alias("near")).select("node", F.least("near", mixed("node"))["name"].alias("via"))
+        near = written(near, "graph")
+        names = written(near.join(near.select(F.col("node").alias("via"), F.col("via").alias("name")), "via").select("node", "name"), "graph")
+        rounds.append(names)
+        of = lambda end: names.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"))  # noqa: E731, B023
+        named = left.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"))
+        left = written(ends(named), "graph")
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    if not rounds:
+        return written(alone.select("node", F.col("node").alias("component")), "graph")
+    roots = rounds.pop()
+    while rounds:
+        further = roots.select(F.col("node").alias("name"), F.col("name").alias("root"))
+        roots = written(rounds.pop().join(further, "name", "left").select("node", F.coalesce("root", "name").alias("name")), "graph")
+    least = roots.groupBy("name").agg(F.min("node").alias("component"))
+    found = roots.join(least, "name").select("node", "component")
+    return written(found.unionByName(alone.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))), "graph")
 
 
 def reachability(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:

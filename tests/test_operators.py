@@ -194,3 +194,21 @@ def test_mentions_hold_no_whole_text_a_word(spark):
     made = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
     assert made and all("), [1], false" in line or "), [0], false" in line for line in made), made
     assert pairs(found) == [(1, "t", 20_000)]
+
+
+def test_components_hand_on_less_each_round(spark, monkeypatch):
+    """Long ways whose nodes are in order: the tables of all rounds are a few times the edges, and repeated edges, loops and lone nodes change nothing."""
+    rows, keep = [], graph.written
+
+    def counted(df, name):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    n = 3000
+    ways = spark.range(n).selectExpr("id as src", "if(id % 1000 = 999, id, id + 1) as dst")
+    got = {r.node: r.component for r in graph.components(ways.union(ways).union(spark.createDataFrame([(-5, -5), (7, 3)], "src long, dst long"))).collect()}
+    assert got == {k: k // 1000 * 1000 for k in range(n)} | {-5: -5}
+    assert sum(rows) < 12 * n
+    assert graph.components(ways.limit(0)).count() == 0
