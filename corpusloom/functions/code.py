@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import BRANCHES, IDENTIFIER, identifier_words
+from corpusloom.functions.text import BRANCHES, LISTED_IDENTIFIER, NAME_START, identifier_parts
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,16 @@ STOPWORDS = (
 ).split()
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of words, by first letters, so that few are tried at a place; longer ones first."""
+    starts = sorted({w[0] for w in words})
+    return "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in words if w[0] == c), key=lambda w: -len(w)))})" for c in starts)
+
+
+#: What text is cut into to find names: keywords, names that are none (group 1), and the rest of a line.
+OWN_NAME = rf"(?:(?i:{_any_of(KEYWORDS)}))(?![{NAME_START}0-9])|({LISTED_IDENTIFIER})|[^{NAME_START}\n]+"
+
+
 def family_of(path: Column) -> Column:
     """Name of the family of a path's ending, null for other files."""
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
@@ -118,21 +128,21 @@ def deepest_brace(code: Column) -> Column:
 
 def deepest_indent(code: Column) -> Column:
     """How deep lines are indented below one another; a tab counts as four, blank lines don't count."""
-    filled = F.filter(code, is_filled)
-    width = lambda line: F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+    widths = F.transform(F.filter(code, is_filled), indent)
     start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("most"))
 
-    def step(a: Column, line: Column) -> Column:
+    def step(a: Column, width: Column) -> Column:
         # Widths that are open grow, so those below the line's own are the ones that stay.
-        still = F.concat(F.filter(a["open"], lambda w: w < width(line)), F.array(width(line)))
-        return F.struct(still.alias("open"), F.greatest(a["most"], F.size(still) - 1).alias("most"))
+        still = F.array_append(F.filter(a["open"], lambda w: w < width), width)
+        return F.struct(still.alias("open"), F.greatest(a["most"], F.size(a["open"])).alias("most"))
 
-    return F.aggregate(filled, start, step)["most"]
+    # How many are open after the last line is counted at the end: a step that looked at its own list would make it twice.
+    return F.aggregate(widths, start, step, lambda a: F.greatest(F.lit(1), a["most"], F.size(a["open"])) - 1)
 
 
 def own_names(code: Column) -> Column:
     """Identifiers of a line that are no keywords."""
-    return F.filter(F.regexp_extract_all(code, F.lit(IDENTIFIER), F.lit(0)), lambda i: ~F.lower(i).isin(KEYWORDS))
+    return F.filter(F.regexp_extract_all(code, F.lit(LISTED_IDENTIFIER), F.lit(0)), lambda i: ~F.lower(i).isin(KEYWORDS))
 
 
 def coherence(code: Column, comment: Column) -> Column:
@@ -141,16 +151,22 @@ def coherence(code: Column, comment: Column) -> Column:
     Only the code around lines whose comment has such words is looked at.
     """
     words = lambda text: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS)))
-    said = F.filter(F.transform(comment, lambda text, i: F.struct(words(text).alias("words"), i.alias("at"))), lambda s: F.size(s["words"]) > 0)
+    there = F.filter(F.transform(comment, lambda text, i: F.struct(text.alias("text"), i.alias("at"))), lambda s: s["text"] != "")
+    said = F.filter(F.transform(there, lambda s: F.struct(words(s["text"]).alias("words"), s["at"].alias("at"))), lambda s: F.size(s["words"]) > 0)
+
+    # Names without keywords and the parts of names, in all lines at once; words have three letters and are no stopwords, so parts needn't be looked at.
+    names = F.regexp_replace(F.array_join(code, "\n"), OWN_NAME, "$1 ")
+    parts = F.split(identifier_parts(names), "\n", -1)
 
-    def hits(s: Column) -> Column:
-        first = F.greatest(F.lit(1), s["at"] - 1)
-        near = F.array_join(F.slice(code, first, s["at"] + 4 - first), "\n")
-        return F.size(F.array_intersect(s["words"], F.flatten(F.transform(own_names(near), lambda i: identifier_words(i, STOPWORDS)))))
+    def hits(s: Column, parts: Column) -> Column:
+        # Line by line: a slice would walk over the whole text for each comment.
+        near = F.concat_ws(" ", *[F.get(parts, s["at"] + k) for k in range(-2, 3)])
+        return F.size(F.array_intersect(s["words"], F.split(near, "[^a-z]+")))
 
-    per_line = F.transform(said, lambda s: F.struct(F.size(s["words"]).alias("words"), hits(s).alias("hits")))
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("hits"))
-    return F.aggregate(per_line, start, lambda a, e: F.struct((a["words"] + e["words"]).alias("words"), (a["hits"] + e["hits"]).alias("hits")))
+    summed = lambda parts: F.aggregate(said, start, lambda a, s: F.struct((a["words"] + F.size(s["words"])).alias("words"), (a["hits"] + hits(s, parts)).alias("hits")))
+    # In an array of one, so that the parts are made once a text and not for each line.
+    return F.transform(F.array(parts), summed)[0]
 
 
 def section_sizes(text: Column, callout: str = '<div class="callout"') -> Column:
@@ -203,7 +219,8 @@ def is_filled(line: Column) -> Column:
 
 def indent(line: Column) -> Column:
     """Width of the white space that a line begins with; a tab counts as four."""
-    return F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+    width = F.length(F.replace(F.regexp_extract(line, r"^([ \t]*)", 1), F.lit("\t"), F.lit("    ")))
+    return F.when(line.startswith(" ") | line.startswith("\t"), width).otherwise(0)
 
 
 def _start_name(line: Column) -> Column:
@@ -250,7 +267,7 @@ def _braced_regions(code: Column, most: int) -> Column:
 
 def _indented_regions(code: Column, most: int) -> Column:
     """One pass over the lines: a function holds the lines after it that are blank or indented further; without any it is none."""
-    lines = F.transform(code, lambda line, i: F.struct(F.nullif(F.regexp_extract(line, INDENTED_START, 1), F.lit("")).alias("name"), is_filled(line).alias("filled"), indent(line).alias("width"), (i + 1).alias("line")))
+    lines = F.transform(code, lambda line, i: F.struct(F.when(line.contains("def"), F.nullif(F.regexp_extract(line, INDENTED_START, 1), F.lit(""))).alias("name"), is_filled(line).alias("filled"), indent(line).alias("width"), (i + 1).alias("line")))
     start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("end"), F.lit(0).alias("base"), F.lit(0).alias("top"), F.array().cast(_OPEN).alias("done"))
 
     def region(a: Column) -> Column:
@@ -280,14 +297,15 @@ def function_regions(raw: Column, code: Column, comment: Column, family: Family,
     ``def`` and the lines indented further. Nesting is what depth or indents (by four) rise above the first line's.
     """
     found = (_braced_regions if family.braces else _indented_regions)(code, most)
-    within = lambda lines, r: F.slice(lines, r["line"], r["lines"])
+    # Line by line: a slice would walk over the whole file for each function.
+    within = lambda lines, r: F.transform(F.sequence(r["line"], r["line"] + r["lines"] - 1), lambda i: F.get(lines, i - 1))
     nesting = lambda r: r["top"] - r["base"] if family.braces else F.greatest(F.lit(0), F.floor((r["top"] - r["base"] - 1) / 4).cast("int"))
     return F.transform(
         found,
         lambda r: F.struct(
             r["name"].alias("name"), r["line"].alias("line"), r["lines"].alias("lines"),
             F.aggregate(within(raw, r), F.lit(0), lambda most, s: F.greatest(most, F.length(s))).alias("max_line_len"), nesting(r).alias("max_nesting"),
-            F.aggregate(within(code, r), F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(BRANCHES))).alias("branches"),
+            F.regexp_count(F.array_join(within(code, r), "\n"), F.lit(BRANCHES)).alias("branches"),
             F.size(F.filter(within(comment, r), is_filled)).alias("comment_lines"),
         ),
     ).cast(f"array<{REGION}>")
@@ -309,12 +327,11 @@ def block_end(lines: Column, start: Column, most: int = 200) -> Column:
 
 
 def run_lengths(sorted_values: Column) -> Column:
-    """(distinct, bits): how many distinct values a sorted array has, and the sum of n * log2(n) over the counts n of each."""
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("distinct"), F.lit(0.0).alias("bits"))
-    closed = lambda a: F.when(a["n"] > 1, a["bits"] + a["n"] * F.log2(a["n"])).otherwise(a["bits"])
+    """(distinct, bits): how many distinct values a sorted array of values without line ends has, and the sum of n * log2(n) over the counts n of each.
 
-    def step(a: Column, v: Column) -> Column:
-        same = a["last"].eqNullSafe(v)
-        return F.struct(v.alias("last"), F.when(same, a["n"] + 1).otherwise(1).alias("n"), F.when(same, a["distinct"]).otherwise(a["distinct"] + 1).alias("distinct"), F.when(same, a["bits"]).otherwise(closed(a)).alias("bits"))
-
-    return F.aggregate(sorted_values, zero, step, lambda a: F.struct(a["distinct"].alias("distinct"), closed(a).alias("bits")))
+    Values that stand more than once are found as runs of equal lines, so that what is done for each value is done by one pattern.
+    """
+    runs = F.regexp_extract_all(F.array_join(sorted_values, "\n"), F.lit(r"(?<![^\n])([^\n]*+)(?:\n\1(?![^\n]))++"), F.lit(0))
+    counts = F.transform(runs, lambda run: ((F.length(run) + 1) / F.instr(run, F.lit("\n"))).cast("int"))
+    bits = F.aggregate(counts, F.lit(0.0), lambda bits, n: bits + n * F.log2(n))
+    return F.struct(F.size(F.array_distinct(sorted_values)).alias("distinct"), bits.alias("bits"))

@@ -9,7 +9,13 @@ from corpusloom.functions import code as C
 from corpusloom.functions import text as T
 from corpusloom.operators.tables import spread
 
-STYLES = ("camel", "snake", "pascal", "upper")
+#: Naming styles as ``naming_style`` tells them, as patterns of a line that is an identifier.
+STYLES = {
+    "camel": r"(?m)^_*(?![A-Z0-9]*_*$)[a-z0-9][A-Za-z0-9$]+_*$",
+    "snake": r"(?m)^_*(?=[a-z0-9_]*[a-z])[a-z0-9]+_[a-z0-9_]*[a-z0-9]_*$",
+    "pascal": r"(?m)^_*[A-Z][A-Z0-9$]*[a-z][A-Za-z0-9$]*_*$",
+    "upper": r"(?m)^_*[A-Z0-9][A-Z0-9_]*[A-Z0-9]_*$",
+}
 
 
 def read_state(path: Column, text: Column, most_bytes: int = 512 << 10, looked_at: int = 8 << 10) -> Column:
@@ -51,7 +57,7 @@ def _part(n: Column, of: str) -> Column:
 
 def _looks_commented_out(comment: Column) -> Column:
     trimmed = F.regexp_replace(comment, rf"^[{C.BLANK}]+|[{C.BLANK}]+$", "")
-    return C.is_filled(comment) & ~F.regexp_like(F.regexp_replace(trimmed, C.COMMENT_MARK, ""), F.lit(C.NO_CODE)) & F.regexp_like(trimmed, F.lit(C.LOOKS_LIKE_CODE))
+    return (comment != "") & C.is_filled(comment) & ~F.regexp_like(F.regexp_replace(trimmed, C.COMMENT_MARK, ""), F.lit(C.NO_CODE)) & F.regexp_like(trimmed, F.lit(C.LOOKS_LIKE_CODE))
 
 
 def file_features(files: DataFrame, key: str, family: str, text: str = "text") -> DataFrame:
@@ -65,28 +71,28 @@ def file_features(files: DataFrame, key: str, family: str, text: str = "text") -
     """
     fam = C.FAMILIES[family]
     lines = with_lines(files, key, family, text)
-    filled = lambda c: F.filter(c, C.is_filled)
-    both = F.arrays_zip("code", "comment")
+    # A pattern that can't cross a line's end is looked for in all lines at once; what is done line by line is only done where it can matter.
+    code_text, filled = F.array_join("code", "\n"), C.FILLED + r"[^\n]*"
+    said = F.filter(F.arrays_zip("code", "comment"), lambda x: (x["comment"] != "") & C.is_filled(x["comment"]))
     depth = C.deepest_brace(F.col("code")) if fam.braces else C.deepest_indent(F.col("code")) if fam.triple else F.lit(0)
     first = lines.select(
-        key, F.size("raw").alias("lines"), F.array_sort(F.transform(filled("raw"), F.length)).alias("lengths"), F.size(filled("code")).alias("code_lines"),
-        _count(both, lambda x: ~C.is_filled(x["code"]) & C.is_filled(x["comment"])).alias("comment_only"), _count(both, lambda x: C.is_filled(x["code"]) & C.is_filled(x["comment"])).alias("inline"),
-        _count("comment", _looks_commented_out).alias("commented_out"), depth.alias("max_nesting"),
-        F.aggregate("code", F.lit(0), lambda n, s: n + F.regexp_count(s, F.lit(T.BRANCHES))).alias("branches"),
-        _count("code", lambda s: F.regexp_like(s, F.lit(C.REEXPORT))).alias("reexports"),
-        F.flatten(F.transform("code", C.own_names)).alias("names"),
-        F.array_sort(T.tokens(F.array_join("code", "\n"))).alias("tokens"),
+        key, F.size("raw").alias("lines"), F.sort_array(F.transform(F.filter("raw", C.is_filled), F.length)).alias("lengths"), F.regexp_count(code_text, F.lit(filled)).alias("code_lines"),
+        F.transform(said, lambda x: C.is_filled(x["code"])).alias("beside_code"),
+        _count("comment", _looks_commented_out).alias("commented_out"), depth.alias("max_nesting"), F.regexp_count(code_text, F.lit(T.BRANCHES)).alias("branches"),
+        _count("code", lambda s: s.contains("export") & F.regexp_like(s, F.lit(C.REEXPORT))).alias("reexports"),
+        C.own_names(code_text).alias("names"), F.sort_array(T.tokens(code_text)).alias("tokens"),
         C.coherence(F.col("code"), F.col("comment")).alias("coherence"),
         C.function_regions(F.col("raw"), F.col("code"), F.col("comment"), fam).alias("functions"),
     )
     second = first.withColumns({
         "non_blank": F.size("lengths"), "n_tokens": F.size("tokens"), "runs": C.run_lengths(F.col("tokens")), "n_names": F.size("names"),
         "mean": F.when(F.size("lengths") > 0, F.aggregate("lengths", F.lit(0.0), lambda a, x: a + x) / F.size("lengths")).otherwise(F.lit(0.0)),
-        "styles": F.transform("names", T.naming_style),
+        "named": F.array_join("names", "\n"), "inline": _count("beside_code", lambda beside: beside),
     })
     third = second.withColumns({
+        "comment_only": F.size("beside_code") - F.col("inline"),
         "sd": F.when(F.col("non_blank") > 0, F.sqrt(F.aggregate("lengths", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("non_blank"))).otherwise(F.lit(0.0)),
-        "by_style": F.array(*[F.struct(_count("styles", F.lit(style).__eq__).alias("n"), F.lit(-i).alias("place"), F.lit(style).alias("style")) for i, style in enumerate(STYLES)]),
+        "by_style": F.array(*[F.struct(F.regexp_count("named", F.lit(pattern)).alias("n"), F.lit(-i).alias("place"), F.lit(style).alias("style")) for i, (style, pattern) in enumerate(STYLES.items())]),
     })
     at = lambda q: F.coalesce(F.get("lengths", F.least(F.col("non_blank") - 1, F.floor(F.col("non_blank") * q)).cast("int")), F.lit(0))
     top = F.array_max("by_style")
@@ -98,8 +104,8 @@ def file_features(files: DataFrame, key: str, family: str, text: str = "text") -
         _part(F.col("inline"), "code_lines").alias("inline_comment_ratio"), _part(F.col("commented_out"), "non_blank").alias("commented_out_ratio"),
         F.col("mean").alias("line_len_mean"), F.col("sd").alias("line_len_sd"), at(0.5).alias("line_len_p50"), at(0.95).alias("line_len_p95"), F.coalesce(F.array_max("lengths"), F.lit(0)).alias("line_len_max"),
         "max_nesting", _part(100.0 * F.col("branches"), "code_lines").alias("branches_per_100"),
-        F.col("n_names").alias("identifiers"), _part(F.aggregate("names", F.lit(0), lambda n, s: n + F.length(s)), "n_names").alias("ident_avg_len"),
-        _part(F.size(F.filter("names", lambda s: F.length(s) <= 2)), "n_names").alias("ident_short_ratio"),
+        F.col("n_names").alias("identifiers"), _part(F.length("named") - F.greatest(F.lit(0), F.col("n_names") - 1), "n_names").alias("ident_avg_len"),
+        _part(F.regexp_count("named", F.lit(r"(?<![^\n])[^\n]{1,2}(?![^\n])")), "n_names").alias("ident_short_ratio"),
         top["style"].alias("dominant_style"), F.when(styled > 0, top["n"] / styled).otherwise(F.lit(0.0)).alias("dominant_share"),
         F.when(F.col("n_tokens") > 0, F.log2("n_tokens") - F.col("runs.bits") / F.col("n_tokens")).otherwise(F.lit(0.0)).alias("token_entropy"),
         _part(F.col("n_tokens") * F.log2(F.greatest(F.lit(2), F.col("runs.distinct"))), "code_lines").alias("halstead_per_line"),

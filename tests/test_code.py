@@ -1,11 +1,14 @@
 """Program text against plain walks over characters and lines."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import code as C
+from corpusloom.functions import text
 from corpusloom.operators import programs as P
 
 
@@ -135,3 +138,19 @@ def test_sections(spark):
 def test_families_of_endings(spark):
     df = spark.createDataFrame([("a/b.TSX",), ("c.py",), ("d.txt",), ("e",)], "path string").select(C.family_of(F.col("path")).alias("f"))
     assert [r.f for r in df.collect()] == ["c", "python", None, None]
+
+
+def test_styles_runs_and_names_of_a_whole_text(spark):
+    """Patterns over all names of a text tell the styles that each name has by itself, runs are counts, and no comment or function walks over the whole text."""
+    rng = random.Random(5)
+    names = sorted({rng.choice("aZ_$") + "".join(rng.choice("abAZ_$1") for _ in range(rng.randrange(6))) for _ in range(1500)})
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    told = rows.select("n", text.naming_style(F.col("n")).alias("style"), *[F.regexp_count("n", F.lit(p)).alias(s) for s, p in P.STYLES.items()]).collect()
+    assert all(r[s] == (r.style == s) for r in told for s in P.STYLES) and {r.style for r in told} >= set(P.STYLES)
+    values = sorted(rng.choice(["a", "aa", "b", "if", "é", "==", "1.5"]) for _ in range(400)) + ["z"]
+    got = spark.createDataFrame([(sorted(values),), ([],)], "v array<string>").select(C.run_lengths(F.col("v")).alias("r")).collect()
+    assert [r.r.distinct for r in got] == [len(set(values)), 0]
+    assert got[0].r.bits == pytest.approx(sum(n * math.log2(n) for n in Counter(values).values())) and got[1].r.bits == 0
+    whole = spark.createDataFrame([(1, "if foo9if 9while Kelvin fooBar # foo\n")], "k int, text string")
+    assert [r.names for r in P.with_lines(whole, "k", "python").select(C.own_names(F.array_join("code", "\n")).alias("names")).collect()] == [["foo9if", "Kelvin", "fooBar"]]
+    assert "slice(" not in P.file_features(whole, "k", "python")._jdf.queryExecution().optimizedPlan().toString()
