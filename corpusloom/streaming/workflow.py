@@ -61,22 +61,24 @@ class Workflow(StatefulProcessor):
         return (snapshot, revision + 1, "done", -1), "reviewed", row.kind, True
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        state, out = (self.state.get() if self.state.exists() else None), []
-        for row in pd.concat(rows).sort_values(["at", "seq"], kind="stable").itertuples():
+        # Each call to the state's store is a round trip for a subject, so it is read once, and written only if it changed.
+        before, parts, out = self.state.get(), list(rows), []
+        state = before
+        for row in (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(["at", "seq"], kind="stable").itertuples():
             if state is not None:
                 state, woken = self._woken(key[0], state, row.at)
                 out += woken
             state, event, outcome, told = self._applied(state, row)
             if told:
                 out.append((key[0], row.at, row.seq, *(state[:3] if state else (None, None, None)), event, outcome))
-        if state is not None:
+        if state is not None and state != before:
             self.state.update(state)
         yield pd.DataFrame(out, columns=COLUMNS).astype({"revision": "Int64"})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            state, out = self._woken(key[0], self.state.get(), expiredTimerInfo.getExpiryTimeInMs())
+        out, state = [], self.state.get()
+        if state is not None:
+            state, out = self._woken(key[0], state, expiredTimerInfo.getExpiryTimeInMs())
             if out:
                 self.state.update(state)
         yield pd.DataFrame(out, columns=COLUMNS).astype({"revision": "Int64"})

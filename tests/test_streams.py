@@ -1,7 +1,9 @@
 """The workflow stream: however its rows are cut into runs, and when a run is repeated."""
 
+import pandas as pd
+
 from corpusloom.plans import streams
-from corpusloom.streaming.workflow import ROW, run_workflow
+from corpusloom.streaming.workflow import ROW, Workflow, run_workflow
 
 SF, DAY = "/root/testdata/sf0.001", 86_400_000
 
@@ -34,3 +36,29 @@ def test_a_snooze_ends_without_another_row_of_its_subject(spark, tmp_path):
     put(2, ("a", 4 * DAY, 5, "decided", "x", 3, None, " "), ("a", 4 * DAY, 6, "decided", "x", 3, None, "why"), ("a", 4 * DAY, 7, "reopen", "x", 3, None, None))
     run()
     assert [r[3:] for r in table() if r[2] >= 5] == [(3, "open", "refused", "note-required"), (4, "done", "reviewed", "decided"), (4, "done", "refused", "stale-revision")]
+
+
+def test_a_subject_reads_its_state_once_and_writes_it_if_it_changed():
+    calls = []
+
+    class State:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    flow = Workflow()
+    flow.state, flow.handle = State(), None
+    seen = pd.DataFrame([(1, 1, "seen", "x", False, -1, -1, None)], columns=["at", "seq", "kind", "snapshot", "fresh", "revision", "until", "note"])
+    told = [next(flow.handleInputRows(("s",), iter([rows]), None)) for rows in (seen, seen.assign(at=2), seen.assign(at=3, snapshot="y"))]
+    assert [len(t) for t in told] == [1, 0, 1] and flow.state.held == ("y", 2, "open", -1)
+    assert calls == ["get", "update", "get", "get", "update"]
