@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import canonical as C
 from corpusloom.operators import ledgerlog as L
 from corpusloom.operators import scopes as S
-from corpusloom.operators.tables import shared_folder
+from corpusloom.operators.tables import shared_folder, written
 from corpusloom.plans.freshness import INV, inventory
 from corpusloom.sources import table
 
@@ -53,9 +53,10 @@ def _ledger_events(spark, sf):
 
 def _appended(spark, sf):
     """A new log, filled by three appends that overlap; the last is the whole table, and is repeated."""
-    log, events = f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}", _ledger_events(spark, sf)
-    half = table(spark, sf, "events").agg(F.expr("percentile_disc(0.5) within group (order by event_id)")).first()[0] or 0
-    statuses = [L.append(part, log) for part in (events.where(F.col("at") < half / 2), events.where(F.col("at") < half), events, events)]
+    log, events = f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}", written(L.identified(_ledger_events(spark, sf)), "ledger-events")
+    # About the middle: the log is the same wherever its parts are cut.
+    half = table(spark, sf, "events").agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    statuses = [L.append_identified(part, log) for part in (events.where(F.col("at") < half / 2), events.where(F.col("at") < half), events, events)]
     return log, statuses
 
 

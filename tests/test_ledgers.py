@@ -124,3 +124,30 @@ def test_broken_tails_are_refused(spark, tmp_path):
     assert L._commit(spark, other, 0, "forged") and not L._commit(spark, other, 0, "forged")
     assert sorted((r.ledger, r.status) for r in L.append(events(spark, ("a", 3, 3), ("b", 3, 3)), other).collect()) == [("a", "broken-chain"), ("b", "append")]
     assert [tuple(r) for r in L.broken_entries(L.entries(spark, other)).collect()] == [("a", 1, "digest")]
+
+
+def test_bodies_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path):
+    rows = events(spark, *[("a", n, n) for n in range(40)])
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/events")
+    own = L.identified(spark.read.parquet(f"file://{tmp_path}/events"))
+    assert own.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert {r.content for r in own.collect()} == {f'{{"n":{n}}}' for n in range(40)}
+
+
+def test_appends_that_overlap_parse_each_body_once(spark, monkeypatch):
+    from corpusloom.plans import ledgers
+
+    calls, identified = [], L.identified
+    monkeypatch.setattr(L, "identified", lambda events: calls.append(True) or identified(events))
+    log, statuses = ledgers._appended(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and len(statuses) == 4
+    assert {r.status for r in statuses[-1].collect()} == {"already-present"} and L.broken_entries(L.entries(spark, log)).count() == 0
+
+
+def test_contents_are_not_sorted_to_find_broken_entries(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    L.append(events(spark, ("a", 1, 1), ("a", 2, 2)), log)
+    node = L.broken_entries(L.entries(spark, log))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    assert "content" not in node.children().head().output().toString()
