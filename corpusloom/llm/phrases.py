@@ -156,37 +156,52 @@ class _Known:
         return [phrase, *reversed(out)]
 
 
-def longer_phrases(codes: np.ndarray, n_words: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases one word longer than those in ``frequent`` whose first and last part both are there: (rows of codes, counts).
+def runs_of(codes: np.ndarray, n_words: int, frequent: np.ndarray) -> np.ndarray:
+    """The parts of ``codes`` in which all phrases as long as those in ``frequent`` are there, -1 after each; parts of just one phrase are left out.
 
-    ``frequent`` has a row of word codes for each phrase, all of one length. Each batch of first
-    words is extended to the full length before the next.
+    ``frequent`` has a row of word codes for each phrase, all of one length d. So the phrases of d + 1 words in the
+    result are those of ``codes`` whose first and last d words both are frequent, as often as there. Each batch of
+    first words is extended to the full length before the next.
     """
     length = frequent.shape[1]
     kept = np.zeros(n_words + 1, bool)
     kept[frequent.ravel()] = True
     maps = Bitmaps(np.where(kept[codes], codes, -1), n_words)
     known = _Known(frequent, n_words)
-    found, counts = [], []
+    ends = np.zeros(len(codes) // WIDTH + 2, "<u2")
     for phrase, block, bits in maps.first():
         for d in range(1, length):
             phrase, word, block, bits = maps.extended(phrase, block, bits)
             phrase = known.number(d, phrase, word)
             phrase, block, bits = phrase[phrase >= 0], block[phrase >= 0], bits[phrase >= 0]
-        phrase, word, block, bits = maps.extended(phrase, block, bits)
-        pairs, distinct = pd.factorize(phrase.astype(np.int64) * n_words + word)
-        n = np.bincount(pairs, weights=np.bitwise_count(bits), minlength=len(distinct)).astype(np.int64)
-        phrase, word = np.divmod(distinct, n_words)
-        columns = [*known.words(length, phrase), word]
-        if length > 1:  # the phrase without its first word must be frequent too
-            last = columns[1]
-            for d in range(1, length):
-                last = known.number(d, last, columns[d + 1])
-            columns, n = [c[last >= 0] for c in columns], n[last >= 0]
+        np.bitwise_or.at(ends, block, bits)
+    last = np.unpackbits(ends.view(np.uint8), bitorder="little")[: len(codes)].astype(bool)
+    # Two such phrases that end at neighbouring positions make one of a word more; a run goes on as long as they do.
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], last[1:] & last[:-1], [0]))))
+    starts, n = edges[::2] + 1 - length, edges[1::2] - edges[::2] + length
+    at = np.arange(int((n + 1).sum())) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    return np.where(at < np.repeat(n, n + 1), codes[np.minimum(at + np.repeat(starts, n + 1), len(codes) - 1)], -1) if len(n) else np.empty(0, codes.dtype)
+
+
+def phrases_within(codes: np.ndarray, n_words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All phrases of ``length`` words in ``codes``: (rows of codes, counts)."""
+    maps = Bitmaps(codes, n_words)
+    found, counts = [np.empty((0, length), np.int64)], [np.empty(0, np.int64)]
+    for phrase, block, bits in maps.first():
+        columns = [np.arange(n_words)]
+        for _ in range(1, length):
+            phrase, word, block, bits = maps.extended(phrase, block, bits)
+            phrase, distinct = pd.factorize(phrase.astype(np.int64) * n_words + word)
+            before, word = np.divmod(distinct, n_words)
+            columns = [*(c[before] for c in columns), word]
+        counts.append(np.bincount(phrase, weights=np.bitwise_count(bits), minlength=len(columns[0])).astype(np.int64))
         found.append(np.stack(columns, axis=1))
-        counts.append(n)
-    rows = np.concatenate(found) if found else np.empty((0, length + 1), np.int64)
-    return _summed(rows, np.concatenate(counts) if counts else np.empty(0, np.int64))
+    return _summed(np.concatenate(found), np.concatenate(counts))
+
+
+def longer_phrases(codes: np.ndarray, n_words: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases one word longer than those in ``frequent`` whose first and last part both are there: (rows of codes, counts)."""
+    return phrases_within(runs_of(codes, n_words, frequent), n_words, frequent.shape[1] + 1)
 
 
 def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,33 +228,60 @@ def _key_columns(length: int) -> list[str]:
     return [f"k{j}" for j in range((length + 1) // 2)]
 
 
-def _counted(chunk: int, ids: bytes, frequent: np.ndarray | None, length: int) -> pa.Table:
-    """(chunk, key columns, n): the phrases of ``length`` words of one chunk, given its frequent ones of one word less (None: all words are)."""
-    ids = np.frombuffer(ids, "<i4").astype(np.int64)
-    codes, own = pd.factorize(np.where(ids < 0, -1, ids))
-    if len(own) and (gap := np.flatnonzero(own < 0)).size:
-        codes = np.where(codes == gap[0], -1, codes)
-    if frequent is None:
-        known = np.flatnonzero(own >= 0).reshape(-1, 1)
-    else:
-        order = np.argsort(own)
-        known = order[np.searchsorted(own, frequent, sorter=order)]
-    rows, counts = longer_phrases(codes, len(own), known) if len(known) else (np.empty((0, length), np.int64), np.empty(0, np.int64))
-    return pa.table({"chunk": pa.array(np.full(len(counts), chunk), pa.int64())} | dict(zip(_key_columns(length), _packed(own[rows]), strict=True)) | {"n": counts})
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids as codes without gaps, -1 where there is none, and the id of each code."""
+    codes, own = pd.factorize(np.where(ids < 0, -1, ids).astype(np.int64))
+    if (gap := np.flatnonzero(own < 0)).size:  # the code of -1 is the last one's from now on
+        codes = np.where(codes == gap[0], -1, np.where(codes == len(own) - 1, gap[0], codes))
+        own[gap[0]] = own[-1]
+        own = own[:-1]
+    return codes, own
+
 
+def _positions(chunk: pa.Table) -> np.ndarray:
+    """The word ids of a chunk, of one or more rows."""
+    return np.frombuffer(b"".join(chunk.column("ids").to_pylist()), "<i4")
 
-def _longer(length: int):
-    """Phrases of ``length`` words of one chunk, beside the rows of its frequent ones of one word less."""
 
-    def counted(chunk: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not len(chunk) or not len(frequent):
-            return _counted(0, b"", None, length)
-        rows = _unpacked([frequent.column(k).to_numpy() for k in _key_columns(length - 1)], length - 1)
-        return _counted(chunk.column("chunk")[0].as_py(), chunk.column("ids")[0].as_py(), rows, length)
+def _counted(length: int):
+    """(chunk, key columns, n): the phrases of ``length`` words of one chunk."""
+
+    def counted(chunk: pa.Table) -> pa.Table:
+        codes, own = _numbered(_positions(chunk))
+        rows, counts = phrases_within(codes, len(own), length)
+        return pa.table({"chunk": pa.array(np.full(len(counts), chunk.column("chunk")[0].as_py()), pa.int64())} | dict(zip(_key_columns(length), _packed(own[rows]), strict=True)) | {"n": counts})
 
     return counted
 
 
+def _runs(length: int):
+    """(chunk, size, ids): what ``runs_of`` leaves of one chunk, beside the rows of its frequent phrases of ``length`` words."""
+
+    def left(chunk: pa.Table, frequent: pa.Table) -> pa.Table:
+        runs = np.empty(0, "<i4")
+        if len(chunk) and len(frequent):
+            codes, own = _numbered(_positions(chunk))
+            order = np.argsort(own)
+            rows = _unpacked([frequent.column(k).to_numpy() for k in _key_columns(length)], length)
+            codes = runs_of(codes, len(own), order[np.searchsorted(own, rows, sorter=order)])
+            runs = np.where(codes < 0, -1, own[codes]).astype("<i4")
+        n = min(len(runs), 1)
+        return pa.table({"chunk": pa.array(chunk.column("chunk").to_pylist()[:n], pa.int64()), "size": pa.array([len(runs)][:n], pa.int64()), "ids": pa.array([runs.tobytes()][:n], pa.binary())})
+
+    return left
+
+
+def _gathered(left: DataFrame, langs: DataFrame) -> DataFrame:
+    """What is left of the chunks (chunk, ids), those of one language together up to about CHUNK_WORDS words, as one chunk of several rows.
+
+    A phrase has a row in each chunk that it is in, so the fewer, the better they are summed. The chunk has the number of one of those in it.
+    """
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("chunk")) - F.col("size")
+    dealt = left.select("chunk", "size").join(langs, "chunk").withColumn("part", F.floor(before / CHUNK_WORDS))
+    named = dealt.select("chunk", F.min("chunk").over(Window.partitionBy("lang", "part")).alias("into"))
+    return left.join(F.broadcast(named), "chunk").select(F.col("into").alias("chunk"), "ids")
+
+
 def _level(rows: DataFrame, least: int, length: int) -> DataFrame:
     """Rows of frequent phrases (chunk, key columns, f, first): each chunk that has one; ``first`` marks one of them.
 
@@ -276,19 +318,24 @@ def _phrase_ids(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, D
     ids = written(chunks.select("chunk", "codes").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(as_ids, "chunk long, ids binary"), "phrase-positions")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _counted(2)
         for batch in batches:
-            for chunk, row in zip(batch.column("chunk").to_pylist(), batch.column("ids"), strict=True):
-                yield from _counted(chunk, row.as_py(), None, 2).to_batches()
+            for at in range(len(batch)):
+                yield from counted(pa.Table.from_batches([batch.slice(at, 1)])).to_batches()
 
-    levels, found = [], ids.mapInArrow(pairs, "chunk long, k0 long, n long")
+    langs = chunks.select("chunk", "lang")
+    levels, positions, found = [], ids, ids.mapInArrow(pairs, "chunk long, k0 long, n long")
     for length in range(2, longest + 1):
         if length > 2:
             frequent = levels[-1].select(F.col("chunk").alias("of_chunk"), *_key_columns(length - 1))
+            left = positions.groupBy("chunk").cogroup(frequent.groupBy("of_chunk")).applyInArrow(_runs(length - 1), "chunk long, size long, ids binary")
+            left = written(left, f"phrase-runs-{length}")
+            # Pairs leave much of the words, so as many tasks go on; after three words little is left.
+            positions = _gathered(left, langs) if length > 3 else left.select("chunk", "ids")
             schema = "chunk long, " + ", ".join(f"{k} long" for k in _key_columns(length)) + ", n long"
-            found = ids.groupBy("chunk").cogroup(frequent.groupBy("of_chunk")).applyInArrow(_longer(length), schema)
+            found = positions.groupBy("chunk").applyInArrow(_counted(length), schema)
         levels.append(_level(found, least, length))
     phrases = words.select("lang", F.array("id").alias("p"), "f")
-    langs = chunks.select("chunk", "lang")
     for length, level in enumerate(levels, 2):
         halves = [half for k in _key_columns(length) for half in (F.shiftright(k, 32) - 1, F.col(k).bitwiseAND(0xFFFFFFFF) - 1)]
         phrases = phrases.unionByName(level.where("first").select("chunk", F.array(*halves[:length]).alias("p"), "f").join(langs, "chunk").select("lang", "p", "f"))
@@ -306,10 +353,11 @@ def _spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
     """Counts (lang, phrase, n_words, f) of all phrases of up to ``longest`` words with f >= ``least``, and words in all by lang (lang, n).
 
-    Phrases lie within a piece. Every chunk of positions counts its phrases of d words by bitmaps,
-    extending only those of fewer words that are frequent in the whole corpus (a phrase
-    is no more frequent than its parts); the chunks' sums are then summed by phrase. Between the
-    steps a frequent word is its id, of less than 2^31.
+    Phrases lie within a piece. Every chunk of positions counts its phrases of d words by bitmaps;
+    the chunks' sums are then summed by phrase. Before d grows, a chunk keeps only the runs of
+    words whose phrases of d words all are frequent in the whole corpus (a phrase is no more
+    frequent than its parts), and what is left of several chunks is put together. Between the steps a
+    frequent word is its id, of less than 2^31.
     """
     words, phrases, totals = _phrase_ids(docs, least, longest)
     return _spelled(phrases.withColumn("n_words", F.size("p")), words).select("lang", "phrase", "n_words", "f"), totals

@@ -103,3 +103,29 @@ def test_ties_and_an_overlapping_phrase(spark):
 
 def test_empty_table(spark):
     assert mine_phrases(documents(spark, [("x", "en")]).limit(0)).count() == 0
+
+
+def test_what_is_left_of_chunks_is_counted_together(spark, monkeypatch):
+    """Eight chunks share a passage: each of its phrases of four words has one row, not one a chunk."""
+    made, level = {}, phrases._level
+
+    def counting(rows, least, length):
+        made[length] = rows.count()
+        return level(rows, least, length)
+
+    monkeypatch.setattr(phrases, "_level", counting)
+    rows = [(f"one two three four five. seldom{i} one two three. four five six{i}", "en") for i in range(40)]
+    found, _ = phrase_counts(documents(spark, rows).repartitionByRange(8, "doc_id"))
+    counts, _ = counted(rows)
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in found.collect()} == {k: n for k, n in counts.items() if n >= 30}
+    assert made[4] == 2
+
+
+def test_runs_hold_the_phrases_whose_parts_are_frequent_and_no_others():
+    from corpusloom.llm.phrases import runs_of
+
+    codes = np.array([0, 1, 2, 3, -1, 4, 1, 2, 3, 0, 1, 2, 4, 3])
+    frequent = np.array([(0, 1, 2), (1, 2, 3), (3, 0, 1), (2, 4, 3)])
+    assert runs_of(codes, 5, frequent).tolist() == [0, 1, 2, 3, -1, 3, 0, 1, 2, -1]
+    assert runs_of(codes, 5, np.array([[0], [1], [2]])).tolist() == [0, 1, 2, -1, 1, 2, -1, 0, 1, 2, -1]
+    assert not len(runs_of(codes, 5, np.array([(0, 1, 2)]))) and not len(runs_of(codes[:0], 5, frequent))
