@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.tables import shared_folder, written
 from corpusloom.sources import table
 from corpusloom.streaming import activity
-from corpusloom.streaming.workflow import OUTPUT, run_workflow
+from corpusloom.streaming.workflow import COLUMNS, OUTPUT, run_workflow
 
 PARTS = 3
 
@@ -53,7 +53,7 @@ def attention_workflow(spark, sf):
         begin = ends["first"] + part * step
         rows.where((F.col("at") >= begin) & (F.col("at") < begin + step)).write.parquet(f"{base}/in/{part}")
         run_workflow(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
-    return spark.read.schema(OUTPUT).parquet(f"{base}/out")
+    return spark.read.schema(OUTPUT).parquet(f"{base}/out").select(*COLUMNS)
 
 
 QUERIES = {"stm1_daily_activity": daily_activity, "stm3_attention_workflow": attention_workflow}

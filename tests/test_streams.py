@@ -1,5 +1,8 @@
 """The workflow stream: however its rows are cut into runs, and when a run is repeated."""
 
+import os
+import time
+
 import pandas as pd
 
 from corpusloom.plans import streams
@@ -62,3 +65,24 @@ def test_a_subject_reads_its_state_once_and_writes_it_if_it_changed():
     told = [next(flow.handleInputRows(("s",), iter([rows]), None)) for rows in (seen, seen.assign(at=2), seen.assign(at=3, snapshot="y"))]
     assert [len(t) for t in told] == [1, 0, 1] and flow.state.held == ("y", 2, "open", -1)
     assert calls == ["get", "update", "get", "get", "update"]
+
+
+def test_many_subjects_are_folded_together_and_a_repeated_batch_is_kept_once(spark, tmp_path):
+    """A subject costs what its rows cost: forty thousand of them take seconds, also over the ends of Arrow batches."""
+    run = lambda: run_workflow(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    one = "concat('s', id % 40000) as slug, timestamp_millis(at) as ts, at, id as seq, kind, 'x' as snapshot, false as fresh, cast(null as long) as revision, until, 'why' as note"
+    put = lambda part, rows: spark.sql(f"select {one} from ({rows})").write.parquet(f"{tmp_path}/in/{part}")
+    put(0, f"select id, {DAY} + id as at, if(id < 40000, 'seen', 'snooze') as kind, if(id < 40000, null, {3 * DAY}) as until from range(80000)")
+    begin = time.monotonic()
+    run()
+    assert time.monotonic() - begin < 40
+    put(1, f"select id, {4 * DAY} + id as at, 'acted' as kind, cast(null as long) as until from range(40)")
+    run()
+    told = lambda: {tuple(r)[:4]: r.n for r in spark.read.parquet(f"{tmp_path}/out").groupBy("event", "workflow", "revision", "outcome").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    want = {(None, "open", 1, None): 40_000, ("snoozed", "snoozed", 2, None): 40_000, ("reopened", "open", 3, None): 40_000, ("reviewed", "done", 4, "acted"): 40}
+    assert told() == want
+    # As if the run had failed before it said that its batch was done.
+    for name in ("1", ".1.crc"):
+        os.remove(tmp_path / "checkpoint" / "commits" / name)
+    run()
+    assert told() == want
