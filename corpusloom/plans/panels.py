@@ -22,10 +22,10 @@ def panel_reasons(spark, sf):
     body = F.col("text")
     for old, new in PROSE[:5]:
         body = F.replace(body, F.lit(old), F.lit(new))
-    notes = d.where("doc_id % 40 = 1").select("note", F.substring(body, 1, 400).alias("body"))
+    notes = d.where("doc_id % 40 = 1").select("note", body.alias("body"))
     readers = d.where("doc_id % 40 < 4").select("note", "reader", (k % 3 + F.col("note") % 3 + 1).cast("double").alias("overall"), ((k + F.col("note")) % 9 > 0).alias("retells"), F.when(k % 2 == 0, (k % 5).cast("double")).alias("concreteness"))
     sections = d.select("note", "reader", _pick(["one", "two", "进阶", "a Callout", "three"], F.floor(k / 4) % 5).alias("section"), ((k * 7) % 6).cast("double").alias("score"))
-    flagged = d.select("note", "reader", F.col("doc_id").alias("key"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("sentence"))
+    flagged = d.select("note", "reader", F.col("doc_id").alias("key"), F.col("text").alias("sentence"))
     claims = d.where("doc_id % 40 = 7").select("note", _pick(["unsupported", "misleading", "fine"], F.col("note") % 3).alias("verdict"))
     found = P.panel_reasons(notes, readers, sections, flagged, claims, P.Limits(unclear=1, section=2, overall=3, concreteness=2))
     return found.withColumn("reasons", F.array_join("reasons", ","))

@@ -77,6 +77,34 @@ def test_pairs_are_one_by_keys_alone(spark):
     assert pairs.count() == 21
 
 
+def test_long_texts_are_compared_whole(spark):
+    """Texts that begin alike and go on differently, or the other way round; a group with few texts and one with many give what a plain loop does, in one cell or many."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghé\U0001f600日本") for _ in range(5))
+    tails = [" ".join(word() for _ in range(rng.choice([20, 60, 150]))) for _ in range(6)]
+    flagged = [(g, k % 4, k, "the same first line\n" * (k % 2) + rng.choice(tails)[rng.randrange(20):]) for g, n in ((1, 12), (2, 300)) for k in range(n)]
+    flagged = [(g, r, k, s if g == 1 else s[-30:]) for g, r, k, s in flagged]
+    df = spark.createDataFrame(flagged, "group int, reader int, key int, sentence string")
+    texts = {(g, k): s for g, _, k, s in flagged}
+    want = [(g, a, b) for g, a in texts for h, b in texts if g == h and a <= b and dice(texts[g, a], texts[g, b]) > 0.55]
+    for together in (1_000_000, 400):
+        assert [r[:3] for r in rows(S.similar_pairs(df, "group", "key", "sentence", 0.55, together))] == sorted(want, key=repr)
+    assert {len([w for w in want if w[0] == g]) for g in (1, 2)} & {0, 78, 45150} == set()
+
+
+def test_queries_look_at_whole_texts(spark, tmp_path):
+    """Forty documents with one first line, of which the last ten go on with another text, are not all alike; their notes' whole bodies count."""
+    from corpusloom.plans import anchors, panels
+
+    text = lambda k: "one line that all texts begin with, longer than sixty characters in all\n" + ("xyz " * 400 if k >= 30 else "abc " * 400) + ("\n见文末" if k == 1 else "")
+    spark.createDataFrame([(k, text(k)) for k in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = {(r.a, r.b) for r in anchors.similar_sentences(spark, str(tmp_path)).collect()}
+    assert pairs == {(a, b) for a in range(40) for b in range(a, 40) if (a < 30) == (b < 30)}
+    assert [r.flags for r in sorted(anchors.consensus_sentences(spark, str(tmp_path)).collect(), key=lambda r: int(r.key))] == [30, 10]
+    (found,) = panels.panel_reasons(spark, str(tmp_path)).collect()
+    assert found.unclear == 2 and "about-itself" in found.reasons.split(",") and "paragraphs" in found.reasons.split(",")
+
+
 def test_markers_in_many_lines(spark):
     """Only lines that have a marker are held against its patterns: a million others take seconds."""
     text = "\n".join(f"line {i} of words" for i in range(1_000_000)) + "\nconst found = 1\n"
