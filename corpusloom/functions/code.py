@@ -209,6 +209,8 @@ COMMENT_MARK = r"^/+\s*|^--\s*"
 LOOKS_LIKE_CODE = r"([{}]|;\s*$|==|!=|<=|>=|=>|->|\w+\([^)]*\)|\)\s*$)"
 REEXPORT = r"^\s*export\s+.*\bfrom\b"
 
+#: Functions that are found are kept in lists of this many, so that a file's thousandth costs no more to add than its first.
+_TOGETHER = 500
 REGION = "struct<name:string,line:int,lines:int,max_line_len:int,max_nesting:int,branches:int,comment_lines:int>"
 _OPEN = "array<struct<name:string,line:int,lines:int,base:int,top:int>>"
 
@@ -229,7 +231,26 @@ def _start_name(line: Column) -> Column:
     return F.when(line.contains("{"), F.coalesce(*[F.when((name != "") & ~name.isin(KEYWORDS), name) for name in found]))
 
 
-def _braced_regions(code: Column, most: int) -> Column:
+def _no_regions() -> list[Column]:
+    return [F.array().cast(f"array<{_OPEN}>").alias("full"), F.array().cast(_OPEN).alias("done")]
+
+
+def _n_regions(a: Column) -> Column:
+    return F.size(a["full"]) * _TOGETHER + F.size(a["done"])
+
+
+def _with_region(a: Column, closed: Column, region: Column) -> list[Column]:
+    """The lists of functions with one more where ``closed``; a list that is full is put away at the next line."""
+    room = F.size(a["done"]) < _TOGETHER
+    done = F.when(room, a["done"]).otherwise(F.array().cast(_OPEN))
+    return [F.when(room, a["full"]).otherwise(F.array_append(a["full"], a["done"])).alias("full"), F.when(closed, F.array_append(done, region)).otherwise(done).alias("done")]
+
+
+def _all_regions(a: Column, closed: Column, region: Column) -> Column:
+    return F.concat(F.flatten(a["full"]), F.when(closed, F.array_append(a["done"], region)).otherwise(a["done"]))
+
+
+def _braced_regions(code: Column, most: int | None) -> Column:
     """One pass over the lines: a function that is open hides others until the depth of braces is back where it began."""
 
     def marked(line: Column) -> Column:
@@ -240,14 +261,15 @@ def _braced_regions(code: Column, most: int) -> Column:
     lines = F.transform(code, lambda line, i: F.struct(marked(line).alias("m"), (i + 1).alias("line")))
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("base"), F.lit(0).alias("top"),
-        F.lit(False).alias("risen"), F.array().cast(_OPEN).alias("done"),
+        F.lit(False).alias("risen"), *_no_regions(),
     )
 
     def step(a: Column, x: Column) -> Column:
         idle, net = a["name"].isNull(), x["m"]["net"]
         # The depth never falls below zero: what a line takes too much is not missing later.
         after = F.greatest(a["depth"] + net["d"], net["d"] - net["low"])
-        name = F.when(idle, F.when(F.size(a["done"]) < most, x["m"]["name"])).otherwise(a["name"])
+        begun = x["m"]["name"] if most is None else F.when(_n_regions(a) < most, x["m"]["name"])
+        name = F.when(idle, begun).otherwise(a["name"])
         line, base = F.when(idle, x["line"]).otherwise(a["line"]), F.when(idle, a["depth"]).otherwise(a["base"])
         top = F.when(idle, a["depth"]).otherwise(F.greatest(a["top"], a["depth"]))
         risen = (~idle & a["risen"]) | (after > base)
@@ -255,42 +277,43 @@ def _braced_regions(code: Column, most: int) -> Column:
         region = F.struct(name.alias("name"), line.alias("line"), (x["line"] - line + 1).alias("lines"), base.alias("base"), top.alias("top"))
         return F.struct(
             after.alias("depth"), F.when(~closed, name).alias("name"), line.alias("line"), base.alias("base"), top.alias("top"),
-            (risen & ~closed).alias("risen"), F.when(closed, F.array_append(a["done"], region)).otherwise(a["done"]).alias("done"),
+            (risen & ~closed).alias("risen"), *_with_region(a, closed, region),
         )
 
     def finish(a: Column) -> Column:
         region = F.struct(a["name"].alias("name"), a["line"].alias("line"), (F.size(code) - a["line"] + 1).alias("lines"), a["base"].alias("base"), a["top"].alias("top"))
-        return F.when(a["name"].isNotNull(), F.array_append(a["done"], region)).otherwise(a["done"])
+        return _all_regions(a, a["name"].isNotNull(), region)
 
     return F.aggregate(lines, start, step, finish)
 
 
-def _indented_regions(code: Column, most: int) -> Column:
+def _indented_regions(code: Column, most: int | None) -> Column:
     """One pass over the lines: a function holds the lines after it that are blank or indented further; without any it is none."""
     lines = F.transform(code, lambda line, i: F.struct(F.when(line.contains("def"), F.nullif(F.regexp_extract(line, INDENTED_START, 1), F.lit(""))).alias("name"), is_filled(line).alias("filled"), indent(line).alias("width"), (i + 1).alias("line")))
-    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("end"), F.lit(0).alias("base"), F.lit(0).alias("top"), F.array().cast(_OPEN).alias("done"))
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("line"), F.lit(0).alias("end"), F.lit(0).alias("base"), F.lit(0).alias("top"), *_no_regions())
 
     def region(a: Column) -> Column:
         return F.struct(a["name"].alias("name"), a["line"].alias("line"), (a["end"] - a["line"] + 1).alias("lines"), a["base"].alias("base"), a["top"].alias("top"))
 
-    def with_open(a: Column) -> Column:
-        return F.when(a["name"].isNotNull() & (a["end"] > a["line"]), F.array_append(a["done"], region(a))).otherwise(a["done"])
+    def is_one(a: Column) -> Column:
+        return a["name"].isNotNull() & (a["end"] > a["line"])
 
     def step(a: Column, x: Column) -> Column:
         goes_on = a["name"].isNotNull() & (~x["filled"] | (x["width"] > a["base"]))
-        done = F.when(goes_on, a["done"]).otherwise(with_open(a))
-        name = F.when(goes_on, a["name"]).when(F.size(done) < most, x["name"])
+        closed = ~goes_on & is_one(a)
+        name = F.when(goes_on, a["name"])
+        name = name.otherwise(x["name"]) if most is None else name.when(_n_regions(a) + closed.cast("int") < most, x["name"])
         top = F.when(goes_on & x["filled"], F.greatest(a["top"], x["width"])).when(goes_on, a["top"]).otherwise(x["width"])
         return F.struct(
             name.alias("name"), F.when(goes_on, a["line"]).otherwise(x["line"]).alias("line"), x["line"].alias("end"),
-            F.when(goes_on, a["base"]).otherwise(x["width"]).alias("base"), top.alias("top"), done.alias("done"),
+            F.when(goes_on, a["base"]).otherwise(x["width"]).alias("base"), top.alias("top"), *_with_region(a, closed, region(a)),
         )
 
-    return F.aggregate(lines, start, step, with_open)
+    return F.aggregate(lines, start, step, lambda a: _all_regions(a, is_one(a), region(a)))
 
 
-def function_regions(raw: Column, code: Column, comment: Column, family: Family, most: int = 500) -> Column:
-    """The functions of a file, in order, ``most`` at most, as an array of REGION; bodies within a body are counted once, as part of it.
+def function_regions(raw: Column, code: Column, comment: Column, family: Family, most: int | None = None) -> Column:
+    """The functions of a file, in order, only the first ``most`` if that is given, as an array of REGION; bodies within a body are counted once, as part of it.
 
     ``raw``, ``code`` and ``comment`` are arrays of lines as ``masked`` gives them. Where braces nest, a function goes from the line of its name,
     which has a brace, to the line that brings the depth back, or the file's end; elsewhere it is a

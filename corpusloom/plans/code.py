@@ -208,6 +208,9 @@ INDENTED_SQL = f"""o as (select id, i, nullif(regexp_extract(code, {_quoted(C.IN
  n as (select id, max(i) as n from l group by id),
  f as (select id, c_name as name, c_line as line, c_lines as lines, greatest(0, floor((c_top - c_base - 1) / 4)) as nesting from w where c_name is not null
   union all select w.id, w.name, w.line, n.n - w.line + 1, greatest(0, floor((w.top - w.base - 1) / 4)) from w join n on n.id = w.id and n.n = w.i where w.name is not null and n.n > w.line)"""
+#: Features are of every function; the lists of functions end with a file's five hundredth, as in the reference.
+EVERY_BRACED_SQL = BRACED_SQL.replace("case when w.n_done < 500 then o.starts end", "o.starts")
+EVERY_INDENTED_SQL = INDENTED_SQL.replace("when n_done + closed::int < 500 then starts end", "else starts end")
 FUNCTIONS_SQL = f"""select f.id as doc_id, f.name, f.line, f.lines, max(length(l.raw)) as max_line_len, any_value(f.nesting)::int as max_nesting, sum({_BRANCHES}) as branches, count(*) filter (has_comment) as comment_lines
  from f join l on l.id = f.id and l.i between f.line and f.line + f.lines - 1 group by f.id, f.name, f.line, f.lines"""
 
@@ -253,8 +256,8 @@ ORACLE_SQL = {
     "txt2_functions": f"{BRACED_LINES}, {BRACED_SQL} {FUNCTIONS_SQL}",
     "txt2_indented_functions": f"{INDENTED_LINES}, {INDENTED_SQL} {FUNCTIONS_SQL}",
     "srt4_largest_functions": f"{BRACED_LINES}, {BRACED_SQL}, r as materialized ({FUNCTIONS_SQL}) select doc_id, name, line, lines, max_nesting, branches from r order by lines desc, max_nesting desc, doc_id, line limit 10",
-    "txt3_file_features": f"{BRACED_LINES}, {BRACED_SQL}, {_features_sql(DEPTH_SQL)}",
-    "txt3_python_features": f"{INDENTED_LINES}, {INDENTED_SQL}, {_features_sql(STACK_SQL)}",
+    "txt3_file_features": f"{BRACED_LINES}, {EVERY_BRACED_SQL}, {_features_sql(DEPTH_SQL)}",
+    "txt3_python_features": f"{INDENTED_LINES}, {EVERY_INDENTED_SQL}, {_features_sql(STACK_SQL)}",
     "agg12_repeated_code": f"""{BRACED_LINES}, g as (select id, list(s order by i) as s from (select id, i, trim(regexp_replace(code, '[\\s\\x0B]+', ' ', 'g')) as s from l) where length(s) >= 12 group by id),
  h as (select id, unnest(list_transform(range(1, len(s)), lambda i: s[i] || chr(10) || s[i + 1])) as h from g), c as (select id, h, count(*) as n from h group by all), e as (select h, sum(n) as total from c group by h),
  x as (select id, count(*) as shingles, count(*) filter (total > 1) as repeated from c join e using (h) group by id) select t.id as doc_id, coalesce(shingles, 0) as shingles, coalesce(repeated, 0) as repeated, case when shingles >= 4 then round(repeated / shingles, 6) end as dup_ratio from t left join x using (id)""",

@@ -154,3 +154,22 @@ def test_styles_runs_and_names_of_a_whole_text(spark):
     whole = spark.createDataFrame([(1, "if foo9if 9while Kelvin fooBar # foo\n")], "k int, text string")
     assert [r.names for r in P.with_lines(whole, "k", "python").select(C.own_names(F.array_join("code", "\n")).alias("names")).collect()] == [["foo9if", "Kelvin", "fooBar"]]
     assert "slice(" not in P.file_features(whole, "k", "python")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_are_of_every_function(spark):
+    """The largest function comes after 1,700 others; lists of functions end where their caller says."""
+    braced = "".join(f"function f{i}(x) {{\n  y\n}}\n" for i in range(1700)) + "function last(x) {\n" + "  if (y) {\n" * 3 + "  z\n" * 9 + "}\n" * 4
+    indented = "".join(f"def f{i}(x):\n    y\n" for i in range(1700)) + "def last(x):\n" + "    y\n" * 8 + "            z\n"
+    for family, text, lines, nesting in (("c", braced, 17, 4), ("python", indented, 11, 2)):
+        files = spark.createDataFrame([(1, text), (2, text[: text.index("f500(")]), (3, "")], "k int, text string")
+        found = {r.k: (r.functions, r.fn_lines_max, r.fn_nesting_max) for r in P.file_features(files, "k", family).collect()}
+        assert found[1] == (1701, lines, nesting) and found[2][0] == 500 and found[3] == (0, 0, 0), (family, found)
+        assert [P.functions(files.where("k = 1"), "k", family, most=most).count() for most in (1, 500, 501, 1200, 5000)] == [1, 500, 501, 1200, 1701]
+
+
+def test_the_sql_of_features_has_no_cap_and_that_of_lists_has():
+    from corpusloom.plans import code
+
+    sql = code.ORACLE_SQL
+    assert all("< 500" not in sql[q] for q in ("txt3_file_features", "txt3_python_features"))
+    assert all("< 500" in sql[q] for q in ("txt2_functions", "txt2_indented_functions", "srt4_largest_functions"))
