@@ -28,7 +28,7 @@ def similar_pairs(rows: DataFrame, group: str, key: str, text: str, above: float
     """
     each = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(text).alias("text")).where("length(text) > 1").dropDuplicates(["group", "key"])
     types = {f.name: f.dataType.simpleString() for f in each.schema}
-    texts = written(each.mapInArrow(_bigrams, f"group {types['group']}, key {types['key']}, n long, gram array<long>, c array<long>"), "bigrams")
+    texts = written(each.mapInArrow(_bigrams, f"group {types['group']}, key {types['key']}, n long, gram array<long>, c array<int>"), "bigrams")
     sizes = texts.groupBy("group").agg(F.count("*").alias("texts"), F.sum(F.size("gram")).alias("counts"))
     sizes = sizes.select("group", (F.col("texts") * F.col("texts") > F.col("counts")).alias("many"), (F.floor(F.col("counts") / together) + 1).alias("parts"))
     # Rounding must not shorten a prefix: a little less than the share is taken.
@@ -81,7 +81,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(count)
         if n:
             ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in found])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (found, counts)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in ((found, np.int64), (counts, np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("key"), pa.array(n, pa.int64()), *lists], names=["group", "key", "n", "gram", "c"])
 
 
